@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,18 +93,19 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -
     return df.mapInArrow(run, schema)
 
 
-def summed_blocks(df: DataFrame, fn: Callable[[Iterator[dict]], np.ndarray], length: int, merge: str = "sum", block: int = 1 << 14) -> np.ndarray:
+def summed_blocks(df: DataFrame, fn: Callable[[Iterator[dict]], np.ndarray], length: int, merge: str = "sum", block: int = 1 << 12) -> np.ndarray:
     """One array of fixed ``length`` for the whole table: fn makes one per task, tasks' arrays are added (or or-ed).
 
-    The arrays travel as blocks and meet block by block on the executors, so the driver gets ``length`` numbers,
-    whatever the number of rows or tasks.
+    The arrays travel as blocks and meet block by block on the executors, first those of 64 neighbouring tasks, then
+    those sums, so the driver gets ``length`` numbers, whatever the number of rows or tasks.
     """
     kind = np.int64 if merge == "sum" else np.uint8
 
     def parts(read: Iterator[dict]) -> Iterator[dict]:
         whole = fn(read)
         used = [k for k in range(0, length, block) if whole[k : k + block].any()]
-        yield {"k": [k // block for k in used], "part": [whole[k : k + block].astype(kind).tobytes() for k in used]}
+        near = TaskContext.get().partitionId() // 64
+        yield {"k": [k // block for k in used], "near": [near] * len(used), "part": [whole[k : k + block].astype(kind).tobytes() for k in used]}
 
     def met(key: tuple, rows: pa.Table) -> pa.Table:
         total = None
@@ -113,7 +115,8 @@ def summed_blocks(df: DataFrame, fn: Callable[[Iterator[dict]], np.ndarray], len
         return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(length, kind)
-    for k, part in map_columns(df, parts, "k int, part binary").groupBy("k").applyInArrow(met, "k int, part binary").collect():
+    some = map_columns(df, parts, "k int, near int, part binary").groupBy("k", "near").applyInArrow(met, "k int, part binary")
+    for k, part in some.groupBy("k").applyInArrow(met, "k int, part binary").collect():
         a = np.frombuffer(part, kind)
         out[k * block : k * block + len(a)] = a
     return out
