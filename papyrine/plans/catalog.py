@@ -1,6 +1,457 @@
-"""Queries of the document operators and the DuckDB SQL that says the same."""
+"""Queries of the document operators over the test tables, and the DuckDB SQL that says the same.
+
+Where the tables hold no fitting documents, both sides derive them with the same rule (a geography document per region,
+words and lines from line items).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from papyrine.functions import text as tx
+from papyrine.operators import html, layout, markdown, outline, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def big(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+# --- web pages -------------------------------------------------------------------------------------------------------
+
+
+def page_docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_md(html.article(F.col("html"))).alias("markdown"))
+
+
+UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+H1 = "trim(" + UNESCAPED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + ")"
+
+
+@query()
+def page_markdown(spark, d):
+    return page_docs(spark, d)
+
+
+@query(f"SELECT page_id AS doc_id, '1' AS node_id, CAST(1 AS BIGINT) AS level, {H1} AS title, CAST(0 AS BIGINT) AS start FROM pages")
+def page_outline(spark, d):
+    return outline.nodes(page_docs(spark, d)).select("doc_id", "node_id", *big("level"), "title", *big("start"))
+
+
+@query(f"SELECT page_id AS doc_id, {H1} AS title FROM pages")
+def page_h1(spark, d):
+    return outline.headings(page_docs(spark, d)).filter("level = 1").select("doc_id", "title")
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS text FROM pages""")
+def page_links(spark, d):
+    return read(spark, d, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("l")).select("page_id", "l.href", "l.text")
+
+
+# --- documents' text -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def doc_lines(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("doc_id", *big("line_no"), "line")
+
+
+@query(r"""
+    WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), y AS (SELECT doc_id, line, list_transform(string_split(line, '|'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')) AS c FROM x WHERE line LIKE '%|%'),
+    z AS (SELECT doc_id, line, CASE WHEN c[1] = '' THEN c[2:] ELSE c END AS c FROM y)
+    SELECT doc_id, line, CAST(len(CASE WHEN c[-1] = '' THEN c[:-2] ELSE c END) AS BIGINT) AS n_cells, array_to_string(CASE WHEN c[-1] = '' THEN c[:-2] ELSE c END, '~') AS cells FROM z""")
+def doc_pipe_cells(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").contains("|"))
+    c = tx.split_row(F.col("line"))
+    return rows.select("doc_id", "line", F.size(c).cast("bigint").alias("n_cells"), F.array_join(c, "~").alias("cells"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\n\f\x0B]+', ' ', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '^ +| +$', '', 'g') AS clean FROM documents")
+def doc_text_clean(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.trim(tx.clean_docx(tx.collapse(F.col("text")))).alias("clean"))
+
+
+@query("SELECT doc_id, sha1(text) AS digest, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) = 1")
+def doc_dedup_first(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("digest"), "source")
+    # min_by folds copies before the shuffle; a window would carry them all
+    return docs.groupBy("digest").agg(F.min(F.struct("doc_id", "source")).alias("f")).select("f.doc_id", "digest", "f.source")
+
+
+@query("SELECT doc_id, CASE WHEN n = 1 THEN source || '.md' ELSE source || ' (' || (n - 1) || ').md' END AS name FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
+def unique_names(spark, d):
+    files = read(spark, d, "documents").select(F.col("source").alias("folder"), F.col("source").alias("stem"), F.lit(".md").alias("ext"), F.col("doc_id").alias("ord"))
+    return outline.unique_names(files).select(F.col("ord").alias("doc_id"), F.col("unique").alias("name"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT p_partkey, regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace('<' || p_name || ' / ' || p_type || '?  x.', '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 80), '^[ .]+|[ .]+$', '', 'g') AS s FROM part)""")
+def slug_titles(spark, d):
+    raw = F.concat(F.lit("<"), "p_name", F.lit(" / "), "p_type", F.lit("?  x."))
+    return read(spark, d, "part").select("p_partkey", tx.slug(raw).alias("slug"))
+
+
+@query(r"""SELECT p_partkey, substr(regexp_replace(regexp_replace('[' || p_brand || ']: ' || p_type || '*', '[\[\]:*?/\\]', '', 'g'), '\s+', ' ', 'g'), 1, 31) AS sheet FROM part""")
+def sheet_names(spark, d):
+    return read(spark, d, "part").select("p_partkey", tx.sheet_name(F.concat(F.lit("["), "p_brand", F.lit("]: "), "p_type", F.lit("*"))).alias("sheet"))
+
+
+NAMES = "concat('dir/file', cast(o_orderkey as string), element_at(array('.DOCX', '.xls', '.pdf', '.md', '.txt', '.xlsm'), cast(o_orderkey % 6 + 1 as int)))"
+
+
+@query("""
+    WITH f AS (SELECT o_orderkey, lower(['.DOCX', '.xls', '.pdf', '.md', '.txt', '.xlsm'][o_orderkey % 6 + 1]) AS suffix FROM orders)
+    SELECT o_orderkey, suffix, suffix <> '.txt' AS supported, CASE WHEN suffix = '.md' THEN '.xlsx' ELSE '.md' END AS output FROM f""")
+def suffix_route(spark, d):
+    f = read(spark, d, "orders").select("o_orderkey", F.expr(NAMES).alias("path"))
+    return f.select("o_orderkey", tx.suffix(F.col("path")).alias("suffix"), tx.is_supported(F.col("path")).alias("supported"), tx.output_suffix(tx.suffix(F.col("path")), F.lit(".xlsx")).alias("output"))
+
+
+@query("""SELECT o_orderkey, ['zip', 'ole', 'rtf', 'unknown'][o_orderkey % 4 + 1] AS container, CASE WHEN o_orderkey % 4 = 0 THEN '.docx' ELSE '' END AS hint FROM orders""")
+def sniff_kind(spark, d):
+    head = F.unhex(F.element_at(F.array(*[F.lit(x) for x in ("504B030414000600", "D0CF11E0A1B11AE1", "7B5C727466310D0A", "255044462D312E37")]), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    k = tx.sniff(head, F.lit("a.docx"))
+    return read(spark, d, "orders").select("o_orderkey", k["container"].alias("container"), k["suggested_suffix"].alias("hint"))
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN p = round(p) THEN CAST(CAST(p AS BIGINT) AS VARCHAR) ELSE CAST(p AS VARCHAR) END AS price, CASE WHEN strftime(o_orderdate, '%H:%M:%S') = '00:00:00' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS day, CASE WHEN o_orderstatus = 'F' THEN 'TRUE' ELSE 'FALSE' END AS done, o_orderpriority || '\|x' AS note FROM (SELECT *, round(o_totalprice) / 4 AS p FROM orders)""")
+def format_cells(spark, d):
+    o = read(spark, d, "orders").withColumn("p", F.round("o_totalprice") / 4)
+    return o.select("o_orderkey", tx.format_double(F.col("p")).alias("price"), tx.format_timestamp(F.col("o_orderdate")).alias("day"), tx.format_bool(F.col("o_orderstatus") == "F").alias("done"), tx.format_text(F.concat("o_orderpriority", F.lit("|x"))).alias("note"))
+
+
+TYPED = "CASE l_linenumber % 5 WHEN 0 THEN '007' WHEN 1 THEN CAST(l_orderkey AS VARCHAR) WHEN 2 THEN CAST(l_orderkey AS VARCHAR) || '.5' WHEN 3 THEN '1,5' ELSE '12%' END"
+
+
+@query(rf"""WITH c AS (SELECT l_orderkey, l_linenumber, {TYPED} AS t FROM lineitem), r AS (SELECT *, regexp_full_match(t, '-?(?:0|[1-9][0-9]{{0,14}})(?:\.[0-9]+)?') AS n, t LIKE '%.%' AS p FROM c)
+    SELECT l_orderkey, l_linenumber, CASE WHEN n AND NOT p THEN 'int' WHEN n THEN 'float' ELSE 'text' END AS vtype, CASE WHEN n AND NOT p THEN TRY_CAST(t AS BIGINT) END AS int_value, CASE WHEN n AND p THEN TRY_CAST(t AS DOUBLE) END AS float_value, CASE WHEN NOT n THEN t END AS text_value FROM r""")
+def typed_cells(spark, d):
+    c = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.typed_cell(F.expr(TYPED.replace("VARCHAR", "STRING"))).alias("c"))
+    return c.select("l_orderkey", "l_linenumber", "c.*")
+
+
+# --- workbooks -------------------------------------------------------------------------------------------------------
+
+
+def nation_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A workbook with a sheet a region: key, name, and a column that is always null."""
+    n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
+    values = F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string"))
+    data = n.withColumn("row_no", row).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("r_regionkey").alias("sheet_no"), F.col("r_name").alias("sheet"), "row_no", F.posexplode(values).alias("col_no", "value"))
+    head = read(spark, d, "region").select(F.lit(1).cast("bigint").alias("doc_id"), F.col("r_regionkey").alias("sheet_no"), F.col("r_name").alias("sheet"), F.lit(0).alias("row_no"), F.posexplode(F.array(F.lit("key"), F.lit(""), F.lit("none"))).alias("col_no", "value"))
+    return data.unionByName(head)
+
+
+@query("""WITH s AS (SELECT r_regionkey, r_name, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
+    SELECT CAST(1 AS BIGINT) AS doc_id, string_agg('## ' || r_name || chr(10) || chr(10) || '| key | Cột 2 |' || chr(10) || '| --- | --- |' || chr(10) || body, chr(10) || chr(10) ORDER BY r_regionkey) AS markdown FROM s""")
+def workbook_markdown(spark, d):
+    return tables.workbook_markdown(nation_cells(spark, d))
+
+
+NULLED = "CASE WHEN s_suppkey % 3 = 0 OR col_no = 2 THEN NULL ELSE concat(s_name, cast(col_no as string)) END"
+
+
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS sheet_no, CAST(s_suppkey AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, s_name || CAST(col_no AS VARCHAR) AS value FROM supplier, (VALUES (0), (1), (2)) v(col_no) WHERE s_suppkey % 3 <> 0 AND col_no <> 2""")
+def drop_null_rows_cols(spark, d):
+    s = read(spark, d, "supplier").select(F.lit(1).alias("doc_id"), F.col("s_nationkey").alias("sheet_no"), F.lit("").alias("sheet"), F.col("s_suppkey").alias("row_no"), "s_suppkey", "s_name", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("col_no"))
+    cells = s.select("doc_id", "sheet_no", "sheet", "row_no", "col_no", F.expr(NULLED).alias("value"))
+    return tables.drop_empty(cells).select(*big("sheet_no", "row_no", "col_no"), "value")
+
+
+def geography(spark: SparkSession, d: str) -> DataFrame:
+    """blocks(doc_id, seq, kind, level, text): a document a region: its heading, its nations' headings, a line a nation."""
+    n = read(spark, d, "nation")
+    heads = read(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("doc_id"), F.lit(-1).alias("seq"), F.lit("heading").alias("kind"), F.lit(1).alias("level"), F.col("r_name").alias("text"))
+    mids = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), (F.col("n_nationkey") * 2).alias("seq"), F.lit("heading").alias("kind"), F.lit(2).alias("level"), F.col("n_name").alias("text"))
+    body = n.select(F.col("n_regionkey").cast("bigint").alias("doc_id"), (F.col("n_nationkey") * 2 + 1).alias("seq"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.concat(F.lit("about "), "n_name").alias("text"))
+    return heads.unionByName(mids).unionByName(body)
+
+
+@query("""SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey * 2 + k AS BIGINT) AS seq, CAST(1 + row_number() OVER (PARTITION BY n_regionkey, k ORDER BY n_nationkey) AS BIGINT) AS sheet_no, n_name AS title FROM nation, (VALUES (0), (1)) v(k)""")
+def sheet_split(spark, d):
+    return tables.split_sheets(geography(spark, d)).select("doc_id", *big("seq", "sheet_no"), "title")
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS sheet_no, CAST(greatest(least(max(length(p_name)) + 2, 60), 8) AS BIGINT) AS width FROM part GROUP BY p_size""")
+def column_widths(spark, d):
+    cells = read(spark, d, "part").select(F.lit(1).alias("doc_id"), F.col("p_size").alias("sheet_no"), F.lit(0).alias("col_no"), F.col("p_name").alias("value"), F.lit("table").alias("kind"))
+    return tables.column_widths(cells).select(*big("sheet_no", "width"))
+
+
+@query("""WITH i AS (SELECT p_partkey, CAST(p_size * 50 AS DOUBLE) AS w, CAST(p_partkey % 700 + 1 AS DOUBLE) AS h FROM part), r AS (SELECT *, least(1.0, 640.0 / w, 480.0 / h) AS f FROM i)
+    SELECT p_partkey, CAST(greatest(1, floor(w * f)) AS BIGINT) AS width, CAST(greatest(1, floor(h * f)) AS BIGINT) AS height, CAST(greatest(15.0, greatest(1, floor(h * f)) * 0.75) AS DOUBLE) AS row_height FROM r""")
+def image_fit(spark, d):
+    box = tables.fit_image((F.col("p_size") * 50).cast("double"), (F.col("p_partkey") % 700 + 1).cast("double"))
+    return read(spark, d, "part").select("p_partkey", box["width"].cast("bigint").alias("width"), box["height"].cast("bigint").alias("height"), box["row_height"].cast("double").alias("row_height"))
+
+
+# --- outlines --------------------------------------------------------------------------------------------------------
+
+
+def region_docs(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, markdown): # region, ## nation, ### supplier, a line of text each; suppliers by key."""
+    s = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.concat(F.lit("### "), "s_name", F.lit("\ntext "), "s_name").alias("t")))).alias("s"))
+    n = read(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    part = F.concat_ws("\n", F.concat(F.lit("## "), "n_name"), F.array_join(F.transform(F.coalesce("s", F.array().cast("array<struct<s_suppkey:bigint,t:string>>")), lambda x: x["t"]), "\n"))
+    part = F.regexp_replace(part, r"\n\z", "")
+    r = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("t")))).alias("n"))
+    return read(spark, d, "region").join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_regionkey").cast("bigint").alias("doc_id"), F.concat(F.lit("# "), "r_name", F.lit("\n"), F.array_join(F.transform("n", lambda x: x["t"]), "\n")).alias("markdown"))
+
+
+TREE = """
+    nat AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS a FROM nation),
+    lines AS (
+        SELECT n_regionkey AS doc_id, 0 AS k1, 0 AS k2, '1' AS node_id, NULL AS parent_id, 1 AS level, r_name AS title, 1 AS n FROM (SELECT DISTINCT n_regionkey FROM nation) JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT n_regionkey, a, 0, '1.' || a, '1', 2, n_name, 1 FROM nat
+        UNION ALL SELECT n_regionkey, a, b, '1.' || a || '.' || b, '1.' || a, 3, s_name, 2 FROM nat JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS b FROM supplier) ON s_nationkey = n_nationkey
+    ),
+    tree AS (
+        SELECT doc_id, node_id, parent_id, level, title, n, k1, k2, sum(n) OVER (PARTITION BY doc_id ORDER BY k1, k2) - n AS start,
+            CASE level WHEN 1 THEN sum(n) OVER (PARTITION BY doc_id) WHEN 2 THEN sum(n) OVER (PARTITION BY doc_id ORDER BY k1) ELSE sum(n) OVER (PARTITION BY doc_id ORDER BY k1, k2) END AS stop FROM lines
+    )"""
+
+
+@query(f"WITH {TREE} SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, parent_id, CAST(level AS BIGINT) AS level, title, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM tree")
+def outline_nodes(spark, d):
+    return outline.nodes(region_docs(spark, d)).select("doc_id", "node_id", "parent_id", *big("level"), "title", *big("start"), F.col("end").cast("bigint").alias("stop"))
+
+
+@query(f"WITH {TREE} SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, '### ' || title || chr(10) || 'text ' || title AS text FROM tree WHERE level = 3")
+def section_text(spark, d):
+    docs = region_docs(spark, d)
+    return outline.section_texts(docs, outline.nodes(docs).filter("level = 3")).select("doc_id", "node_id", "text")
+
+
+SECTION = "'# ' || n_name || coalesce(chr(10) || string_agg('## ' || s_name || chr(10) || 'text ' || s_name, chr(10) ORDER BY s_suppkey), '')"
+
+
+@query(f"""WITH nat AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS a FROM nation), t AS (SELECT n_regionkey, a, {SECTION} AS text FROM nat LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE a <= 2 GROUP BY n_regionkey, a, n_name)
+    SELECT CAST(n_regionkey AS BIGINT) AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY a) AS text FROM t GROUP BY n_regionkey""")
+def section_extract(spark, d):
+    docs = region_docs(spark, d)
+    tree = outline.nodes(docs)
+    chosen = tree.filter(F.col("node_id").rlike(r"\A1\.[12](\.|\z)"))
+    return outline.extract(docs, chosen, tree)
+
+
+@query(f"""WITH nat AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS a FROM nation)
+    SELECT CAST(n_regionkey AS BIGINT) AS doc_id, '1.' || a AS node_id, n_name AS title, {SECTION} AS text FROM nat LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, a, n_name""")
+def section_split(spark, d):
+    docs = region_docs(spark, d)
+    tree = outline.nodes(docs)
+    return outline.split_sections(docs, tree.filter("level = 2"), tree)
+
+
+@query(f"""WITH {TREE}, sel AS (SELECT doc_id, node_id FROM tree WHERE title LIKE '%1%' OR (level = 2 AND title LIKE '%A%'))
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id FROM sel s WHERE NOT EXISTS (SELECT 1 FROM sel t WHERE t.doc_id = s.doc_id AND starts_with(s.node_id, t.node_id || '.'))""")
+def selection_cover(spark, d):
+    tree = outline.nodes(region_docs(spark, d))
+    return outline.cover(tree.filter("title LIKE '%1%' OR (level = 2 AND title LIKE '%A%')"), tree)
+
+
+@query(f"""WITH {TREE} SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, node_id || repeat(' ', CAST(greatest(10 - length(node_id), 0) AS BIGINT)) || ' ' || repeat('  ', CAST(level - 1 AS BIGINT)) || title || ' [H' || level || ', ' || CAST(stop - start AS BIGINT) || ' dòng]' AS line FROM tree""")
+def outline_listing(spark, d):
+    return outline.listing(outline.nodes(region_docs(spark, d)))
+
+
+@query(f"""WITH {TREE}, hit AS (SELECT doc_id, node_id FROM tree WHERE lower(title) LIKE '%00%') SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, title FROM tree t WHERE EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = t.doc_id AND (h.node_id = t.node_id OR starts_with(h.node_id, t.node_id || '.')))""")
+def outline_filter(spark, d):
+    return outline.visible(outline.nodes(region_docs(spark, d)), "00").select("doc_id", "node_id", "title")
+
+
+LINK = "'![a](' || lower(p_brand) || '%20f/img' || p_partkey || '.png) and [b](x' || p_size || '/t%26.txt) (no/link)'"
+
+
+@query("""SELECT p_partkey AS doc_id, CAST(0 AS BIGINT) AS ord, lower(p_brand) || ' f' AS folder, 'img' || p_partkey || '.png' AS name FROM part UNION ALL SELECT p_partkey, 1, 'x' || p_size, 't&.txt' FROM part""")
+def asset_links(spark, d):
+    docs = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(LINK).alias("markdown"))
+    return outline.asset_links(docs).select("doc_id", *big("ord"), "folder", "name")
+
+
+# --- layout ----------------------------------------------------------------------------------------------------------
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Line items with one row an order and line number: the test tables repeat some."""
+    return read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")])
+
+
+ITEMS = "li AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)"
+
+
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of pages: a document an order's key by 50; sizes 10 to 13 in halves by line number."""
+    return items(spark, d).select(
+        F.floor(F.col("l_orderkey") / 50).cast("bigint").alias("doc_id"), (F.col("l_orderkey") % 50).cast("int").alias("page_no"), F.col("l_linenumber").alias("seq"), F.concat("l_returnflag", F.lit(" "), "l_linestatus", F.repeat(F.lit("x"), (F.col("l_quantity") % 7).cast("int"))).alias("text"),
+        F.when(F.col("l_linenumber") > 5, 12.0 + F.col("l_linenumber") % 2).otherwise(10.0).alias("size"), F.lit(False).alias("bold"), (F.col("l_linenumber") * 20.0).alias("top"), (F.col("l_linenumber") * 20.0 + 12.0 - F.when(F.col("l_linenumber") % 3 == 0, 8.0).otherwise(0.0)).alias("bottom"),
+    )
+
+
+LINES = ITEMS + """, l AS (SELECT l_orderkey // 50 AS doc_id, l_orderkey % 50 AS page_no, l_linenumber AS seq, l_returnflag || ' ' || l_linestatus || repeat('x', CAST(l_quantity % 7 AS BIGINT)) AS text, CASE WHEN l_linenumber > 5 THEN 12.0 + l_linenumber % 2 ELSE 10.0 END AS size,
+    l_linenumber * 20.0 AS top, l_linenumber * 20.0 + 12.0 - CASE WHEN l_linenumber % 3 = 0 THEN 8.0 ELSE 0.0 END AS bottom FROM li)"""
+BODY = "b AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(length(text)) AS n, min(page_no * 100 + seq) AS f FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1)"
+
+
+@query(f"WITH {LINES}, {BODY} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(body AS DOUBLE) AS body FROM b")
+def font_body(spark, d):
+    return layout.body_size(order_lines(spark, d)).select("doc_id", F.col("body").cast("double").alias("body"))
+
+
+@query(f"WITH {LINES}, {BODY}, s AS (SELECT DISTINCT l.doc_id, size FROM l JOIN b USING (doc_id) WHERE size >= body * 1.04) SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(size AS DOUBLE) AS size, CAST(least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS BIGINT) AS level FROM s")
+def heading_rank(spark, d):
+    return layout.heading_sizes(order_lines(spark, d)).select("doc_id", F.col("size").cast("double").alias("size"), *big("level"))
+
+
+@query(f"WITH {LINES}, {BODY}, s AS (SELECT DISTINCT l.doc_id, size FROM l JOIN b USING (doc_id) WHERE size >= body * 1.04), r AS (SELECT *, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level FROM s) SELECT CAST(l.doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, CASE WHEN level IS NULL THEN 'text' ELSE 'heading' END AS kind, CAST(level AS BIGINT) AS level FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.size = l.size")
+def line_kind(spark, d):
+    return layout.classify(order_lines(spark, d)).select("doc_id", *big("page_no", "seq"), "kind", *big("level"))
+
+
+@query(f"""WITH {LINES}, g AS (SELECT *, lag(bottom) OVER w AS pb, lag(top) OVER w AS pt FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY seq)), f AS (SELECT *, CASE WHEN pb IS NULL OR top - pb > 1.55 * greatest(1.0, pb - pt) THEN 1 ELSE 0 END AS new FROM g)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, CAST(sum(new) OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS BIGINT) AS para FROM f""")
+def paragraphs(spark, d):
+    return layout.paragraphs(order_lines(spark, d).withColumn("kind", F.lit("text"))).select("doc_id", *big("page_no", "seq", "para"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT *, length(text) % 2 = 0 AS item FROM l), f AS (SELECT *, CASE WHEN item AND NOT coalesce(lag(item) OVER (PARTITION BY doc_id ORDER BY page_no, seq), false) THEN 1 ELSE 0 END AS new FROM k)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, CAST(CASE WHEN item THEN sum(new) OVER (PARTITION BY doc_id ORDER BY page_no, seq) END AS BIGINT) AS list_no FROM f""")
+def list_blocks(spark, d):
+    items = order_lines(spark, d).withColumn("kind", F.when(F.length("text") % 2 == 0, "bullet").otherwise("text"))
+    return layout.list_blocks(items).select("doc_id", *big("page_no", "seq", "list_no"))
+
+
+def order_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words on a grid: a page an order, rows of 10 points by line number, columns by supplier."""
+    return items(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), F.col("l_linenumber").alias("word_no"), "l_returnflag", ((F.col("l_suppkey") % 8) * 64.0).alias("x0"), ((F.col("l_suppkey") % 8) * 64.0 + 32.0).alias("x1"), (F.floor(F.col("l_linenumber") / 2) * 16.0).alias("top"), (F.floor(F.col("l_linenumber") / 2) * 16.0 + 8.0).alias("bottom"))
+
+
+WORDS = ITEMS + ", w AS (SELECT l_orderkey AS doc_id, l_linenumber AS word_no, (l_suppkey % 8) * 64.0 AS x0, (l_suppkey % 8) * 64.0 + 32.0 AS x1, (l_linenumber // 2) * 16.0 AS top, (l_linenumber // 2) * 16.0 + 8.0 AS bottom FROM li)"
+
+
+@query(f"WITH {WORDS} SELECT doc_id, CAST(word_no AS BIGINT) AS word_no FROM w WHERE NOT ((x0 + x1) / 2 BETWEEN 60 AND 200 AND (top + bottom) / 2 BETWEEN 10 AND 40)")
+def table_area_anti(spark, d):
+    words = order_words(spark, d)
+    boxes = words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0).alias("box_no"), F.lit(60.0).alias("x0"), F.lit(10.0).alias("top"), F.lit(200.0).alias("x1"), F.lit(40.0).alias("bottom"))
+    return layout.outside_boxes(words, boxes).select("doc_id", *big("word_no"))
+
+
+@query(f"WITH {WORDS}, c AS (SELECT *, (x0 + x1) / 2 AS m FROM w) SELECT doc_id, CAST(word_no AS BIGINT) AS word_no, CAST(CASE WHEN m BETWEEN 0 AND 100 THEN 0 WHEN m BETWEEN 100 AND 272 THEN 1 WHEN m BETWEEN 272 AND 400 THEN 2 END AS BIGINT) AS ruled, CAST((m >= 100)::INT + (m >= 272)::INT + (m >= 400)::INT AS BIGINT) AS lane FROM c")
+def word_columns(spark, d):
+    m = (F.col("x0") + F.col("x1")) / 2
+    return order_words(spark, d).select("doc_id", *big("word_no"), layout.ruled_column(m, F.array(*map(F.lit, (0.0, 100.0, 272.0, 400.0)))).cast("bigint").alias("ruled"), layout.lane_column(m, F.array(*map(F.lit, (100.0, 272.0, 400.0)))).cast("bigint").alias("lane"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, CAST(word_no AS BIGINT) AS word_no, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY top) - 1 AS BIGINT) AS row_no FROM w")
+def printed_rows(spark, d):
+    return layout.printed_rows(order_words(spark, d)).select("doc_id", *big("word_no", "row_no"))
+
+
+@query(f"WITH {WORDS}, g AS (SELECT doc_id, top, x1 AS lef, lead(x0) OVER (PARTITION BY doc_id, top ORDER BY x0, word_no) AS rig FROM w), r AS (SELECT doc_id, top, dense_rank() OVER (PARTITION BY doc_id ORDER BY top) - 1 AS row_no, lef, rig FROM g) SELECT doc_id, CAST(row_no AS BIGINT) AS row_no, CAST(lef AS DOUBLE) AS left_edge, CAST(rig AS DOUBLE) AS right_edge FROM r WHERE rig - lef > 1.2 * 8.0")
+def row_gaps(spark, d):
+    return layout.row_gaps(layout.printed_rows(order_words(spark, d))).select("doc_id", *big("row_no"), F.col("left").alias("left_edge"), F.col("right").alias("right_edge"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, size, sum(length(text)) AS n FROM l GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY size) AS u, sum(n) OVER (PARTITION BY doc_id) AS a FROM s), m AS (SELECT doc_id, min(size) AS med FROM c WHERE 2 * u >= a GROUP BY doc_id)
+    SELECT CAST(l.doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, CAST(CASE WHEN size <= 1.2 * med THEN med ELSE round_even(size / (0.25 * med), 0) * 0.25 * med END AS DOUBLE) AS size FROM l JOIN m ON m.doc_id = l.doc_id""")
+def size_quantise(spark, d):
+    return layout.quantise(order_lines(spark, d)).select("doc_id", *big("page_no", "seq"), F.col("size").cast("double").alias("size"))
+
+
+@query(f"WITH {LINES} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no FROM l GROUP BY doc_id, page_no HAVING sum(length(text)) < 12")
+def blank_pages(spark, d):
+    lines = order_lines(spark, d)
+    return layout.blank_pages(lines.select("doc_id", "page_no").distinct(), lines).select("doc_id", *big("page_no"))
+
+
+@query("SELECT l_orderkey AS doc_id, 'w' || l_linenumber AS text, CAST(l_linenumber * 30 / 4.0 AS DOUBLE) AS x0, CAST((l_linenumber * 30 + 20) / 4.0 AS DOUBLE) AS x1 FROM lineitem WHERE l_quantity >= 10 AND l_linenumber <> 3")
+def tesseract_tsv(spark, d):
+    row = F.concat_ws("\t", F.when(F.col("l_linenumber") == 3, "4").otherwise("5"), F.col("l_quantity").cast("string"), (F.col("l_linenumber") * 30).cast("string"), F.lit("8"), F.lit("20"), F.lit("10"), F.concat(F.lit("w"), F.col("l_linenumber").cast("string")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("t")))), lambda x: x["t"]), "\n")
+    pages = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("level\tconf\tleft\ttop\twidth\theight\ttext\n"), body, F.lit("\nbad\tline")).alias("tsv")).select("doc_id", F.lit(1).alias("page_no"), "tsv", F.lit(4.0).alias("scale"))
+    return layout.tesseract_words(pages).select("doc_id", "text", "x0", "x1")
+
+
+@query(f"""WITH {ITEMS}, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 'k' || l_linenumber ELSE '' END AS a, 'v' || l_linenumber AS b FROM li), o AS (SELECT *, sum(CASE WHEN a = '' THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS own FROM r)
+    SELECT l_orderkey AS doc_id, CAST(own AS BIGINT) AS own, coalesce(string_agg(a, chr(10) ORDER BY l_linenumber) FILTER (WHERE a <> ''), '') || '~' || string_agg(b, chr(10) ORDER BY l_linenumber) AS cells FROM o GROUP BY l_orderkey, own""")
+def wrapped_rows(spark, d):
+    n = F.col("l_linenumber")
+    rows = items(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_no"), n.alias("row_no"), F.array(F.when(n % 2 == 1, F.concat(F.lit("k"), n.cast("string"))).otherwise(""), F.concat(F.lit("v"), n.cast("string"))).alias("cells"))
+    return layout.merge_wrapped(rows).select("doc_id", *big("own"), F.array_join("cells", "~").alias("cells"))
+
+
+# --- small functions -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT source, list_sort(list(DISTINCT lang)) AS t FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source) SELECT source, CASE WHEN list_contains(t, 'en') THEN 'en' ELSE t[1] END AS lang FROM l""")
+def pick_language(spark, d):
+    tags = read(spark, d, "documents").filter("lang is not null and source is not null").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("t"))
+    return tags.select("source", tx.pick_language(F.col("t")).alias("lang"))
+
+
+@query("""SELECT CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS success, CAST(count(*) FILTER (WHERE event_type = 'view') AS BIGINT) AS error, CAST(count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS cancelled FROM events""")
+def status_summary(spark, d):
+    from papyrine.plans.convert import summary
+
+    status = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "view", "error").otherwise("skipped")
+    return summary(read(spark, d, "events").select(status.alias("status")))
+
+
+@query("""SELECT a.p_partkey, [1, CAST(a.p_size AS INT), CAST(a.p_partkey % 12 AS INT)] > [1, 25, 3] AS newer FROM part a""")
+def version_order(spark, d):
+    tag = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 12).cast("string"), F.lit("-beta"))
+    return read(spark, d, "part").select("p_partkey", (tx.version(tag) > tx.version(F.lit("1.25.3"))).alias("newer"))
+
+
+@query("SELECT p_partkey, 'News ' || p_brand || ':' || chr(10) || '• ' || p_type || ' now' || chr(10) || '• see log (http://x.y/' || p_partkey || ')' AS notes FROM part")
+def plain_notes(spark, d):
+    raw = F.concat(F.lit("## News "), "p_brand", F.lit("\n- **"), "p_type", F.lit("** now\n- see [log](http://x.y/"), F.col("p_partkey").cast("string"), F.lit(")\n"))
+    return read(spark, d, "part").select("p_partkey", tx.plain_notes(raw).alias("notes"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_brand AS author, 'body ' || p_type AS body FROM part")
+def front_matter(spark, d):
+    raw = F.concat(F.lit("---\nTitle: old\ntitle: \""), "p_name", F.lit("\"\nAuthor: "), "p_brand", F.lit("\n---\nbody "), "p_type")
+    fm = tx.front_matter(raw)
+    return read(spark, d, "part").select("p_partkey", fm["meta"]["title"].alias("title"), fm["meta"]["author"].alias("author"), fm["body"].alias("body"))
+
+
+DERIVED = "concat('# ', p_name, '\\n\\nSome **', p_brand, '** of [', p_type, '](http://x.y/z).\\n\\n- one\\n  - two\\n- [x] three\\n\\n| k | v |\\n| - | -: |\\n| size | ', cast(p_size as string), ' |\\n')"
+
+
+def part_docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(DERIVED).alias("markdown"))
+
+
+@query("""SELECT p_partkey AS doc_id, CAST(b AS BIGINT) AS block_id, k AS kind FROM part, (VALUES (0, 'heading'), (1, 'paragraph'), (2, 'list'), (3, 'item'), (4, 'paragraph'), (5, 'list'), (6, 'item'), (7, 'paragraph'), (8, 'item'), (9, 'paragraph'), (10, 'table')) v(b, k)""")
+def md_blocks(spark, d):
+    return markdown.md_blocks(part_docs(spark, d)).select("doc_id", *big("block_id"), "kind")
+
+
+@query("""SELECT p_partkey AS doc_id, v.t AS text, CAST(v.b AS BOOLEAN) AS bold FROM part, LATERAL (VALUES ('Some ', false), (p_brand, true), (' of ', false), (p_type, false), ('.', false)) v(t, b)""")
+def md_inline(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Some **"), "p_brand", F.lit("** of ["), "p_type", F.lit("](http://x.y/z).")).alias("t"))
+    return p.select("doc_id", F.explode(markdown.md_inline("t")).alias("s")).select("doc_id", "s.text", "s.bold")
+
+
+@query("""SELECT p_partkey AS doc_id, CAST(v.r AS BIGINT) AS row_no, CAST(v.c AS BIGINT) AS col_no, v.t AS value FROM part, LATERAL (VALUES (1, 0, p_name), (2, 0, 'Some ' || p_brand || ' of ' || p_type || ' (http://x.y/z).'), (3, 0, '• one'), (4, 0, '◦ two'), (5, 0, '[x] three'), (7, 0, 'k'), (7, 1, 'v'), (8, 0, 'size'), (8, 1, CAST(p_size AS VARCHAR))) v(r, c, t)""")
+def block_cells(spark, d):
+    return markdown.md_cells(part_docs(spark, d)).select("doc_id", *big("row_no", "col_no"), "value")
