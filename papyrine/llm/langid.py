@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            rows = model.predict(b["text"])
+            rows = [r for k in range(0, len(b["text"]), 256) for r in model.predict(b["text"][k : k + 256])]
             yield {"doc_id": b["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "ambiguous": [r[2] for r in rows]}
 
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
