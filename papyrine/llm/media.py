@@ -129,6 +129,8 @@ def unpack(media: bytes) -> bytes:
         raise ValueError("not a PNG file")
     at, size, data = len(SIGNATURE), (0, 0), b""
     while at < len(media):
+        if at + 12 > len(media) or at + 12 + struct.unpack_from(">I", media, at)[0] > len(media):
+            raise ValueError("a chunk is cut off")
         n, kind = struct.unpack_from(">I4s", media, at)
         body = media[at + 8 : at + 8 + n]
         if struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(kind + body):
