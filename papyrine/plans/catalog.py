@@ -170,9 +170,9 @@ def workbook_markdown(spark, d):
 NULLED = "CASE WHEN s_suppkey % 3 = 0 OR col_no = 2 THEN NULL ELSE concat(s_name, cast(col_no as string)) END"
 
 
-@query("""SELECT CAST(s_nationkey AS BIGINT) AS sheet_no, CAST(s_suppkey AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, s_name || CAST(col_no AS VARCHAR) AS value FROM supplier, (VALUES (0), (1), (2)) v(col_no) WHERE s_suppkey % 3 <> 0 AND col_no <> 2""")
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS sheet_no, CAST(s_suppkey + 1 AS BIGINT) AS row_no, CAST(col_no AS BIGINT) AS col_no, s_name || CAST(col_no AS VARCHAR) AS value FROM supplier, (VALUES (0), (1), (2)) v(col_no) WHERE s_suppkey % 3 <> 0 AND col_no <> 2""")
 def drop_null_rows_cols(spark, d):
-    s = read(spark, d, "supplier").select(F.lit(1).alias("doc_id"), F.col("s_nationkey").alias("sheet_no"), F.lit("").alias("sheet"), F.col("s_suppkey").alias("row_no"), "s_suppkey", "s_name", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("col_no"))
+    s = read(spark, d, "supplier").select(F.lit(1).alias("doc_id"), F.col("s_nationkey").alias("sheet_no"), F.lit("").alias("sheet"), (F.col("s_suppkey") + 1).alias("row_no"), "s_suppkey", "s_name", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("col_no"))
     cells = s.select("doc_id", "sheet_no", "sheet", "row_no", "col_no", F.expr(NULLED).alias("value"))
     return tables.drop_empty(cells).select(*big("sheet_no", "row_no", "col_no"), "value")
 
