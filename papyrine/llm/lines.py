@@ -2,11 +2,15 @@
 
 Lines are hashed; a rolling hash over the last WINDOW line hashes puts a chunk boundary after a line where it is 0
 modulo DIVISOR, so boundaries move with the text, not with positions. A line of LONG words or more is a chunk of its
-own. Chunks of several lines and at least LEAST words, and long lines, that occur more than once in the corpus are
-removed except where they come first (smallest doc_id, then position), after their bytes have been compared.
+own. A chunk that occurs more than once in the corpus is repeated, except where it comes first (smallest doc_id, then
+position). Neighbouring repeated chunks make a run; runs of several lines and at least LEAST words, or of one line of
+LONG words, are removed, after the bytes of their chunks have been compared. So a passage of many short lines goes as
+well as one of a few long lines, while a short line that is common by itself stays. Chunks without words have no
+bytes to compare: one inside or after a run goes with it.
 
 Hashes of all chunks find the repeated ones; a bitmap of fixed size tells the second pass which chunks' bytes to
-send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide.
+send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks that are in no
+run are compared as well: they may stand first for chunks of runs elsewhere.
 
 Defined cases: null text stays null and empty text empty; texts of any length are read whole; in rows that repeat a
 doc_id, chunks count as of one document (all these rows keep what the document keeps); an empty table stays empty; all
@@ -15,7 +19,7 @@ columns of the input are returned, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,56 +33,63 @@ BITS = 25
 MASK = (1 << 64) - 1
 
 
-def chunks(text: str) -> list[tuple[int, int, bool]]:
-    """(first line, line after the last, whether repetition counts) for the whole text."""
+def chunks(text: str) -> list[tuple[str, int, int]]:
+    """(body, lines, words) of the chunks of the whole text, in order."""
     lines = text.split("\n")
-    words = [ln.count(" ") + 1 if ln else 0 for ln in lines]
-    out, begin, rolled = [], 0, 0
-    for i, ln in enumerate(lines):
-        h = xxh3_64_intdigest(ln.encode("utf-8", "surrogatepass"))
-        before = xxh3_64_intdigest(lines[i - WINDOW + 1].encode("utf-8", "surrogatepass")) if i >= WINDOW - 1 else 0
-        rolled = (before * 0x9E3779B97F4A7C15 + h) & MASK
-        last = i == len(lines) - 1
-        if last or words[i] >= LONG or words[i + 1] >= LONG or (rolled >> 33) % DIVISOR == 0:
-            size = sum(words[begin : i + 1])
-            out.append((begin, i + 1, size >= LONG if i == begin else size >= LEAST))
+    words = [len(ln.split()) for ln in lines]
+    hashes = [xxh3_64_intdigest(ln.encode("utf-8", "surrogatepass")) for ln in lines]
+    out, begin = [], 0
+    for i in range(len(lines)):
+        before = hashes[i - WINDOW + 1] if i >= WINDOW - 1 else 0
+        rolled = (before * 0x9E3779B97F4A7C15 + hashes[i]) & MASK
+        if i == len(lines) - 1 or words[i] >= LONG or words[i + 1] >= LONG or (rolled >> 33) % DIVISOR == 0:
+            out.append(("\n".join(lines[begin : i + 1]), i + 1 - begin, sum(words[begin : i + 1])))
             begin = i + 1
     return out
 
 
+def in_runs(parts: list[tuple[str, int, int]], repeated: Callable[[int, str], bool]) -> list[bool]:
+    """For each chunk whether it is in a run to remove; chunks that stood earlier in the text are repeated too."""
+    out, seen, run = [False] * len(parts), set(), []
+
+    def close() -> None:
+        lines, words = sum(parts[j][1] for j in run), sum(parts[j][2] for j in run)
+        if words >= LONG or (words >= LEAST and lines > 1):
+            for j in run:
+                out[j] = True
+        run.clear()
+
+    for k, (body, _, words) in enumerate(parts):
+        if (words == 0 and run) or (words and (body in seen or repeated(k, body))):
+            run.append(k)
+        else:
+            close()
+        seen.add(body)
+    close()
+    return out
+
+
 def _places(h: np.ndarray | int) -> np.ndarray | int:
     return h >> (64 - BITS)
 
 
 def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
-    """The text without the chunks numbered in ``gone`` and without chunks that repeat earlier ones of the text; lines removed."""
-    lines, kept, seen, removed = text.split("\n"), [], set(), 0
-    for k, (a, b, counts) in enumerate(chunks(text)):
-        body = "\n".join(lines[a:b])
-        if counts and (k in gone or body in seen):
-            removed += b - a
-        else:
-            kept.append(body)
-        if counts:
-            seen.add(body)
-    return "\n".join(kept), removed
+    """The text without the runs of chunks that are numbered in ``gone`` or repeat earlier ones of the text; lines removed."""
+    parts = chunks(text)
+    out = in_runs(parts, lambda k, body: k in gone)
+    return "\n".join(p[0] for p, o in zip(parts, out) if not o), sum(p[1] for p, o in zip(parts, out) if o)
+
+
+def _hash(body: str) -> int:
+    return xxh3_64_intdigest(body.encode("utf-8", "surrogatepass"))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk): the numbers of the chunks of each document that stand first in another one."""
 
-    def eligible(text: str | None) -> Iterator[tuple[int, str, int]]:
-        if text:
-            lines = text.split("\n")
-            seen = set()
-            for k, (a, b, counts) in enumerate(chunks(text)):
-                if counts and (body := "\n".join(lines[a:b])) not in seen:
-                    seen.add(body)
-                    yield k, body, xxh3_64_intdigest(body.encode("utf-8", "surrogatepass"))
-
     def hashes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"h": [h - (1 << 63) for t in b["text"] for _, _, h in eligible(t)]}
+            yield {"h": [_hash(body) - (1 << 63) for t in b["text"] if t for body in {p[0] for p in chunks(t) if p[2]}]}
 
     twice = written(map_columns(docs.select("text"), hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "line-hashes")
 
@@ -93,7 +104,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     def bodies(batches: Iterator[dict]) -> Iterator[dict]:
         bits = np.unpackbits(bitmap)
         for b in batches:
-            rows = [(d, k, body) for d, t in zip(b["doc_id"], b["text"]) for k, body, h in eligible(t) if bits[_places(h)]]
+            rows = []
+            for d, t in zip(b["doc_id"], b["text"]):
+                seen = set()
+                for k, (body, _, words) in enumerate(chunks(t) if t else []):
+                    if words and body not in seen:
+                        seen.add(body)
+                        if bits[_places(_hash(body))]:
+                            rows.append((d, k, body))
             yield {"doc_id": [r[0] for r in rows], "chunk": [r[1] for r in rows], "body": [r[2] for r in rows]}
 
     sent = map_columns(docs.select("doc_id", "text"), bodies, "doc_id long, chunk int, body string")

@@ -261,18 +261,36 @@ def test_line_dedup(spark, odd):
     assert back.filter("doc_id = 1").first().text is None and lines.dedup(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_passage_of_short_lines(spark):
+    short = [" ".join(f"s{j}x{i}" for i in range(9)) for j in range(12)]
+    rows = [(k, "\n".join([f"own {k} line", *short, f"last {k} line"]), "s", None) for k in (1, 2)] + [(3, f"a\n{short[0]}\nb\n\n{short[1]}\nc", "s", None)]
+    got = {r.doc_id: r.text for r in lines.dedup(documents(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert sum(s in got[2] for s in short) < 6 and "own 2 line" in got[2] and "last 2 line" in got[2]
+
+
 def test_line_dedup_equals_brute_force(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    seen, want = set(), {}
+    first, want = {}, {}
+    for d, t in rows:
+        for body, _, _ in lines.chunks(t):
+            first.setdefault(body, d)
     for d, t in rows:
-        ls, kept = t.split("\n"), []
-        for a, b, counts in lines.chunks(t):
-            body = "\n".join(ls[a:b])
-            if not (counts and body in seen):
-                kept.append(body)
-            if counts:
-                seen.add(body)
+        parts = lines.chunks(t)
+        old = [first[p[0]] != d or p[0] in {q[0] for q in parts[:k]} for k, p in enumerate(parts)]
+        kept, k = [], 0
+        while k < len(parts):
+            end = k
+            while end < len(parts) and (old[end] if parts[end][2] else end > k):
+                end += 1
+            many, words = sum(p[1] for p in parts[k:end]), sum(p[2] for p in parts[k:end])
+            gone = words >= 40 or (words >= 25 and many > 1)
+            kept += [] if gone else [p[0] for p in parts[k:end]]
+            if end == k:
+                kept.append(parts[k][0])
+                end += 1
+            k = end
         want[d] = "\n".join(kept)
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == want
 
