@@ -10,7 +10,9 @@ bytes to compare: one inside or after a run goes with it.
 
 Hashes of all chunks find the repeated ones; a bitmap of fixed size tells the second pass which chunks' bytes to
 send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks that are in no
-run are compared as well: they may stand first for chunks of runs elsewhere.
+run are compared as well: they may stand first for chunks of runs elsewhere. Chunks that more than HOT documents hold
+are dealt to SALTS tasks by document, so that a very common one meets in no single task; their first places, at most
+a share of SALTS / HOT of the rows, go to all of these.
 
 Defined cases: null text stays null and empty text empty; texts of any length are read whole; in rows that repeat a
 doc_id, chunks count as of one document (all these rows keep what the document keeps); an empty table stays empty; all
@@ -29,7 +31,8 @@ from xxhash import xxh3_64_intdigest
 from papyrine.llm.common import map_columns, summed_blocks, written
 
 WINDOW, DIVISOR, LONG, LEAST = 2, 2, 40, 25
-BITS = 25
+BITS, HOT_BITS = 25, 20
+HOT, SALTS = 1000, 64
 MASK = (1 << 64) - 1
 
 
@@ -69,8 +72,8 @@ def in_runs(parts: list[tuple[str, int, int]], repeated: Callable[[int, str], bo
     return out
 
 
-def _places(h: np.ndarray | int) -> np.ndarray | int:
-    return h >> (64 - BITS)
+def _places(h: np.ndarray | int, bits: int = BITS) -> np.ndarray | int:
+    return h >> (64 - bits)
 
 
 def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
@@ -91,15 +94,17 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield {"h": [_hash(body) - (1 << 63) for t in b["text"] if t for body in {p[0] for p in chunks(t) if p[2]}]}
 
-    twice = written(map_columns(docs.select("text"), hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "line-hashes")
+    twice = written(map_columns(docs.select("text"), hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-hashes")
 
     def marked(batches: Iterator[dict]) -> np.ndarray:
-        bits = np.zeros(1 << BITS, bool)
+        bits = np.zeros((1 << BITS) + (1 << HOT_BITS), bool)
         for b in batches:
-            bits[_places(np.array(b["h"], np.int64).astype(np.uint64) + np.uint64(1 << 63))] = True
+            h = np.array(b["h"], np.int64).astype(np.uint64) + np.uint64(1 << 63)
+            bits[_places(h)] = True
+            bits[(1 << BITS) + _places(h[np.array(b["n"], np.int64) > HOT], HOT_BITS).astype(np.int64)] = True
         return np.packbits(bits)
 
-    bitmap = summed_blocks(twice, marked, 1 << (BITS - 3), merge="or", block=1 << 16)
+    bitmap = summed_blocks(twice, marked, (1 << (BITS - 3)) + (1 << (HOT_BITS - 3)), merge="or", block=1 << 16)
 
     def bodies(batches: Iterator[dict]) -> Iterator[dict]:
         bits = np.unpackbits(bitmap)
@@ -110,13 +115,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                 for k, (body, _, words) in enumerate(chunks(t) if t else []):
                     if words and body not in seen:
                         seen.add(body)
-                        if bits[_places(_hash(body))]:
-                            rows.append((d, k, body))
-            yield {"doc_id": [r[0] for r in rows], "chunk": [r[1] for r in rows], "body": [r[2] for r in rows]}
-
-    sent = map_columns(docs.select("doc_id", "text"), bodies, "doc_id long, chunk int, body string")
-    first = sent.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return sent.join(first.select("body", "first"), "body").filter("doc_id != first").select("doc_id", "chunk")
+                        h = _hash(body)
+                        if bits[_places(h)]:
+                            rows.append((d, k, body, bits[(1 << BITS) + _places(h, HOT_BITS)] == 1))
+            yield {"doc_id": [r[0] for r in rows], "chunk": [r[1] for r in rows], "body": [r[2] for r in rows], "hot": [r[3] for r in rows]}
+
+    sent = map_columns(docs.select("doc_id", "text"), bodies, "doc_id long, chunk int, body string, hot boolean")
+    sent = sent.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    first = sent.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).filter("n > 1")
+    first = first.select("body", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return sent.join(first, ["body", "salt"]).filter("doc_id != first").select("doc_id", "chunk")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
