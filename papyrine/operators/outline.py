@@ -166,20 +166,25 @@ def asset_links(docs: DataFrame) -> DataFrame:
 def unique_names(files: DataFrame, folder: str = "folder", stem: str = "stem", ext: str = "ext", order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
     """files plus ``unique``: "stem", else "stem (n)" with the lowest free n, within a folder whatever the case.
 
-    A fold over the folder's names in order keeps the set of names given out; ``taken`` (folder, name) are there before.
+    Only names that agree but for numbers in brackets can meet, so the fold in order runs within such a family of a
+    folder, not over the folder; ``taken`` (folder, name) are there before.
     """
+    family = lambda name: F.lower(F.regexp_replace(name, r"( \(\d+\))+(?=(\.[^.]*)?$)", ""))
     item = F.struct(F.col(order).alias("o"), F.col(stem).alias("s"), F.col(ext).alias("e"))
-    grouped = files.groupBy(folder).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kind = files.schema[order].dataType.simpleString()
+    whole = F.concat(F.col(stem), F.col(ext))
+    grouped = files.groupBy(F.col(folder).alias("f_"), family(whole).alias("family")).agg(F.array_sort(F.collect_list(item)).alias("items"))
     if taken is not None:
-        grouped = grouped.join(taken.groupBy(folder).agg(F.collect_list(F.lower("name")).alias("taken")), folder, "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
+        there = taken.groupBy(F.col(folder).alias("f_"), family(F.col("name")).alias("family")).agg(F.collect_list(F.lower("name")).alias("taken"))
+        grouped = grouped.join(there, ["f_", "family"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
     else:
         grouped = grouped.withColumn("taken", F.array().cast("array<string>"))
-    start = F.struct(F.col("taken").alias("t"), F.array().cast("array<struct<o:bigint,u:string>>").alias("out"))
+    start = F.struct(F.col("taken").alias("t"), F.array().cast(f"array<struct<o:{kind},u:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         options = F.concat(F.array(F.concat(x["s"], x["e"])), F.transform(F.sequence(F.lit(1), F.size(acc["t"]) + 1), lambda n: F.concat(x["s"], F.lit(" ("), n.cast("string"), F.lit(")"), x["e"])))
         free = F.element_at(F.filter(options, lambda o: ~F.array_contains(acc["t"], F.lower(o))), 1)
-        return F.struct(F.array_append(acc["t"], F.lower(free)).alias("t"), F.array_append(acc["out"], F.struct(x["o"].cast("bigint").alias("o"), free.alias("u"))).alias("out"))
+        return F.struct(F.array_append(acc["t"], F.lower(free)).alias("t"), F.array_append(acc["out"], F.struct(x["o"].cast(kind).alias("o"), free.alias("u"))).alias("out"))
 
-    named = grouped.select(folder, F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("x")).select(F.col(folder).alias("f_"), F.col("x.o").alias("o_"), F.col("x.u").alias("unique"))
+    named = grouped.select("f_", F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("x")).select("f_", F.col("x.o").alias("o_"), F.col("x.u").alias("unique"))
     return files.join(named, (F.col(folder) == F.col("f_")) & (F.col(order) == F.col("o_"))).drop("f_", "o_")

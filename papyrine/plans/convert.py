@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +16,11 @@ from pyspark.sql import functions as F
 
 from papyrine.functions import text as tx
 from papyrine.operators import html, markdown
+from papyrine.operators.outline import unique_names
 from papyrine.sources import containers, writers
 from papyrine.sources.files import discover
 
-RESULT = "source string, status string, output string, message string, warnings array<string>, duration double, markdown string, content binary"
+RESULT = "source string, status string, output string, message string, warnings array<string>, duration double, markdown string, content binary, assets array<struct<kind: string, name: string, content: binary>>"
 STATUSES = ("success", "error", "skipped", "cancelled")
 # Messages for what needs an external program.
 NO_OFFICE = "old Office files need an external converter, which is not available"
@@ -37,6 +42,35 @@ class Options:
     overwrite: bool = False
 
 
+class Assets:
+    """Files that go beside an output: pictures by number, attachments once for each content, under free names."""
+
+    def __init__(self, stem: str) -> None:
+        self.stem, self.rows = stem, []
+        self._by_digest: dict[bytes, str] = {}
+        self._taken: set[str] = set()
+
+    def _add(self, kind: str, name: str, data: bytes) -> str:
+        path = f"{self.stem}_{kind}s/{name}"
+        self.rows.append((kind, path, data))
+        return quote(path)
+
+    def image(self, n: int, part: str, data: bytes) -> str:
+        dot = part.rpartition(".")[2].lower() if "." in part else "png"
+        return self._add("image", f"image{n}.{ {'jpeg': 'jpg', 'jpe': 'jpg'}.get(dot, dot) }", data)
+
+    def attachment(self, name: str, data: bytes) -> str:
+        digest = hashlib.sha1(data).digest()
+        if digest not in self._by_digest:
+            name = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", name).strip(" .")[:120] or "attachment"
+            stem, dot, ext = name.rpartition(".")
+            stem, ext = (stem, dot + ext) if stem else (name, "")
+            free = next(x for x in chain([name], (f"{stem} ({k}){ext}" for k in count(1))) if x.lower() not in self._taken)
+            self._taken.add(free.lower())
+            self._by_digest[digest] = self._add("attachment", free, data)
+        return self._by_digest[digest]
+
+
 def sheets_markdown(cells: list[tuple]) -> tuple[str, list[str]]:
     """Sheets as headings and tables: without rows and columns that are empty, headers cleaned."""
     out, warnings, books = [], [], {}
@@ -82,24 +116,24 @@ def pdf_markdown(content: bytes) -> str:
     return "\n\n".join(out) + "\n"
 
 
-def convert_one(name: str, suffix: str, container: str, content: bytes, o: Options) -> tuple[str, str, str, list[str], str | None, bytes | None]:
-    """(status, output, message, warnings, markdown, bytes) of one file."""
+def convert_one(name: str, suffix: str, container: str, content: bytes, o: Options, output: str | None = None) -> tuple[str, str, str, list[str], str | None, bytes | None, list[tuple[str, str, bytes]]]:
+    """(status, output, message, warnings, markdown, bytes, assets) of one file; ``output`` is a name without suffix."""
     stem = name.rsplit(".", 1)[0]
+    output = output or stem
+    assets = Assets(output)
     try:
         if suffix in tx.MARKDOWN:
             text = content.decode("utf-8-sig", "replace")
             if o.target == ".pdf":
                 raise ValueError(NO_PRINTER)
             if o.target == ".xlsx":
-                cells = markdown.block_cells(markdown.parse(text)[0])
-                return "success", stem + ".xlsx", "", [c["warning"] for c in cells if c["warning"]], None, writers.xlsx([("Sheet1", cells)])
-            return "success", stem + ".docx", "", [], None, writers.docx(text, stem, o.font, o.points, o.toc, o.page_break_h1, o.add_title)
+                data, warnings = workbook(text, stem if o.add_title else "Sheet1")
+                return "success", output + ".xlsx", "", warnings, None, data, []
+            return "success", output + ".docx", "", [], None, writers.docx(text, stem, o.font, o.points, o.toc, o.page_break_h1, o.add_title), []
         warnings: list[str] = []
         if suffix in tx.WORD:
             if container == "zip":
-                image = (lambda n, part, data: f"{stem}_files/image{n}.{part.rsplit('.', 1)[-1]}") if o.extract_images else None
-                attach = (lambda part, data: f"{stem}_files/{part}") if o.extract_attachments else None
-                body, warnings, _ = containers.docx_html(content, image, attach)
+                body, warnings, _ = containers.docx_html(content, assets.image if o.extract_images else None, assets.attachment if o.extract_attachments else None)
                 said = html.to_markdown(body)
             elif container == "ole":
                 said = containers.doc_text(content) + "\n"
@@ -115,28 +149,58 @@ def convert_one(name: str, suffix: str, container: str, content: bytes, o: Optio
             said = pdf_markdown(content)
         if o.add_title and not said.lstrip().startswith("# "):
             said = f"# {stem}\n\n{said}"
-        return "success", stem + ".md", "", warnings, said, None
+        return "success", output + ".md", "", warnings, said, None, assets.rows
     except Exception as e:  # one bad file is a row, not the end of the batch
-        return "error", "", f"{type(e).__name__}: {e}", [], None, None
+        return "error", "", f"{type(e).__name__}: {e}", [], None, None, []
+
+
+def workbook(text: str, fallback: str) -> tuple[bytes, list[str]]:
+    """(.xlsx, warnings) of a Markdown text: a sheet for each section, named by its heading, names unique."""
+    blocks, meta = markdown.parse(text)
+    warnings = [f"a workbook has no place for front matter ({len(meta)} keys)"] if meta else []
+    sheets, taken = [], set()
+    parts = markdown.sections(blocks)
+    if not parts:
+        warnings.append("the document is empty; so is the only sheet")
+    for title, part in parts or [(None, [])]:
+        cells = markdown.block_cells(part)
+        warnings += [c["warning"] for c in cells if c["warning"]]
+        sheets.append((markdown.sheet_name(title or fallback, taken), cells))
+    return writers.xlsx(sheets), warnings
+
+
+def output_names(files: DataFrame, options: Options, taken: DataFrame | None = None) -> DataFrame:
+    """files plus ``output``: the name each result gets, without suffix; clashes within a batch, and with ``taken``
+    (folder, name) unless results overwrite, get numbers."""
+    md = F.col("suffix").isin(*tx.MARKDOWN)
+    ext = F.when(md, F.lit(options.target)).otherwise(F.lit(".md"))
+    keyed = files.withColumn("ext", ext).withColumn("folder", F.lit("")).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
+    keyed = keyed.withColumn("ord", F.struct(F.lower("path").alias("l"), "path"))
+    if options.overwrite:
+        return keyed.withColumn("output", F.col("stem")).drop("ext", "folder", "stem", "ord")
+    names = unique_names(keyed.select("folder", "stem", "ext", "path", "ord"), taken=taken).select("path", F.expr("substring(unique, 1, length(unique) - length(ext))").alias("output"))
+    return files.join(names, "path")
 
 
 def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """RESULT rows for files as discover() gives them."""
+    """RESULT rows for files as discover() gives them; with a column ``output`` (see output_names), results are named so."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, name, suffix, box, content in zip(f["path"], f["name"], f["suffix"], f["container"], f["content"]):
+            for path, name, suffix, box, output, content in zip(f["path"], f["name"], f["suffix"], f["container"], f["output"], f["content"]):
                 began = time.monotonic()
-                status, output, message, warnings, said, data = convert_one(name, suffix, box, bytes(content), options)
-                rows.append((path, status, output, message, warnings, time.monotonic() - began, said, data))
-            yield pd.DataFrame(rows, columns=["source", "status", "output", "message", "warnings", "duration", "markdown", "content"])
+                status, output, message, warnings, said, data, assets = convert_one(name, suffix, box, bytes(content), options, output)
+                files_beside = [{"kind": k, "name": n, "content": c} for k, n, c in assets]
+                rows.append((path, status, output, message, warnings, time.monotonic() - began, said, data, files_beside))
+            yield pd.DataFrame(rows, columns=["source", "status", "output", "message", "warnings", "duration", "markdown", "content", "assets"])
 
-    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), "content").mapInPandas(run, RESULT)
+    output = F.col("output") if "output" in files.columns else F.lit(None).cast("string")
+    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), output.alias("output"), "content").mapInPandas(run, RESULT)
 
 
 def convert_paths(spark: SparkSession, paths: list[str], options: Options = Options(), recursive: bool = True) -> DataFrame:
-    return convert(discover(spark, paths, recursive), options)
+    return convert(output_names(discover(spark, paths, recursive), options), options)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -25,17 +25,20 @@ def first_spelling(paths: DataFrame) -> DataFrame:
     return paths.withColumn("r", rank).filter("r = 1").drop("r").orderBy(F.lower("path"))
 
 
-def write_texts(results: DataFrame, folder: str) -> None:
-    """Each row's ``markdown`` as a file named ``output`` below folder; rows are written by the tasks that hold them, so
-    ``folder`` has to be a path that all executors share."""
+def write_results(results: DataFrame, folder: str) -> None:
+    """Each result's text or bytes as a file named ``output`` below folder, and its assets beside it; rows are written by
+    the tasks that hold them, so ``folder`` has to be a path that all executors share. A retried task writes the same."""
     import os
 
     def put(rows):
         for r in rows:
-            if r["markdown"] is not None and r["output"]:
-                path = os.path.join(folder, os.path.basename(r["output"]))
-                os.makedirs(folder, exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="\n") as f:
-                    f.write(r["markdown"])
-
-    results.select("output", "markdown").foreachPartition(put)
+            if r["status"] != "success" or not r["output"]:
+                continue
+            data = r["content"] if r["markdown"] is None else r["markdown"].encode("utf-8", "replace")
+            for name, body in [(os.path.basename(r["output"]), data), *((a["name"], a["content"]) for a in r["assets"] or [])]:
+                path = os.path.join(folder, *[x for x in name.split("/") if x not in ("", ".", "..")])
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(body)
+
+    results.select("status", "output", "markdown", "content", "assets").foreachPartition(put)

@@ -88,6 +88,37 @@ def test_batch_goes_on(spark, tmp_path):
     assert convert_one("x.md", ".md", "unknown", b"a", Options(target=".pdf"))[0] == "error"
 
 
+def picture_docx(data: bytes) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    w, r = containers.W[1:-1], containers.R[1:-1]
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:r="{r}" xmlns:a="{containers.A[1:-1]}"><w:body><w:p><w:r><w:t>see</w:t></w:r><w:r><w:drawing><a:blip r:embed="i"/></w:drawing></w:r></w:p></w:body></w:document>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="i" Target="media/p.JPEG"/></Relationships>')
+        z.writestr("word/media/p.JPEG", data)
+    return out.getvalue()
+
+
+def test_assets_and_clashing_outputs(spark, tmp_path):
+    from papyrine.sources.files import write_results
+
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "a b.docx").write_bytes(picture_docx(b"one"))
+    (tmp_path / "in" / "x" / "a b.docx").write_bytes(picture_docx(b"two"))
+    write_results(convert_paths(spark, [str(tmp_path / "in")]), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "a b.md").read_text() == "# a b\n\nsee![](a%20b_images/image1.jpg)\n"
+    assert {p.read_bytes() for p in (tmp_path / "out").rglob("*.jpg")} == {b"one", b"two"}
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.md")) == ["a b (1).md", "a b.md"]
+
+
+def test_sheets_of_a_text():
+    md = "# Only\n\nlead\n\n## A/b\n\ntext\n\n## Empty\n\n## a?B\n\n| x |\n| --- |\n| 1 |\n"
+    data = convert_one("d.md", ".md", "unknown", md.encode(), Options(target=".xlsx"))[5]
+    assert [(c[1], c[4]) for c in containers.xlsx_cells(data)] == [("Only", "lead"), ("Ab", "text"), ("aB (2)", "x"), ("aB (2)", "1")]
+
+
 def test_stream_watch(spark, tmp_path):
     from papyrine.streaming.watch import watch
 
