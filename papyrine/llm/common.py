@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+SLICE = 512
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,12 +82,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
 
 
 def map_columns(df: DataFrame, fn: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with columns as Python lists: fn gets an iterator of {column: list} and yields such dicts."""
+    """mapInArrow with columns as Python lists: fn gets an iterator of {column: list} and yields such dicts.
+
+    Batches come in slices of SLICE rows, so that a worker holds few texts as Python objects at a time.
+    """
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in batches)
+        slices = (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE))
+        read = ({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in slices)
         for rows in fn(read):
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
 
