@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated chunks of lines; documents of which nothing is left go. n_chars follows the text."""
-    done = lines.dedup(docs).filter("NOT (removed_lines > 0 AND text = '')")
+    """Texts without repeated passages of lines; documents of which nothing is left go. n_chars follows the text."""
+    done = lines.dedup_passages(docs).filter("NOT (removed_lines > 0 AND text = '')")
     return done.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

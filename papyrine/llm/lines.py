@@ -8,7 +8,14 @@ LONG words, are removed, after the bytes of their chunks have been compared. So
 well as one of a few long lines, while a short line that is common by itself stays. Chunks without words have no
 bytes to compare: one inside or after a run goes with it.
 
-Hashes of all chunks find the repeated ones; a bitmap of fixed size tells the second pass which chunks' bytes to
+The first and last chunk of a passage take in lines of its surroundings and then match nowhere. ``dedup_passages`` (the
+query and the pipeline) therefore looks at pairs of neighbouring lines with words as well, where one at least has under
+LONG words: all lines of repeated chunks and pairs are repeated, and runs of them with several such lines and LEAST
+words, or one of LONG, go too. Every pair of lines of a passage is repeated wherever it stands, so a passage of whole
+lines over LONG words goes completely. A line's first place in the corpus is in no repeated chunk or pair, so each line
+stays somewhere. ``dedup`` looks at chunks alone.
+
+Hashes of all chunks (and pairs) find the repeated ones; a bitmap of fixed size tells the second pass which chunks' bytes to
 send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks that are in no
 run are compared as well: they may stand first for chunks of runs elsewhere. Chunks that more than HOT documents hold
 are dealt to SALTS tasks by document, so that a very common one meets in no single task; their first places, at most
@@ -72,6 +79,19 @@ def in_runs(parts: list[tuple[str, int, int]], repeated: Callable[[int, str], bo
     return out
 
 
+def line_pairs(text: str) -> list[tuple[str, int, int]]:
+    """(body, first line, line after the last) of neighbouring lines with words, and the blank lines between, in order."""
+    lines = text.split("\n")
+    at = [i for i, ln in enumerate(lines) if ln and not ln.isspace()]
+    long = [len(lines[i].split(None, LONG)) >= LONG for i in at]
+    return [("\n".join(lines[at[k] : at[k + 1] + 1]), at[k], at[k + 1] + 1) for k in range(len(at) - 1) if not (long[k] and long[k + 1])]
+
+
+def _pieces(text: str, pairs: bool) -> list[str]:
+    """Bodies with a number each: those of the chunks ("" without words), then those of the pairs."""
+    return [body if words else "" for body, _, words in chunks(text)] + ([p[0] for p in line_pairs(text)] if pairs else [])
+
+
 def _places(h: np.ndarray | int, bits: int = BITS) -> np.ndarray | int:
     return h >> (64 - bits)
 
@@ -83,16 +103,43 @@ def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
     return "\n".join(p[0] for p, o in zip(parts, out) if not o), sum(p[1] for p, o in zip(parts, out) if o)
 
 
+def cut_passages(text: str, gone: frozenset[int]) -> tuple[str, int]:
+    """As ``cut``, with runs of lines of repeated chunks and pairs; ``gone`` numbers both."""
+    parts, two, lines = chunks(text), line_pairs(text), text.split("\n")
+    bodies = [p[0] for p in parts] + [p[0] for p in two]
+    repeated = {bodies[k] for k in gone if k < len(bodies)}
+    words = [len(ln.split()) for ln in lines]
+    marked, out, begin, spans = [False] * len(lines), [], 0, []
+    for (body, n, count), whole in zip(parts, in_runs(parts, lambda k, body: body in repeated)):
+        out += [whole] * n
+        spans += [(body, begin, begin + n)] if count else []
+        begin += n
+    seen: dict[str, int] = {}
+    for body, a, b in sorted(spans + two, key=lambda s: s[1]):
+        if body in repeated or seen.setdefault(body, a) < a:
+            marked[a:b] = [True] * (b - a)
+    k = 0
+    while k < len(lines):
+        end = k
+        while end < len(lines) and (marked[end] or (end > k and words[end] == 0)):
+            end += 1
+        count, several = sum(words[k:end]), sum(w > 0 for w in words[k:end]) > 1
+        if count >= LONG or (count >= LEAST and several):
+            out[k:end] = [True] * (end - k)
+        k = max(end, k + 1)
+    return "\n".join(ln for ln, o in zip(lines, out) if not o), sum(out)
+
+
 def _hash(body: str) -> int:
     return xxh3_64_intdigest(body.encode("utf-8", "surrogatepass"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk): the numbers of the chunks of each document that stand first in another one."""
+def repeated_chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
+    """(doc_id, chunk): the numbers of the chunks (and pairs) of each document that stand first in another one."""
 
     def hashes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"h": [_hash(body) - (1 << 63) for t in b["text"] if t for body in {p[0] for p in chunks(t) if p[2]}]}
+            yield {"h": [_hash(body) - (1 << 63) for t in b["text"] if t for body in set(_pieces(t, pairs)) - {""}]}
 
     twice = written(map_columns(docs.select("text"), hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-hashes")
 
@@ -112,8 +159,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
             rows = []
             for d, t in zip(b["doc_id"], b["text"]):
                 seen = set()
-                for k, (body, _, words) in enumerate(chunks(t) if t else []):
-                    if words and body not in seen:
+                for k, body in enumerate(_pieces(t, pairs) if t else []):
+                    if body and body not in seen:
                         seen.add(body)
                         h = _hash(body)
                         if bits[_places(h)]:
@@ -127,9 +174,15 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return sent.join(first, ["body", "salt"]).filter("doc_id != first").select("doc_id", "chunk")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs with ``text`` without repeated passages of whole lines, and n_lines, removed_lines."""
+    return dedup(docs, pairs=True)
+
+
+def dedup(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """docs with ``text`` without repeated chunks, and n_lines, removed_lines."""
-    gone = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_set("chunk").alias("gone"))
+    without = cut_passages if pairs else cut
+    gone = repeated_chunks(docs, pairs).groupBy("doc_id").agg(F.collect_set("chunk").alias("gone"))
     keyed = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone.withColumnRenamed("doc_id", "doc_id_"), F.col("doc_id") == F.col("doc_id_"), "left")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -138,7 +191,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             for r, g in zip(rows, b["gone"]):
                 n.append(r["text"].count("\n") + 1 if r["text"] else 0)
                 if r["text"]:
-                    r["text"], cut_lines = cut(r["text"], frozenset(g or ()))
+                    r["text"], cut_lines = without(r["text"], frozenset(g or ()))
                 removed.append(cut_lines if n[-1] else 0)
             yield {"row": rows, "n_lines": n, "removed_lines": removed}
 

@@ -73,7 +73,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

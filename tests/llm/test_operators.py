@@ -269,6 +269,56 @@ def test_line_dedup_passage_of_short_lines(spark):
     assert sum(s in got[2] for s in short) < 6 and "own 2 line" in got[2] and "last 2 line" in got[2]
 
 
+def test_line_dedup_whole_passages(spark):
+    """Passages of 2 to 8 lines go completely whatever stands around them; own lines and pairs of common lines that meet by chance stay."""
+    random.seed(6)
+    count = iter(range(10**6))
+    line = lambda n: " ".join(f"u{next(count)}" for _ in range(n))
+    passages = [[line(random.randrange(-(-51 // n), 40)) for _ in range(n)] for n in (2, 3, 4, 5, 6, 7, 8) for _ in range(12)]
+    passages += [[line(9), line(45)], [line(45), line(9)], [line(9), "", line(45), line(8)]]
+    common = [line(14) for _ in range(8)]
+    rows, want = [], {}
+    for d in range(3 * len(passages)):
+        p, a, b = passages[d % len(passages)], [line(random.randrange(3, 45)) for _ in range(3)], [line(random.randrange(3, 45)) for _ in range(3)]
+        rows.append((d, "\n".join([*a, *p, *b]), "s", None))
+        want[d] = rows[-1][1] if d < len(passages) else "\n".join(a + b)
+    for d in range(1000, 1008):
+        rows.append((d, "\n".join([line(5), common[d % 8], common[d % 8 - 3], line(5)]), "s", None))
+        want[d] = rows[-1][1]
+    twice = [line(20) for _ in range(3)]
+    rows.append((2000, "\n".join([*twice, line(4), *twice, "end"]), "s", None))
+    want[2000] = rows[-1][1].split("\n" + twice[0])[0] + "\nend"
+    frame = documents(spark, rows)
+    assert {r.doc_id: r.text for r in lines.dedup_passages(frame).collect()} == want
+
+
+def test_line_dedup_query_leaves_no_passage(spark, odd):
+    """In the table, every line of a passage that an earlier document holds line by line (over 50 words) is gone, unless it stands elsewhere too."""
+    rows = sorted((r.doc_id, r.text) for r in table(spark, SF, "documents").collect())
+    got = {r.doc_id: (r.text, r.removed_lines) for r in queries.op9_line_dedup(spark, SF).collect()}
+    pairs, single = set(), set()
+    for d, t in rows:
+        mine = t.split("\n")
+        at, k = set(), 0
+        while k < len(mine):
+            end = k
+            while end + 1 < len(mine) and (mine[end], mine[end + 1]) in pairs:
+                end += 1
+            if len(" ".join(mine[k : end + 1]).split()) > 50 and (end > k or mine[k] in single):
+                at |= set(range(k, end + 1))
+            k = max(k + 1, end)
+        due = [mine[i] for i in sorted(at)]
+        left = collections.Counter(got[d][0].split("\n"))
+        assert all(left[x] <= mine.count(x) - due.count(x) for x in due), d
+        assert got[d][1] == len(mine) - (len(got[d][0].split("\n")) if got[d][0] else 0)
+        pairs |= set(zip(mine, mine[1:]))
+        single |= set(mine)
+    kept = {x for t, _ in got.values() for x in t.split("\n")}
+    assert single <= kept | {""}
+    back = lines.dedup_passages(odd)
+    assert back.columns[: len(odd.columns)] == odd.columns and back.count() == 8 and lines.dedup_passages(odd.limit(0)).count() == 0
+
+
 def test_line_dedup_equals_brute_force(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
