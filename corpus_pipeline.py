@@ -28,9 +28,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it (0, 1 or 2 times)."""
-    copies = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Every row as often as the mix takes it (0, 1 or 2 times), those with null or repeated doc_ids too.
+
+    Rows get a key, written with them, so that each keeps its own decision. It starts with a hash of the row, so that
+    the order of rows decides between equal rows only.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.struct(F.xxhash64(*columns).alias("h"), F.monotonically_increasing_id().alias("i")).alias("key"))
+    rows = written(rows, "mix-rows")
+    copies = mixing.mix(rows.select("row.doc_id", "row.text", "row.source", "key"), keep=("key",)).filter("copies > 0").select("key", "copies")
+    return rows.join(copies, "key").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

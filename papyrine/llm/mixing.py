@@ -93,13 +93,13 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 40, toler
     return state.select("source", "tilt", "mean")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, salts: int = 64) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source).
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, salts: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source), and its columns ``keep``.
 
     Rounding runs within (source, size bin, salt) groups, so that no source meets in one task; group totals, at most
     salts * bins rows a source, give each group its start. Size bins are an eighth of an octave wide.
     """
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sizes = written(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = written(source_targets(sizes, weights, share), "mix-targets")
     histogram = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     histogram = written(histogram, "mix-histogram")
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rate = F.when(F.col("size") == 0, 1.0).when(full, 2.0).when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean")))
     rated = (
         sizes.alias("s").join(known.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
-        .select("doc_id", F.col("s.source").alias("source"), "size", "source_size", "target", rate.alias("rate"))
+        .select("doc_id", *keep, F.col("s.source").alias("source"), "size", "source_size", "target", rate.alias("rate"))
         .withColumn("units", F.round(F.col("rate") * F.lit(float(ONE))).cast("long"))
         .withColumn("bin", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * BINS_PER_OCTAVE)).otherwise(-1).cast("int"))
         .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
@@ -119,16 +119,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     starts = rated.groupBy(*group).agg(F.sum(F.col("units").cast("decimal(38,0)")).alias("total"))
     before = Window.partitionBy("source").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(*[F.col(x).alias(f"{x}_") for x in group], F.coalesce(F.sum("total").over(before), F.lit(0)).cast("decimal(38,0)").alias("start"))
-    inner = Window.partitionBy(*group).orderBy("size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*group).orderBy("size", "doc_id", *keep).rowsBetween(Window.unboundedPreceding, 0)
     run = rated.withColumn("upto", F.sum(F.col("units").cast("decimal(38,0)")).over(inner))
     run = run.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bin") == F.col("bin_")) & (F.col("salt") == F.col("salt_")), "left")
-    run = run.select("doc_id", F.col("source"), "size", "source_size", "target", "rate", "units", (F.col("start") + F.col("upto")).cast("decimal(38,0)").alias("end"))
+    run = run.select("doc_id", *keep, F.col("source"), "size", "source_size", "target", "rate", "units", (F.col("start") + F.col("upto")).cast("decimal(38,0)").alias("end"))
     run = written(run, "mix-run")
     trials = run.filter(F.col("size") > 0).groupBy("source", "target").agg(*[F.sum(_copies(F.lit(j * ONE // OFFSETS)) * F.col("size")).alias(f"t{j}") for j in range(OFFSETS)])
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{j}") - F.col("target")).alias("gap"), F.lit(j).alias("j")) for j in range(OFFSETS)]))
     chosen = trials.select(F.col("source").alias("source_"), (best["j"] * F.lit(ONE // OFFSETS)).cast("long").alias("offset"))
     done = run.join(chosen, F.col("source").eqNullSafe(F.col("source_")), "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(_copies(F.col("offset"))).cast("int"))
-    return done.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return done.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *keep)
 
 
 def _copies(offset: Column) -> Column:

@@ -345,6 +345,25 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in lines.dedup(docs).collect()} == want
 
 
+def test_mix_stage_keeps_each_rows_decision(spark, odd):
+    import corpus_pipeline as p
+
+    got = p.mix_sources(spark, odd, SF)
+    want = collections.Counter()
+    for r in mixing.mix(odd).collect():
+        want[r.doc_id, r.size] += r.copies
+    assert got.columns == odd.columns and want[None, 3] == 2
+    assert collections.Counter((r.doc_id, len((r.text or "").split())) for r in got.collect()) == +want
+    words = lambda s, k: " ".join(f"{s}{k}x{i}" for i in range(10))
+    rows = documents(spark, [(k, words("a", k), "a", None) for k in range(20)] + [(7 if k % 2 else None, words("b", k), "b", None) for k in range(40)])
+    taken = collections.Counter(r.text for r in p.mix_sources(spark, rows, SF).collect())
+    assert [taken[words("a", k)] for k in range(20)] == [2] * 20
+    assert sum(taken[words("b", k)] for k in range(40)) == 50 and set(taken.values()) == {1, 2}
+    again = collections.Counter(r.text for r in p.mix_sources(spark, rows.repartition(3), SF).collect())
+    assert again == taken
+    assert p.mix_sources(spark, odd.limit(0), SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
