@@ -376,3 +376,53 @@ def test_pipeline(spark):
     ids = collections.Counter(r.doc_id for r in docs.select("doc_id").collect())
     assert set(ids.values()) <= {1, 2}
     assert p.STAGES[-1][1](spark, docs, SF).count() == sum(ids.values())
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    """run() on clean documents, junk, passages, exact and near copies; the expected rows come from how they were planted."""
+    import corpus_pipeline as p
+    import tiktoken
+
+    random.seed(7)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randrange(4, 10)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(random.randrange(-(-51 // n), 40)) for _ in range(n)] for n in (2, 3, 5, 8)]
+    docs, left = [], {}
+
+    def add(source, text, after, quality=1):
+        docs.append((len(docs), text, "en", source, len(text), quality))
+        if after is not None:
+            left[docs[-1][0]] = (after, source)
+
+    for k in range(50):
+        own, source = [line(random.randrange(8, 45)) for _ in range(6)], "aab"[k % 3]
+        if k < 12:
+            add(source, "\n".join([*own[:3], *passages[k % 4], *own[3:]]), "\n".join(own if k >= 4 else [*own[:3], *passages[k], *own[3:]]))
+        else:
+            add(source, "\n".join(own), "\n".join(own))
+    for k in range(50):
+        add("ab"[k % 2], "\n".join(" ".join(f"{word().upper()}!! {random.randrange(999)} ###$" for _ in range(12)) for _ in range(4)), None, 0)
+    for k in (1, 20, 33):
+        add("b", docs[k][1], None)
+    for source in "ab":
+        base = [word() for _ in range(120)]
+        add(source, " ".join(base), " ".join(base))
+        near = " ".join([*base[:60], word(), *base[61:]])
+        add(source, near, near)
+    alone = brute_components([(d, t) for d, (t, _) in left.items()])
+    assert sum(c != d for d, (_, c) in alone.items()) == 2
+    left = {d: x for d, x in left.items() if alone[d][1] == d}
+    size = {s: sum(len(t.split()) for t, of in left.values() if of == s) for s in "ab"}
+    assert size["a"] > size["b"]
+    rest = [word() for _ in range(size["a"] - size["b"])]
+    padding = "\n".join(" ".join(rest[i : i + 15]) for i in range(0, len(rest), 15))
+    add("b", padding, padding)
+    # Equal sizes: source a (weight 5 of 7) is full at two copies a document, which leaves one for b.
+    ref = tiktoken.Encoding("ref", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(queries.vocabulary()), special_tokens={})
+    want = collections.Counter()
+    for d, (t, source) in left.items():
+        want[d, len(ref.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()] = 2 if source == "a" else 1
+    spark.createDataFrame([r[:5] for r in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[5], 0) for r in docs], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = collections.Counter((r.doc_id, r.n_tokens, r.decoded_sha256) for r in p.run(spark, str(tmp_path)).collect())
+    assert got == want
