@@ -2,50 +2,58 @@
 
 Sets are a document's distinct WORDS-word shingles as 64-bit hashes. Documents with equal sets form a class and are
 handled once. Shingles have one global order: by the count in their bucket of a count table of fixed size (rare ones
-first), then by hash. Two sets with Jaccard similarity of at least 4/5 share a shingle among the first fifth of each,
-so classes that share such a shingle, with sizes that allow a link, form a candidate group around one of them, the
-hub. In each group the sets stand in a path-compressed trie in global order; a probe walks it once, partial overlaps
-are shared by all sets below a node, subtrees are pruned where even the remaining lengths can't make a link, and where
-all sets below are already connected with the probe. Large groups are split into blocks; a second round joins the
-blocks of those groups in which more than one component is left. Links are contracted to components by rounds of
-hooking each vertex to its least neighbour, on written tables.
+first, counts by their logarithm), then by hash. Two sets with Jaccard similarity of at least 4/5 share a shingle among
+the first fifth of each, so classes that share such a shingle, with sizes that allow a link, form a candidate group
+around one of them, the hub. How many of these first shingles a class shares is counted: a link between sets of n and m
+needs 4/9 (n + m) - 4/5 max(n, m) + 1 of them, so most classes that share a few by chance go before any text is moved.
 
-Nothing unbounded meets in one task: prefix shingles travel as arrays by bucket, shingles above ``hot`` occurrences are
-grouped by an aggregation and a join that Spark can split, groups by blocks of BLOCK sets.
+The texts of the other classes travel once to each task that has a group of theirs. In each group the sets stand in a
+path-compressed trie in global order; a probe walks it once, partial overlaps are shared by all sets below a node,
+subtrees are pruned where even the remaining lengths can't make a link, and where all sets below are already connected
+with the probe. Large groups are split into blocks; a second round joins the blocks of those groups in which more than
+one component is left. Links are contracted to components by rounds of hooking each vertex to its least neighbour, on
+written tables.
+
+Nothing unbounded meets in one task: prefix shingles travel as arrays by bucket, those that occur more than ``hot``
+times are grouped by an aggregation and a join that Spark can split, groups by blocks of BLOCK sets and MOST shingles.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; fewer than WORDS words
-make one shingle; repeated rows are copies of each other; very long texts are read whole; an empty table gives an empty
-result; other columns are not read.
+make one shingle; repeated rows are copies of each other; rows that repeat a doc_id with another text are documents of
+their own with that id; a null doc_id stands for no number: its row gets the smallest doc_id of its component, null if
+there is none; very long texts are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from papyrine.llm.common import map_columns, summed_blocks, written
+from papyrine.llm.common import BLOCK_ROWS, CACHES, bitmap, bits_for, block_rows, bounded, dropped, map_columns, marked_at, merged_blocks, tidy, written
 
 WORDS = 5
-TABLE_BITS = 20
-BLOCK = 512
+TABLE_BITS, TABLE_BLOCK = 20, 1 << 12
+BLOCK, MOST = 512, 1_000_000
+HOT = 2_000_000
+KNOWN, SEEN = 150_000, 100_000
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > KNOWN:
             self.clear()
         h = self[word] = xxh3_64_intdigest(word)
         return h
 
 
 _words = _Hashes()
+CACHES.append(_words.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -80,16 +88,24 @@ def least_overlap(n: int, m: int) -> int:
     return -(-4 * (n + m) // 9)
 
 
-def ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def least_shared(n: Column, m: Column) -> Column:
+    """How many of their first fifths' shingles sets of n and m share at least, if they link.
+
+    Of the o shared shingles, o - (n - p) are among the first p of n; p is n - ceil(4/5 n) + 1.
+    """
+    up = lambda x, y: -F.floor(-x / F.lit(y))
+    return up(4 * (n + m), 9) + 1 - up(4 * F.greatest(n, m), 5)
+
+
+def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """In global order."""
-    return s[np.argsort(counts[s >> np.uint64(64 - TABLE_BITS)], kind="stable")]
+    return s[np.argsort(levels[s >> np.uint64(64 - TABLE_BITS)], kind="stable")]
 
 
 class Trie:
     """A path-compressed trie over sets of ranks in lexicographic order; node arrays by number.
 
-    ``lo`` and ``hi`` bound the sets below a node, ``depth`` counts the ranks above and in its segment, ``least`` and
-    ``most`` bound the sizes of the sets below.
+    ``lo`` and ``hi`` bound the sets below a node, ``depth`` counts the ranks above and in its segment.
     """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
@@ -149,11 +165,13 @@ class Trie:
                         yield i
 
 
-def _connect(coded: list[np.ndarray], universe: int, labels: list[int], probes: list[bool]) -> list[tuple[int, int]]:
-    """Pairs of positions that link, enough to connect all that links connect; between a probe and any set.
-
-    ``coded`` are sets of ranks below ``universe``; ``labels`` say what is connected already.
-    """
+def connect(raw: list[np.ndarray], labels: list[int], probes: list[bool], levels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions in ``raw`` (a group's sets) that link, enough to connect all that links connect; between a
+    probe and any set. ``labels`` say what is connected already."""
+    every = np.unique(np.concatenate(raw))
+    rank = np.empty(len(every), np.int64)
+    rank[np.argsort(levels[every >> np.uint64(64 - TABLE_BITS)], kind="stable")] = np.arange(len(every))
+    coded = [np.sort(rank[np.searchsorted(every, s)]) for s in raw]
     trie = Trie(coded)
     place = {i: k for k, i in enumerate(trie.order)}
     now = np.array([labels[i] for i in trie.order])
@@ -164,104 +182,117 @@ def _connect(coded: list[np.ndarray], universe: int, labels: list[int], probes:
         k = place[i]
         if (now == now[k]).all():
             continue
-        for other in trie.links(coded[i], universe, k, now):
+        for other in trie.links(coded[i], len(every), k, now):
             out.append((i, trie.order[other]))
             now[now == now[other]] = now[k]
     return out
 
 
-def group_links(texts: list[bytes], classes: list[int], labels: list[int], probes: list[bool], counts: np.ndarray) -> list[tuple[int, int]]:
-    """(class, class) links within one candidate group."""
-    raw = [shingles(zlib.decompress(t).decode("utf-8", "surrogatepass")) for t in texts]
-    every = np.unique(np.concatenate(raw))
-    by_order = np.argsort(counts[every >> np.uint64(64 - TABLE_BITS)], kind="stable")
-    rank = np.empty(len(every), np.int64)
-    rank[by_order] = np.arange(len(every))
-    coded = [np.sort(rank[np.searchsorted(every, s)]) for s in raw]
-    return [(classes[a], classes[b]) for a, b in _connect(coded, len(every), labels, probes)]
-
-
 def profile(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, class) as a written table, and the count table of all distinct shingles of each document."""
+    """(doc_id, h, n_shingles, class) as a written table, h a hash of the text, and the count table of the distinct
+    shingles of every document, from one pass over the texts."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        total, held, n = np.zeros(1 << TABLE_BITS, np.int32), [], 0
+        none = {"doc_id": [], "h": [], "n_shingles": [], "class": []}
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "class": [identity(s) if len(s) else None for s in sets]}
-
-    def count(batches: Iterator[dict]) -> np.ndarray:
-        total, held, n = np.zeros(1 << TABLE_BITS, np.int64), [], 0
+            for s in sets:
+                held.append((s >> np.uint64(64 - TABLE_BITS)).astype(np.int32))
+                n += len(s)
+            if n > 1 << 19:
+                total += np.bincount(np.concatenate(held), minlength=1 << TABLE_BITS).astype(np.int32)
+                held, n = [], 0
+            nulls = [None] * len(sets)
+            yield {"doc_id": b["doc_id"], "h": b["h"], "n_shingles": [len(s) for s in sets], "class": [identity(s) if len(s) else None for s in sets], "k": nulls, "near": nulls, "part": nulls}
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << TABLE_BITS).astype(np.int32)
+        blocks = block_rows(total, TABLE_BLOCK)
+        yield {**{c: [None] * len(blocks["k"]) for c in none}, **blocks}
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    both = written(map_columns(read, rows, f"doc_id long, h long, n_shingles long, class long, {BLOCK_ROWS}"), "sets")
+    counts = merged_blocks(both.filter("k is not null").select("k", "near", F.col("part")).transform(_wide), 1 << TABLE_BITS, np.int64, TABLE_BLOCK)
+    return both.filter("k is null").select("doc_id", "h", "n_shingles", "class"), counts
+
+
+def _wide(rows: DataFrame) -> DataFrame:
+    """Blocks of 32-bit counts as 64-bit ones, which sums of many tasks need."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            for t in b["text"]:
-                held.append(shingles(t) >> np.uint64(64 - TABLE_BITS))
-                n += len(held[-1])
-                if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << TABLE_BITS)
-                    held, n = [], 0
-        return total + np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << TABLE_BITS) if held else total
+            yield {**b, "part": [np.frombuffer(p, np.int32).astype(np.int64).tobytes() for p in b["part"]]}
+
+    return map_columns(rows, run, BLOCK_ROWS)
 
-    return written(map_columns(docs.select("doc_id", "text"), rows, "doc_id long, n_shingles long, class long"), "sets"), summed_blocks(docs.select("text"), count, 1 << TABLE_BITS)
 
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """The counts' logarithms in 255 steps, one byte each: what the order needs, and all that tasks get of the table."""
+    return np.minimum(255, np.round(6 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
 
-def _prefixes(docs: DataFrame, counts: np.ndarray, hot: int) -> tuple[callable, callable]:
-    """(cool, hot) map functions over texts: arrays of prefix shingles by bucket; rows of the hot ones."""
+
+def _prefix(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles, and which of them are in the shorter prefix that is enough for the smaller of two sets."""
+    n = len(s)
+    first = ordered(s, levels)[: n - (4 * n + 4) // 5 + 1]
+    return first, np.arange(len(first)) < n - (8 * n + 8) // 9 + 1
+
+
+def _prefixes(levels: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[Callable, Callable]:
+    """(cool, hot) map functions over texts: arrays of prefix shingles by bucket; rows of those in hot places of the table."""
 
     def each(batches: Iterator[dict]) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
         seen: set[int] = set()
         for b in batches:
             for t in b["text"]:
                 s = shingles(t)
-                n = len(s)
-                if n:
+                if len(s):
                     c = identity(s)
-                    if c not in seen:
-                        if len(seen) < 1_000_000:
+                    if c not in seen:  # copies within a task; others go where their bucket meets
+                        if len(seen) < SEEN:
                             seen.add(c)
-                        first = ordered(s, counts)[: n - (4 * n + 4) // 5 + 1]
-                        yield first, c, n, np.arange(len(first)) < n - (8 * n + 8) // 9 + 1
-
-    def cool_parts(buckets: int):
-        def run(batches: Iterator[dict]) -> Iterator[dict]:
-            held, size = [], 0
-
-            def parts() -> dict:
-                tokens, cls, ns = (np.concatenate([h[k] for h in held]) for k in range(3))
-                bucket = (tokens % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, tokens, cls, ns = bucket[order], tokens[order], cls[order], ns[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cuts[1:], len(bucket))
-                return {"bucket": bucket[cuts].tolist(), "part": [tokens[a:b].tobytes() + cls[a:b].tobytes() + ns[a:b].tobytes() for a, b in zip(cuts, ends)]}
-
-            for first, c, n, short in each(batches):
-                cool = counts[first >> np.uint64(64 - TABLE_BITS)] <= hot
-                k = int(cool.sum())
-                held.append((first[cool], np.full(k, c, np.int64), (np.uint32(min(n, (1 << 31) - 1)) | (short[cool].astype(np.uint32) << np.uint32(31)))))
-                size += k
-                if size > 1_500_000:
-                    yield parts()
-                    held, size = [], 0
-            if size:
-                yield parts()
-
-        return run
+                        first, short = _prefix(s, levels)
+                        yield first, c, len(s), short
+
+    def parts(held: list[tuple]) -> dict:
+        tokens, cls, ns = (np.concatenate([h[k] for h in held]) for k in range(3))
+        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, tokens, cls, ns = bucket[order], tokens[order], cls[order], ns[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cuts[1:], len(bucket))
+        return {"bucket": bucket[cuts].tolist(), "part": [tokens[a:b].tobytes() + cls[a:b].tobytes() + ns[a:b].tobytes() for a, b in zip(cuts, ends)]}
+
+    def cool_rows(batches: Iterator[dict]) -> Iterator[dict]:
+        held, size = [], 0
+        for first, c, n, short in each(batches):
+            cool = ~hot[first >> np.uint64(64 - TABLE_BITS)]
+            k = int(cool.sum())
+            held.append((first[cool], np.full(k, c, np.int64), np.uint32(min(n, (1 << 31) - 1)) | (short[cool].astype(np.uint32) << np.uint32(31))))
+            size += k
+            if size > 1_000_000:
+                yield parts(held)
+                held, size = [], 0
+        if size:
+            yield parts(held)
 
     def hot_rows(batches: Iterator[dict]) -> Iterator[dict]:
         for first, c, n, short in each(batches):
-            t = first[counts[first >> np.uint64(64 - TABLE_BITS)] > hot]
-            yield {"token": t.astype(np.int64).tolist(), "class": [c] * len(t)}
+            on = hot[first >> np.uint64(64 - TABLE_BITS)]
+            t = first[on].astype(np.int64)
+            yield {"token": t.tolist(), "class": [c] * len(t), "n": [n] * len(t), "short": short[on].tolist()}
 
-    return cool_parts, hot_rows
+    return cool_rows, hot_rows
 
 
-def _groups(key: tuple, rows: pa.Table) -> pa.Table:
-    """Of one bucket's prefix shingles: (hub, class) for every candidate group of at least two classes."""
+def _runs(key: tuple, rows: pa.Table) -> pa.Table:
+    """Of one bucket's prefix shingles: (hub, class, n, shared, good) for every run of at least two classes that share
+    one and whose sizes, in order, are near enough to link; good if the run has what a link needs."""
     blobs = [x.as_buffer() for x in rows.column("part")]
     cuts = [len(b) // 20 for b in blobs]
     t = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, cuts)])
     c = np.concatenate([np.frombuffer(b, np.int64, n, 8 * n) for b, n in zip(blobs, cuts)])
     m = np.concatenate([np.frombuffer(b, np.uint32, n, 16 * n) for b, n in zip(blobs, cuts)])
-    short, n = m >> np.uint32(31), (m & np.uint32(0x7FFFFFFF)).astype(np.int64)
     order = np.argsort(t, kind="stable")
     t = t[order]
     alone = np.ones(len(t), bool)
@@ -269,63 +300,113 @@ def _groups(key: tuple, rows: pa.Table) -> pa.Table:
     alone[1:] &= ~same
     alone[:-1] &= ~same
     keep = order[~alone]
-    t, c, n, short = t[~alone], c[keep], n[keep], short[keep]
-    order = np.lexsort((c, n, t))
-    t, c, n, short = t[order], c[order], n[order], short[order]
+    t, c, m = t[~alone], c[keep], m[keep]
+    short, n = m >> np.uint32(31), (m & np.uint32(0x7FFFFFFF)).astype(np.int64)
+    out = [np.zeros(0, np.int64)] * 5
     if len(t):
+        order = np.lexsort((c, n, t))
+        t, c, n, short = t[order], c[order], n[order], short[order]
         first = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
         t, c, n, short = t[first], c[first], n[first], short[first]
-        # a run: one shingle, and neighbours by size near enough to link
         starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (5 * n[:-1] < 4 * n[1:])))
         size = np.diff(np.append(starts, len(t)))
-        good = (size > 1) & (np.maximum.reduceat(short, starts) > 0)
-        hub = np.minimum.reduceat(c, starts)
-        pairs = np.unique(np.stack([np.repeat(hub, size), c], 1)[np.repeat(good, size)], axis=0)
-    else:
-        pairs = np.zeros((0, 2), np.int64)
-    return pa.table({"hub": pa.array(pairs[:, 0], pa.int64()), "class": pa.array(pairs[:, 1], pa.int64())})
+        many, good, hub = np.repeat(size > 1, size), np.repeat(np.maximum.reduceat(short, starts), size), np.repeat(np.minimum.reduceat(c, starts), size)
+        hub, c, n, good = hub[many], c[many], n[many], good[many].astype(np.int64)
+        if len(hub):
+            order = np.lexsort((c, hub))
+            hub, c, n, good = hub[order], c[order], n[order], good[order]
+            new = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (c[1:] != c[:-1])))
+            out = [hub[new], c[new], n[new], np.diff(np.append(new, len(hub))), np.maximum.reduceat(good, new)]
+    return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("hub", "class", "n", "shared", "good"), out)})
+
 
+def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None, per_bucket: int = 300_000) -> DataFrame:
+    """(hub, class, n, shared): every two classes that link are together in some hub's group.
 
-def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int, per_bucket: int = 400_000) -> DataFrame:
-    """(hub, class): distinct; every two classes that link are together in some hub's group."""
-    total = int(counts.sum())
+    ``hot`` bounds how often a shingle that stays in a bucket can occur; a place of the count table also holds others,
+    so places count as hot from ``hot`` above what chance brings them.
+    """
+    total, mean = int(counts.sum()), float(counts.mean())
+    often = counts > (hot if hot is not None else HOT + mean + 6 * mean**0.5)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, total // 5 // per_bucket + 1)
-    cool, hot_rows = _prefixes(docs, counts, hot)
-    pairs = map_columns(docs.select("text"), cool(buckets), "bucket long, part binary").groupBy("bucket").applyInArrow(_groups, "hub long, class long")
-    if len(counts) and counts.max() > hot:
-        rows = map_columns(docs.select("text"), hot_rows, "token long, class long")
-        hubs = rows.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("top")).filter("hub != top").select("token", "hub")
-        pairs = pairs.unionByName(rows.join(hubs, "token").select("hub", "class"))
-    return pairs.distinct()
-
-
-def _links(members: DataFrame, texts: DataFrame, counts: np.ndarray, per_task: int = 1500) -> DataFrame:
-    """(a, b) links of members(hub, block, class, doc_id, label, probe), whose texts are joined by doc_id."""
-    n = members.count()
-    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // per_task + 1)
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("hub", "ascending"), ("block", "ascending"), ("class", "ascending")])
-        hub, block = rows.column("hub").to_numpy(), rows.column("block").to_numpy()
-        cuts = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (block[1:] != block[:-1])))
-        a, b = [], []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(hub))):
-            g = rows.slice(lo, hi - lo)
-            got = group_links(g.column("z").to_pylist(), g.column("class").to_pylist(), g.column("label").to_pylist(), g.column("probe").to_pylist(), counts)
-            a += [x for x, _ in got]
-            b += [x for _, x in got]
+    cool, hot_rows = _prefixes(levels_of(counts), often, max(parts, total // 5 // per_bucket + 1))
+    kinds = "hub long, class long, n long, shared long, good long"
+    pairs = map_columns(docs.select("text"), cool, "bucket long, part binary").groupBy("bucket").applyInArrow(_runs, kinds)
+    if often.any():
+        rows = map_columns(docs.select("text"), hot_rows, "token long, class long, n long, short boolean")
+        hubs = rows.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("top"), F.max("short").cast("long").alias("good")).filter("hub != top").select("token", "hub", "good")
+        pairs = pairs.unionByName(rows.join(hubs, "token").select("hub", "class", "n", F.lit(1).cast("long").alias("shared"), "good"))
+    groups = written(pairs.groupBy("hub", "class").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.max("good").alias("good")), "groups")
+    return _pruned(groups).filter("good = 1").drop("good")
+
+
+def _pruned(groups: DataFrame, rounds: int = 3) -> DataFrame:
+    """Without classes that share fewer first shingles, over all their groups, than a link with the nearest to a
+    possible partner's size would need; that leaves other groups with one class, so it is done again."""
+    for _ in range(rounds):
+        span = groups.groupBy("hub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+        near = lambda m: least_shared(F.col("n"), m)
+        need = groups.join(span, "hub").groupBy("class").agg(F.sum("shared").alias("all"), F.min(F.least(near(F.col("lo")), near(F.col("hi")))).alias("need")).filter("all >= need").select("class")
+        groups = written(groups.join(need, "class", "left_semi"), "groups")
+    return groups.join(groups.groupBy("hub").agg(F.sum("good").alias("together")).filter("together > 1").select("hub"), "hub", "left_semi")
+
+
+def _links(docs: DataFrame, members: DataFrame, reps: DataFrame, levels: np.ndarray, per_task: int = 1_500_000) -> DataFrame:
+    """(a, b) links of members(hub, block, class, n, label, probe); reps(class, h) names a text of each class.
+
+    A task gets its groups' rows and each of their classes' texts once; of copies of a text one a map task travels.
+    """
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(members.agg(F.sum("n")).first()[0] or 0) // per_task + 1)
+    placed = members.withColumn("task", F.pmod(F.xxhash64("hub", "block"), F.lit(tasks)).cast("int"))
+    wanted = written(placed.select("class", "task").distinct().join(reps, "class"), "wanted")
+    full = _texts(docs, wanted.select("h").distinct()).join(wanted, "h").select("task", "class", "z")
+    bounded(spark)
+
+    def run(key: tuple, groups: pa.Table, texts: pa.Table) -> pa.Table:
+        groups = groups.sort_by([("hub", "ascending"), ("block", "ascending"), ("class", "ascending")])
+        z = dict(zip(texts.column("class").to_pylist(), texts.column("z").to_pylist()))
+        hub, block, classes, labels, probes = (groups.column(c).to_pylist() for c in ("hub", "block", "class", "label", "probe"))
+        a, b, lo = [], [], 0
+        for hi in range(1, len(hub) + 1):
+            if hi == len(hub) or (hub[hi], block[hi]) != (hub[lo], block[lo]):
+                raw = [shingles(zlib.decompress(z[c]).decode("utf-8", "surrogatepass")) for c in classes[lo:hi]]
+                for x, y in connect(raw, labels[lo:hi], probes[lo:hi], levels):
+                    a.append(classes[lo + x])
+                    b.append(classes[lo + y])
+                lo = hi
+        tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    full = members.join(texts, "doc_id").withColumn("task", F.pmod(F.xxhash64("hub", "block"), F.lit(tasks)).cast("int"))
-    return full.groupBy("task").applyInArrow(run, "a long, b long")
+    return written(placed.groupBy("task").cogroup(full.groupBy("task")).applyInArrow(run, "a long, b long"), "links")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, z): compressed texts, each once, of the wanted hashes, and a few more: a bitmap selects them."""
+    bits = bits_for(wanted.count())
+    at = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    on = bitmap(wanted.select(at(F.col("h")).alias("place")), bits)
+
+    def pick(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set[int] = set()
+        for b in batches:
+            rows = []
+            for h, t, k in zip(b["h"], b["text"], marked_at(on, np.array(b["place"], np.int64))):
+                if k and t and h not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(h)
+                    rows.append((h, zlib.compress(t.encode("utf-8", "surrogatepass"), 3)))
+            yield {"h": [r[0] for r in rows], "z": [r[1] for r in rows]}
+
+    h = F.xxhash64("text")
+    return map_columns(docs.select(h.alias("h"), at(h).alias("place"), "text"), pick, "h long, z binary").dropDuplicates(["h"])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root) for the vertices of edges(a, b): the least vertex of each one's component.
 
     Each round hooks every vertex to its least neighbour (if smaller), follows the hooks to their ends, and contracts
-    the edges; at least half of the vertices of each component go in a round.
+    the edges; at least half of the vertices of each component go in a round, so ``max_rounds`` are enough for 2**60.
     """
     edges = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
@@ -337,13 +418,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         while True:  # jumps double the way, and trees are as deep as chains of hooks
             up = hooks.select(F.col("v").alias("root"), F.col("root").alias("up"))
             jumped = written(hooks.join(up, "root", "left").select("v", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), "hooks")
+            dropped(hooks)
             hooks = jumped.select("v", "root")
             if jumped.filter("moved").isEmpty():
                 break
         maps.append(hooks)
         a, b = hooks.select(F.col("v").alias("a"), F.col("root").alias("ra")), hooks.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x != y")
-        edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        old, edges = edges, written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(old)
+    else:
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     if not maps:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = maps[-1]
@@ -353,62 +438,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, hot: int | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, hot: int | None = None, block: int = BLOCK, keep: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text); with ``keep`` also h, the xxhash64 of the
+    text, and root, a number of the component (null without words)."""
     sets, counts = profile(docs)
-    hot = hot if hot is not None else max(2_000_000, 16 * int(counts.mean()))
+    levels = levels_of(counts)
     groups = written(candidate_groups(docs, counts, hot), "groups")
-    reps = sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).select("hub", F.ceil(F.col("members") / F.lit(block)).cast("int").alias("blocks"), "members")
-    members = groups.join(sized, "hub").join(reps, "class").select("hub", "class", "blocks", F.col("rep").alias("doc_id"), F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
+    sized = sized.select("hub", F.greatest(F.ceil(F.col("members") / F.lit(block)), F.ceil(F.col("all") / F.lit(MOST))).cast("int").alias("blocks"))
+    members = groups.join(sized, "hub").select("hub", "class", "n", "blocks", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     members = written(members, "members")
-    texts = _texts(docs, members)
-    own = members.filter("class != hub").select("hub", "block", "class", "doc_id", F.col("class").alias("label"), F.lit(True).alias("probe"))
-    hubs = members.filter("class = hub").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "block", "class", "doc_id", F.col("class").alias("label"), F.lit(True).alias("probe"))
-    links = written(_links(own.unionByName(hubs), texts, counts), "links")
-    # from classes to their first documents, so that the least vertex is the least doc_id
-    named = reps.select(F.col("class").alias("c"), "rep")
-    edges = written(links.join(named.withColumnRenamed("rep", "x"), F.col("a") == F.col("c")).drop("c").join(named.withColumnRenamed("rep", "y"), F.col("b") == F.col("c")).select(F.col("x").alias("a"), F.col("y").alias("b")), "edges")
-    roots = components(edges)
+    reps = written(sets.filter("class is not null").groupBy("class").agg(F.min("h").alias("h"), F.min("doc_id").alias("rep")), "reps")
+    named = reps.select("class", "h")
+    first = members.withColumn("block", F.explode(F.when(F.col("class") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    first = first.select("hub", "block", "class", "n", F.col("class").alias("label"), F.lit(True).alias("probe"))
+    links = _links(docs, first, named, levels)
+    roots = components(links)
     if not members.filter("blocks > 1").isEmpty():
-        more = _between_blocks(members, roots, texts, counts, block)
+        more = _between_blocks(members, roots, block)
         if more is not None:
-            more = more.join(named.withColumnRenamed("rep", "x"), F.col("a") == F.col("c")).drop("c").join(named.withColumnRenamed("rep", "y"), F.col("b") == F.col("c")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-            roots = components(edges.unionByName(more))
-    label = reps.join(roots, F.col("rep") == F.col("v"), "left").select(F.col("class").alias("class_"), F.coalesce("root", "rep").alias("component"))
-    return sets.join(label, F.col("class") == F.col("class_"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _texts(docs: DataFrame, members: DataFrame, bits: int = 25) -> DataFrame:
-    """(doc_id, z): compressed texts of the members, and a few more: a bitmap of fixed size selects them."""
-
-    def place(ids: list[int | None]) -> np.ndarray:
-        return (_mix(np.array([-1 if i is None else i for i in ids], np.int64).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-    def marked(batches: Iterator[dict]) -> np.ndarray:
-        on = np.zeros(1 << bits, bool)
-        for b in batches:
-            on[place(b["doc_id"])] = True
-        return np.packbits(on)
-
-    bitmap = summed_blocks(members.select("doc_id"), marked, 1 << (bits - 3), merge="or", block=1 << 16)
-
-    def pick(batches: Iterator[dict]) -> Iterator[dict]:
-        on = np.unpackbits(bitmap)
-        for b in batches:
-            rows = [(d, zlib.compress(t.encode("utf-8", "surrogatepass"), 3)) for d, t, k in zip(b["doc_id"], b["text"], place(b["doc_id"])) if on[k] and t]
-            yield {"doc_id": [r[0] for r in rows], "z": [r[1] for r in rows]}
-
-    picked = map_columns(docs.select("doc_id", "text"), pick, "doc_id long, z binary")
-    return written(picked.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+            roots = components(links.unionByName(_links(docs, more, named, levels)))
+    roots = written(roots, "roots")
+    vertices = roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    least = vertices.join(reps.select(F.col("class").alias("v"), "rep"), "v").groupBy("root").agg(F.min("rep").alias("least"))
+    label = vertices.join(least, "root").select(F.col("v").alias("class"), "root", "least")
+    label = reps.select("class", "rep").join(label, "class", "left").select(F.col("class").alias("class_"), F.coalesce("root", "class").alias("root"), F.coalesce("least", "rep").alias("component"))
+    return sets.join(label, F.col("class") == F.col("class_"), "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *(("h", "root") if keep else ()))
 
 
-def _between_blocks(members: DataFrame, roots: DataFrame, texts: DataFrame, counts: np.ndarray, block: int) -> DataFrame | None:
-    """Links between blocks of those groups whose blocks hold more than one component; None if there are no such groups.
+def _between_blocks(members: DataFrame, roots: DataFrame, block: int) -> DataFrame | None:
+    """What is left to compare: of those groups whose blocks hold more than one component; None if there are no such groups.
 
     All outside a group's largest component are probes, in blocks of their own, against every block of the group.
     """
-    spread = members.filter("blocks > 1").join(roots, F.col("doc_id") == F.col("v"), "left").select("hub", "class", "doc_id", "block", "blocks", F.coalesce("root", "doc_id").alias("label"))
+    spread = members.filter("blocks > 1").join(roots, F.col("class") == F.col("v"), "left").select("hub", "class", "n", "block", "blocks", F.coalesce("root", "class").alias("label"))
     spread = written(spread, "spread")
     per = spread.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("hub").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).filter("all > m.n").select("hub", F.col("m.label").alias("main"), (F.col("all") - F.col("m.n")).alias("fringe"))
@@ -418,7 +481,6 @@ def _between_blocks(members: DataFrame, roots: DataFrame, texts: DataFrame, coun
     both = spread.join(main.withColumn("sides", F.ceil(F.col("fringe") / F.lit(block)).cast("int")), "hub")
     side = F.pmod(F.xxhash64("class", F.lit(2)), F.col("sides")).cast("int")
     key = (F.col("i") * F.col("blocks") + F.col("j")).cast("int").alias("block")
-    probes = both.filter("label != main").withColumn("i", side).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", key, "class", "doc_id", "label", F.lit(True).alias("probe"))
-    others = both.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("hub", key, "class", "doc_id", "label", F.lit(False).alias("probe"))
-    together = probes.unionByName(others).groupBy("hub", "block", "class", "doc_id", "label").agg(F.max("probe").alias("probe"))
-    return written(_links(together, texts, counts), "links")
+    probes = both.filter("label != main").withColumn("i", side).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", key, "class", "n", "label", F.lit(True).alias("probe"))
+    others = both.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("hub", key, "class", "n", "label", F.lit(False).alias("probe"))
+    return written(probes.unionByName(others).groupBy("hub", "block", "class", "n", "label").agg(F.max("probe").alias("probe")), "sides")
