@@ -15,15 +15,16 @@ words, or one of LONG, go too. Every pair of lines of a passage is repeated wher
 lines over LONG words goes completely. A line's first place in the corpus is in no repeated chunk or pair, so each line
 stays somewhere. ``dedup`` looks at chunks alone.
 
-Hashes of all chunks (and pairs) find the repeated ones; a bitmap of fixed size tells the second pass which chunks' bytes to
-send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks that are in no
-run are compared as well: they may stand first for chunks of runs elsewhere. Chunks that more than HOT documents hold
-are dealt to SALTS tasks by document, so that a very common one meets in no single task; their first places, at most
-a share of SALTS / HOT of the rows, go to all of these.
-
-Defined cases: null text stays null and empty text empty; texts of any length are read whole; in rows that repeat a
-doc_id, chunks count as of one document (all these rows keep what the document keeps); an empty table stays empty; all
-columns of the input are returned, whatever their names.
+Hashes of all chunks (and pairs) find the repeated ones; a bitmap, sized by their number, tells the second pass which
+chunks' bytes to send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks
+that are in no run are compared as well: they may stand first for chunks of runs elsewhere. The places are found by an
+aggregation that folds copies before it shuffles; places and first places meet in a join of two tables, whose very
+common keys Spark splits.
+
+Defined cases: a document is a (doc_id, text): rows that repeat both are one, rows that repeat a doc_id with another
+text are documents of their own, ordered by a hash of the text; a null doc_id comes after all others; null text stays
+null and empty text empty; texts of any length are read whole; an empty table stays empty; all columns of the input are
+returned, and n_lines and removed_lines after them, with an underscore more where a column has that name.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from papyrine.llm.common import map_columns, summed_blocks, written
+from papyrine.llm.common import bitmap, bits_for, bounded, fresh, map_columns, marked_at, slices, tidy, written
 
 WINDOW, DIVISOR, LONG, LEAST = 2, 2, 40, 25
-BITS, HOT_BITS = 25, 20
-HOT, SALTS = 1000, 64
 MASK = (1 << 64) - 1
 
 
@@ -92,10 +93,6 @@ def _pieces(text: str, pairs: bool) -> list[str]:
     return [body if words else "" for body, _, words in chunks(text)] + ([p[0] for p in line_pairs(text)] if pairs else [])
 
 
-def _places(h: np.ndarray | int, bits: int = BITS) -> np.ndarray | int:
-    return h >> (64 - bits)
-
-
 def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
     """The text without the runs of chunks that are numbered in ``gone`` or repeat earlier ones of the text; lines removed."""
     parts = chunks(text)
@@ -131,47 +128,41 @@ def cut_passages(text: str, gone: frozenset[int]) -> tuple[str, int]:
 
 
 def _hash(body: str) -> int:
-    return xxh3_64_intdigest(body.encode("utf-8", "surrogatepass"))
+    """64 bits, signed."""
+    return xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def repeated_chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
-    """(doc_id, chunk): the numbers of the chunks (and pairs) of each document that stand first in another one."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(d, h, text): the document's key, in order, and its text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MASK >> 1)).alias("d"), F.xxhash64("text").alias("h"), "text")
 
-    def hashes(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"h": [_hash(body) - (1 << 63) for t in b["text"] if t for body in set(_pieces(t, pairs)) - {""}]}
 
-    twice = written(map_columns(docs.select("text"), hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "line-hashes")
+def repeated_chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
+    """(d, h, chunk): the numbers of the chunks (and pairs) of each document that stand first in another one."""
 
-    def marked(batches: Iterator[dict]) -> np.ndarray:
-        bits = np.zeros((1 << BITS) + (1 << HOT_BITS), bool)
+    def hashes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            h = np.array(b["h"], np.int64).astype(np.uint64) + np.uint64(1 << 63)
-            bits[_places(h)] = True
-            bits[(1 << BITS) + _places(h[np.array(b["n"], np.int64) > HOT], HOT_BITS).astype(np.int64)] = True
-        return np.packbits(bits)
+            yield {"c": [_hash(body) for t in b["text"] if t for body in set(_pieces(t, pairs)) - {""}]}
 
-    bitmap = summed_blocks(twice, marked, (1 << (BITS - 3)) + (1 << (HOT_BITS - 3)), merge="or", block=1 << 16)
+    twice = written(map_columns(docs.select("text"), hashes, "c long").groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "line-hashes")
+    bits = bits_for(twice.count())
+    on = bitmap(twice.select(F.shiftrightunsigned("c", 64 - bits).alias("place")), bits)
 
     def bodies(batches: Iterator[dict]) -> Iterator[dict]:
-        bits = np.unpackbits(bitmap)
         for b in batches:
             rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                seen = set()
+            for d, h, t in zip(b["d"], b["h"], b["text"]):
+                first = {}
                 for k, body in enumerate(_pieces(t, pairs) if t else []):
-                    if body and body not in seen:
-                        seen.add(body)
-                        h = _hash(body)
-                        if bits[_places(h)]:
-                            rows.append((d, k, body, bits[(1 << BITS) + _places(h, HOT_BITS)] == 1))
-            yield {"doc_id": [r[0] for r in rows], "chunk": [r[1] for r in rows], "body": [r[2] for r in rows], "hot": [r[3] for r in rows]}
+                    if body:
+                        first.setdefault(body, k)
+                places = np.array([_hash(body) for body in first], np.int64).astype(np.uint64) >> np.uint64(64 - bits)
+                rows += [(d, h, k, body) for (body, k), sent in zip(first.items(), marked_at(on, places.astype(np.int64))) if sent]
+            yield {"d": [r[0] for r in rows], "h": [r[1] for r in rows], "chunk": [r[2] for r in rows], "body": [r[3] for r in rows]}
 
-    sent = map_columns(docs.select("doc_id", "text"), bodies, "doc_id long, chunk int, body string, hot boolean")
-    sent = sent.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
-    first = sent.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.max("hot").alias("hot")).filter("n > 1")
-    first = first.select("body", "first", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    return sent.join(first, ["body", "salt"]).filter("doc_id != first").select("doc_id", "chunk")
+    sent = written(map_columns(_keyed(docs), bodies, "d long, h long, chunk int, body string"), "line-bodies")
+    first = sent.groupBy("body").agg(F.min(F.struct("d", "h")).alias("first"), F.max(F.struct("d", "h")).alias("last")).filter("first != last").select("body", "first")
+    return sent.join(written(first, "line-first"), "body").filter("struct(d, h) != first").select("d", "h", "chunk")
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -182,18 +173,30 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, pairs: bool = False) -> DataFrame:
     """docs with ``text`` without repeated chunks, and n_lines, removed_lines."""
     without = cut_passages if pairs else cut
-    gone = repeated_chunks(docs, pairs).groupBy("doc_id").agg(F.collect_set("chunk").alias("gone"))
-    keyed = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone.withColumnRenamed("doc_id", "doc_id_"), F.col("doc_id") == F.col("doc_id_"), "left")
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            rows, removed, n = b["row"], [], []
-            for r, g in zip(rows, b["gone"]):
-                n.append(r["text"].count("\n") + 1 if r["text"] else 0)
-                if r["text"]:
-                    r["text"], cut_lines = without(r["text"], frozenset(g or ()))
-                removed.append(cut_lines if n[-1] else 0)
-            yield {"row": rows, "n_lines": n, "removed_lines": removed}
-
-    kind = keyed.schema["row"].dataType.simpleString()
-    return map_columns(keyed.select("row", "gone"), run, f"row {kind}, n_lines int, removed_lines int").select("row.*", "n_lines", "removed_lines")
+    d, h, gone = (fresh(docs.columns, n) for n in ("d", "h", "gone"))
+    found = repeated_chunks(docs, pairs).groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_set("chunk").alias(gone))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(MASK >> 1)) == F.col(d)) & (F.xxhash64("text") == F.col(h))
+    keyed = docs.join(found, same, "left").select(*columns, gone)
+    text = docs.columns.index("text")
+    extra = []
+    for name in ("n_lines", "removed_lines"):
+        extra.append(fresh([*docs.columns, *extra], name))
+    schema = StructType([*docs.schema.fields, *[StructField(n, IntegerType()) for n in extra]])
+    bounded(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in slices(batches):
+                texts, n, removed = b.column(text).to_pylist(), [], []
+                for k, (t, g) in enumerate(zip(texts, b.column(b.num_columns - 1).to_pylist())):
+                    n.append(t.count("\n") + 1 if t else 0)
+                    removed.append(0)
+                    if t:
+                        texts[k], removed[-1] = without(t, frozenset(g or ()))
+                new = [pa.array(texts, b.column(text).type) if k == text else c for k, c in enumerate(b.columns[:-1])]
+                yield pa.RecordBatch.from_arrays([*new, pa.array(n, pa.int32()), pa.array(removed, pa.int32())], [*b.schema.names[:-1], *extra])
+        finally:
+            tidy()
+
+    return keyed.mapInArrow(run, schema)
