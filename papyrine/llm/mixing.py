@@ -8,10 +8,13 @@ within a bracket, run for all sources at once over the table of (source, size, n
 copies 0, 1 or 2 by systematic rounding along sizes; of OFFSETS starting points, each source takes that whose words
 come nearest to its target.
 
-All sums are of integers (rates count in 2**-40), so reruns agree whatever the order of rows.
+All sums are of integers (rates count in 2**-40), so reruns agree whatever the order of rows. A source's documents are
+rounded in groups of about ROWS rows, or the square root of their number, however large it is. Sources themselves, one row each, are ranked in one task:
+there may be many thousands of them, not as many as documents.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; documents of size 0 take
-nothing and keep one copy; an empty table gives an empty result; repeated rows count each; other columns are ignored.
+nothing and keep one copy; an empty table gives an empty result; repeated rows count each (equal sizes with equal ids
+are in no certain order, which changes no sum); other columns are ignored, but for those asked for with ``keep``.
 """
 
 from __future__ import annotations
@@ -19,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import WORD, written
+from papyrine.llm.common import WORD, dropped, written
 
 ONE = 1 << 40
 BINS_PER_OCTAVE = 8
 OFFSETS = 32
+ROWS = 500
 
 
 def word_count(text: Column) -> Column:
@@ -58,11 +62,12 @@ def _rate(tilt: Column, c: Column) -> Column:
     return F.lit(2.0) / (F.lit(1.0) + F.exp(-tilt * c))
 
 
-def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(source, tilt) by Newton steps on the dual, one aggregation of the histogram a step.
 
     A step that would leave the bracket [lo, hi] of the root is replaced by its middle. Sources whose target is
-    2 times their size, or 0, need no tilt and are absent. Each step's table (one row a source) is written, so lineage stays short.
+    2 times their size, or 0, need no tilt and are absent. Each step's table (one row a source) is written, so lineage
+    stays short. Ends when every source is within ``tolerance`` of its target, or its bracket has closed or reached its end.
     """
     wide = 64.0
     state = targets.select(
@@ -82,38 +87,43 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 40, toler
         lo, hi = F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(gap > 0, F.col("tilt")).otherwise(F.col("hi"))
         step = F.col("tilt") - gap / F.greatest(F.col("slope").cast("double") / grid, F.lit(1e-9))
         near = F.abs(gap) <= F.col("target") * F.lit(tolerance)
-        state = written(
+        old, state = state, written(
             state.join(sums, state["source"].eqNullSafe(sums["key"])).select("source", "target", "source_size", "mean", "tilt", lo.alias("lo"), hi.alias("hi"), step.alias("step"), near.alias("near"))
             .select("source", "target", "source_size", "mean", F.when(F.col("near"), F.col("tilt")).when((F.col("step") > F.col("lo")) & (F.col("step") < F.col("hi")), F.col("step")).otherwise((F.col("lo") + F.col("hi")) / 2).alias("tilt"), "lo", "hi", "near"),
             "mix-state",
         )
         if state.filter(~F.col("near") & (F.col("hi") - F.col("lo") > 1e-9) & (F.col("lo") < wide - 1e-6)).isEmpty():
             break
+        dropped(old)
         state = state.drop("near")
+    else:
+        raise RuntimeError(f"tilts have not converged in {steps} steps")
     return state.select("source", "tilt", "mean")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, salts: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken for every row of docs(doc_id, text, source), and its columns ``keep``.
 
-    Rounding runs within (source, size bin, salt) groups, so that no source meets in one task; group totals, at most
-    salts * bins rows a source, give each group its start. Size bins are an eighth of an octave wide.
+    Rounding runs within (source, size bin, salt) groups of about ``rows`` documents (or the square root of a bin's
+    number), so that no source meets in one task; group totals give each group its start. Size bins are an eighth of an
+    octave wide.
     """
-    sizes = written(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    size = word_count(F.col("text"))
+    sizes = written(docs.select("doc_id", *keep, "source", size.alias("size")).withColumn("bin", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * BINS_PER_OCTAVE)).otherwise(-1).cast("int")), "mix-sizes")
     targets = written(source_targets(sizes, weights, share), "mix-targets")
     histogram = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     histogram = written(histogram, "mix-histogram")
     tilts = solve_tilts(histogram, targets)
     known = targets.alias("a").join(tilts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "source_size", "target", "tilt", "mean")
     known = written(known, "mix-known")
+    groups = written(sizes.groupBy("source", "bin").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(float(rows)), F.sqrt(F.count(F.lit(1))))).cast("int").alias("salts")), "mix-groups")
     full = F.col("target") >= 2.0 * F.col("source_size")
     rate = F.when(F.col("size") == 0, 1.0).when(full, 2.0).when(F.col("target") <= 0, 0.0).otherwise(_rate(F.col("tilt"), F.col("size") / F.col("mean")))
     rated = (
         sizes.alias("s").join(known.alias("k"), F.col("s.source").eqNullSafe(F.col("k.source")), "left")
-        .select("doc_id", *keep, F.col("s.source").alias("source"), "size", "source_size", "target", rate.alias("rate"))
+        .join(groups.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")) & (F.col("s.bin") == F.col("g.bin")), "left")
+        .select("doc_id", *keep, F.col("s.source").alias("source"), "size", "source_size", "target", rate.alias("rate"), F.col("s.bin").alias("bin"), F.pmod(F.xxhash64("doc_id", *keep), F.col("salts")).cast("int").alias("salt"))
         .withColumn("units", F.round(F.col("rate") * F.lit(float(ONE))).cast("long"))
-        .withColumn("bin", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * BINS_PER_OCTAVE)).otherwise(-1).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     )
     group = ["source", "bin", "salt"]
     starts = rated.groupBy(*group).agg(F.sum(F.col("units").cast("decimal(38,0)")).alias("total"))
