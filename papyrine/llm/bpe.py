@@ -23,12 +23,10 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from papyrine.llm.common import map_columns
+from papyrine.llm.common import CACHES, map_columns
 
-CACHED = 300_000
-
-# Pre-token pattern of the public byte-level vocabularies; white space is spelled out as the Unicode property, which is what \s means to the tiktoken library.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHED = 100_000
+LONGEST = 32
 
 
 def byte_characters() -> list[str]:
@@ -73,17 +71,21 @@ def model_proto(ranks: dict[bytes, int]) -> tuple[bytes, list[int]]:
 
 
 class Codec:
-    """Encoder and decoder; keeps what it has worked out for pre-tokens, up to ``cached`` of them."""
+    """Encoder and decoder; keeps what it has worked out for pre-tokens, up to ``cached`` of them, until ``forget``.
+
+    In ``pattern``, white space is spelled out as the Unicode property, which is what \\s means to the tiktoken library.
+    """
 
-    def __init__(self, lines: bytes, pattern: str = PATTERN, cached: int = CACHED) -> None:
+    def __init__(self, lines: bytes, pattern: str, cached: int = CACHED) -> None:
         self.ranks = read_ranks(lines)
         proto, self.rank_of = model_proto(self.ranks)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.chars = byte_characters()
-        self.token_of = {rank: token for token, rank in self.ranks.items()}
+        self.token_of = {rank: token for token, rank in self.ranks.items()}  # the ranks' own objects
         spelled = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.split = regex.compile(spelled).findall
-        self.cached, self.ids, self.bytes = cached, {}, {}
+        self.cached, self.known = cached, {}
+        CACHES.append(self.known.clear)
 
     def pieces(self, words: list[str]) -> list[list[int]]:
         """Ranks for each pre-token."""
@@ -95,18 +97,15 @@ class Codec:
                 found[k] = [self.rank_of[i] for i in ids]
         return found
 
-    def learn(self, words: list[str]) -> None:
-        """Works out the distinct ``words`` that are not known yet."""
-        new = [w for w in words if w not in self.ids]
-        if not new:
-            return
-        if len(self.ids) + len(new) > self.cached:
-            self.ids.clear()
-            self.bytes.clear()
-            new = words
-        for w, ids in zip(new, self.pieces(new)):
-            self.ids[w] = ",".join(map(str, ids))
-            self.bytes[w] = self.decode(ids)
+    def learn(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of each of ``words``; short ones are kept for the next texts."""
+        out = {w: self.known[w] for w in words if w in self.known}
+        new = list(words - out.keys())
+        made = {w: (",".join(map(str, ids)), self.decode(ids)) for w, ids in zip(new, self.pieces(new))}
+        if len(self.known) + len(made) > self.cached:
+            self.known.clear()
+        self.known.update((w, x) for w, x in made.items() if len(w) <= LONGEST)
+        return out | made
 
     def encode(self, text: str) -> list[int]:
         return [i for ids in self.pieces(self.split(text)) for i in ids]
@@ -116,33 +115,23 @@ class Codec:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, sha256 of the ids, sha256 of the decoded bytes, for each text."""
+        split = [self.split(t) for t in texts]
+        known = self.learn(set().union(*split))
         out = []
-        for words in self._split(texts):
-            ids = ",".join([self.ids[w] for w in words])
-            whole = b"".join([self.bytes[w] for w in words])
-            out.append((ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole).hexdigest()))
+        for words in split:
+            got = [known[w] for w in words]
+            ids = ",".join([g[0] for g in got])
+            out.append((ids.count(",") + 1 if words else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([g[1] for g in got])).hexdigest()))
         return out
 
-    def _split(self, texts: list[str], at_once: int = 200_000) -> Iterator[list[str]]:
-        """The texts' pre-tokens, all known; new ones are worked out for many texts in one call of the library."""
-        held: list[list[str]] = []
-        n = 0
-        for k, text in enumerate(texts):
-            held.append(self.split(text))
-            n += len(held[-1])
-            if n >= at_once or k == len(texts) - 1:
-                self.learn(list(set().union(*held)))
-                yield from held
-                held, n = [], 0
-
 
 @lru_cache(2)
-def codec(lines: bytes, pattern: str = PATTERN) -> Codec:
+def codec(lines: bytes, pattern: str) -> Codec:
     """One codec a worker process."""
     return Codec(lines, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str = PATTERN) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """doc_id and ids array<int> for every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -153,18 +142,18 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str = PATTERN) -> DataFr
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """doc_id and text for every row of encoded(doc_id, ids); bytes that are no UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        c = codec(vocabulary)
+        c = codec(vocabulary, pattern)
         for b in batches:
             yield {"doc_id": b["doc_id"], "text": [c.decode(x or []).decode("utf-8", "replace") for x in b["ids"]]}
 
     return map_columns(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str = PATTERN) -> DataFrame:
+def encode_digests(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row: encoding and decoding in one pass over the texts."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:

@@ -8,6 +8,8 @@ codeword of least loss; where the two best lie close together the text is flagge
 The classifiers are fitted on the driver on a sample bounded by ``sample`` documents; everything else is one pass
 over the texts.
 
+Where codewords lie equally far the first language by name is taken; equal texts are judged alike.
+
 Defined cases: null text, or text without a letter, is ``und`` with score 0; no learned language makes every text
 ``und``; one learned language is predicted with score 1; repeated rows are judged alike; other columns are not read.
 """
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import hash_sample, map_columns, remainder
+from papyrine.llm.common import hash_sample, map_columns, remainder, written
 
 DIMS = 1 << 12
 PIECE = 1 << 20  # code points worked on at once
@@ -132,9 +134,11 @@ def fit(x: np.ndarray, langs: list[str], steps: int = 300, rate: float = 0.3, de
 
 def train(docs: DataFrame, modulus: int = 3, held: int = 1, sample: int = 2000) -> Model:
     """Fits on about ``sample`` documents, spread evenly over the languages, of those not held out."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
+    fit_for = F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), modulus) != held)
+    known = docs.filter(fit_for).select("doc_id", "lang")
     n = max(1, known.select("lang").distinct().count())
-    picked = hash_sample(known, "doc_id", "lang", max(10, sample // n))
+    ids = written(hash_sample(known, "doc_id", "lang", max(10, sample // n)).distinct(), "sample")
+    picked = docs.filter(fit_for).select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"])
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -151,7 +155,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            rows = [r for k in range(0, len(b["text"]), 256) for r in model.predict(b["text"][k : k + 256])]
+            rows = model.predict(b["text"])
             yield {"doc_id": b["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "ambiguous": [r[2] for r in rows]}
 
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")

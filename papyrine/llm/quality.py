@@ -1,17 +1,19 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Every passage is encoded (shares of character kinds, word shapes,
-repetition), a gated attention network learns from document labels which passages matter, and the document's score is
-the classifier's answer on the attention-weighted passage representation. Model and gradients are written out here;
-fitting runs on the driver on a sample bounded by ``sample`` documents per label.
-
-Defined cases: null or empty text is one passage of zeros; very long texts are read whole, passage by passage; repeated
-rows score alike; without labels of both kinds the score is the share of label 1 (1 without any); other columns are
-not read.
+A document is a bag of passages of PASSAGE words (split at ASCII white space). Every passage is encoded from shares of
+character kinds, word shapes, repetition and its words, by hash in BUCKETS; a gated attention network learns from
+document labels which passages matter, and the document's score is the classifier's answer on the attention-weighted
+passage representation. Model and gradients are written out here; fitting runs on the driver on a sample bounded by
+``sample`` documents per label and ``most`` passages, spread evenly, of each.
+
+Defined cases: null or empty text is one passage of zeros; very long texts are scored whole, passage by passage;
+repeated rows and equal texts score alike, so equal scores are no ties to break; a document with several labels takes
+the largest; without labels of both kinds the score is the share of label 1 (1 without any); other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from papyrine.llm.common import labelled_sample, map_columns
+from papyrine.llm.common import bounded, labelled_sample, map_columns, slices, tidy
 
 PASSAGE = 64
 KINDS = 12
-FEATURES = 19
+SHAPES = 19
+BUCKETS = 64
+FEATURES = SHAPES + BUCKETS
 _KIND: np.ndarray | None = None
 
 
@@ -44,8 +48,9 @@ def passages(text: str | None, words_each: int = PASSAGE) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     if not raw:
         return np.zeros((1, FEATURES), np.float32)
-    kind = _kinds()[np.frombuffer(raw, np.uint8)]
-    blank = (kind == 3) | (kind == 4)
+    octets = np.frombuffer(raw, np.uint8)
+    kind = _kinds()[octets]
+    blank = (octets == 32) | ((octets >= 9) & (octets <= 13))  # where bytes.split() splits
     first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))  # where words begin
     cuts = first[::words_each].copy() if len(first) else np.zeros(1, np.int64)
     cuts[0] = 0
@@ -60,6 +65,9 @@ def passages(text: str | None, words_each: int = PASSAGE) -> np.ndarray:
         n = max(1, len(w))
         out[k, 12] = len(set(w)) / n
         out[k, 13] = sum(map(bytes.__eq__, w, w[1:])) / n
+    if words:
+        place = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS + np.arange(len(words)) // words_each * BUCKETS
+        out[:, SHAPES:] = np.sqrt(np.bincount(place, minlength=len(cuts) * BUCKETS).reshape(len(cuts), BUCKETS) / words_each)
     n_words = np.maximum(1, np.diff(np.append(np.arange(0, max(1, len(first)), words_each), max(1, len(first)))))[: len(cuts)]
     out[:, 14] = np.log1p(size[:, 0] / n_words) / 3
     out[:, 15] = counts[:, 1] / np.maximum(1, counts[:, 0] + counts[:, 1])
@@ -133,16 +141,19 @@ def fit(bags: list[np.ndarray], labels: list[int], prior: float, width: int = 16
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, sample: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, sample: int = 1500, most: int = 48) -> Model:
     """Fits on about ``sample`` documents of each label value, of those not held out, at even odds.
 
-    Passage features are made on the executors; the driver gets FEATURES numbers a passage of the sampled documents.
+    Passage features are made on the executors; the driver gets FEATURES numbers for each of at most ``most`` passages
+    of a sampled document.
     """
     picked = labelled_sample(docs, labels, label, modulus, held, sample)
 
     def bags(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "label": b["label"], "bag": [passages(t).astype(np.float32).tobytes() for t in b["text"]]}
+            every = [passages(t) for t in b["text"]]
+            some = [x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)] for x in every]
+            yield {"doc_id": b["doc_id"], "label": b["label"], "bag": [x.astype(np.float32).tobytes() for x in some]}
 
     rows = sorted(map_columns(picked, bags, "doc_id long, label int, bag binary").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
     return fit([np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, FEATURES) for r in rows], [int(r["label"] > 0) for r in rows], prior=0.7)
@@ -153,10 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: list[float] = []
-            for k in range(0, len(b["text"]), 256):
-                out += model.score([passages(t) for t in b["text"][k : k + 256]]).tolist()
-            yield {"doc_id": b["doc_id"], "score": out}
+            yield {"doc_id": b["doc_id"], "score": model.score([passages(t) for t in b["text"]]).tolist()}
 
     return map_columns(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
@@ -165,10 +173,12 @@ def keep(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+        try:
+            for part in slices(batches):
                 good = model.score([passages(t) for t in part.column("text").to_pylist()]) >= least
                 yield part.filter(pa.array(good))
+        finally:
+            tidy()
 
+    bounded(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

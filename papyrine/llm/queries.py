@@ -31,6 +31,12 @@ def vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -47,7 +53,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary(), pattern())
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ counts of the kinds of hits gives the score.
 
 Defined cases: null or empty text has no hits and gets the score of a text without hits; whole texts are read,
 whatever their length; repeated rows score alike; without toxic training documents the lexicon is empty and every
-score is that of a text without hits; other columns are not read.
+score is that of a text without hits; equal texts score alike, so equal scores are no ties to break; a document with
+several labels takes the largest; other columns are not read. Counts of hits of one kind enter up to 7, which tells
+few from many and keeps a very long text from outweighing its kind; all hits are counted.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from papyrine.llm.common import labelled_sample, map_columns
+from papyrine.llm.common import CACHES, labelled_sample, map_columns
 
 # Marks and words by which a text quotes or reports a term instead of using it.
 QUOTES = "\"'`“”„«»‹›‘’"
@@ -136,7 +139,8 @@ class Model:
 
     def __post_init__(self) -> None:
         self.automaton = Automaton(self.terms)
-        self.memory: dict[str, tuple[int, str] | None] = {}
+        self.memory: dict[str, int] = {}
+        CACHES.append(self.memory.clear)
 
     def __reduce__(self):
         return Model, (self.terms, self.known, self.weights)
@@ -157,7 +161,7 @@ class Model:
             try:
                 kind = memory[w]
             except KeyError:
-                if len(memory) > 400_000:
+                if len(memory) > 100_000:
                     memory.clear()
                 kind = memory[w] = self.kind(w)
             if kind >= 0:
@@ -293,9 +297,11 @@ def fit(texts: list[str], toxic: list[int], prior: float = 0.3) -> Model:
     return Model(terms, near(clean), w)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 2000) -> Model:
-    """Fits on the driver on about ``sample`` documents of each label value, of those not held out."""
-    rows = sorted((r["doc_id"], r["text"] or "", int(r["label"] > 0)) for r in labelled_sample(docs, labels, label, modulus, held, sample).collect())
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, sample: int = 2000, longest: int = 20_000) -> Model:
+    """Fits on the driver on about ``sample`` documents of each label value, of those not held out and of at most
+    ``longest`` characters, so on 2 * sample * longest characters at most."""
+    picked = labelled_sample(docs, labels, label, modulus, held, sample).filter(F.length("text") <= longest)
+    rows = sorted((r["doc_id"], r["text"], int(r["label"] > 0)) for r in picked.collect())
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
