@@ -3,9 +3,11 @@
 Sets are a document's distinct WORDS-word shingles as 64-bit hashes. Documents with equal sets form a class and are
 handled once. Shingles have one global order: by the count in their bucket of a count table of fixed size (rare ones
 first, counts by their logarithm), then by hash. Two sets with Jaccard similarity of at least 4/5 share a shingle among
-the first fifth of each, so classes that share such a shingle, with sizes that allow a link, form a candidate group
-around one of them, the hub. How many of these first shingles a class shares is counted: a link between sets of n and m
-needs 4/9 (n + m) - 4/5 max(n, m) + 1 of them, so most classes that share a few by chance go before any text is moved.
+the first fifth of each, and the first one they share stands so early in both that what comes after it can still make a
+link. Classes that share a shingle so form a candidate group around one of them, the hub. How many of its first
+shingles a class shares with any other is counted too (in arrays by class, a number for each of them at most): a link
+between sets of n and m needs 4/9 (n + m) - 4/5 max(n, m) + 1, so classes that share a few by chance go before any text
+is moved.
 
 The texts of the other classes travel once to each task that has a group of theirs. In each group the sets stand in a
 path-compressed trie in global order; a probe walks it once, partial overlaps are shared by all sets below a node,
@@ -231,17 +233,20 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(6 * np.log2(1 + counts.astype(np.float64)))).astype(np.uint8)
 
 
-def _prefix(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles, and which of them are in the shorter prefix that is enough for the smaller of two sets."""
+def _prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     n = len(s)
-    first = ordered(s, levels)[: n - (4 * n + 4) // 5 + 1]
-    return first, np.arange(len(first)) < n - (8 * n + 8) // 9 + 1
+    return ordered(s, levels)[: n - (4 * n + 4) // 5 + 1]
+
+
+# What travels of a first shingle: 48 bits of it, its class, the set's size, and its place in steps of a fifth of the size.
+RECORD = np.dtype([("token", "<u2", 3), ("class", "<i8"), ("n", "<u4"), ("step", "<u2")])
+STEPS = 60_000
 
 
 def _prefixes(levels: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[Callable, Callable]:
-    """(cool, hot) map functions over texts: arrays of prefix shingles by bucket; rows of those in hot places of the table."""
+    """(cool, hot) map functions over texts: arrays of RECORD by bucket; rows of shingles in hot places of the table."""
 
-    def each(batches: Iterator[dict]) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
+    def each(batches: Iterator[dict]) -> Iterator[tuple[np.ndarray, int, int]]:
         seen: set[int] = set()
         for b in batches:
             for t in b["text"]:
@@ -251,77 +256,128 @@ def _prefixes(levels: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[Callab
                     if c not in seen:  # copies within a task; others go where their bucket meets
                         if len(seen) < SEEN:
                             seen.add(c)
-                        first, short = _prefix(s, levels)
-                        yield first, c, len(s), short
+                        yield _prefix(s, levels), c, len(s)
 
-    def parts(held: list[tuple]) -> dict:
-        tokens, cls, ns = (np.concatenate([h[k] for h in held]) for k in range(3))
+    def records(first: np.ndarray, c: int, n: int) -> np.ndarray:
+        out = np.empty(len(first), RECORD)
+        out["token"] = first.view("<u2").reshape(-1, 4)[:, 1:]
+        out["class"], out["n"] = c, min(n, (1 << 32) - 1)
+        out["step"] = np.minimum(65535, np.arange(len(first)) * (5 * STEPS) // n)
+        return out
+
+    def parts(tokens: np.ndarray, rows: np.ndarray) -> dict:
         bucket = (tokens % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        bucket, tokens, cls, ns = bucket[order], tokens[order], cls[order], ns[order]
+        bucket, rows = bucket[order], rows[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = np.append(cuts[1:], len(bucket))
-        return {"bucket": bucket[cuts].tolist(), "part": [tokens[a:b].tobytes() + cls[a:b].tobytes() + ns[a:b].tobytes() for a, b in zip(cuts, ends)]}
+        return {"bucket": bucket[cuts].tolist(), "part": [rows[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]}
 
     def cool_rows(batches: Iterator[dict]) -> Iterator[dict]:
-        held, size = [], 0
-        for first, c, n, short in each(batches):
+        tokens, rows, size = [], [], 0
+        for first, c, n in each(batches):
             cool = ~hot[first >> np.uint64(64 - TABLE_BITS)]
-            k = int(cool.sum())
-            held.append((first[cool], np.full(k, c, np.int64), np.uint32(min(n, (1 << 31) - 1)) | (short[cool].astype(np.uint32) << np.uint32(31))))
-            size += k
+            tokens.append(first[cool])
+            rows.append(records(first, c, n)[cool])
+            size += len(tokens[-1])
             if size > 1_000_000:
-                yield parts(held)
-                held, size = [], 0
+                yield parts(np.concatenate(tokens), np.concatenate(rows))
+                tokens, rows, size = [], [], 0
         if size:
-            yield parts(held)
+            yield parts(np.concatenate(tokens), np.concatenate(rows))
 
     def hot_rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for first, c, n, short in each(batches):
-            on = hot[first >> np.uint64(64 - TABLE_BITS)]
-            t = first[on].astype(np.int64)
-            yield {"token": t.tolist(), "class": [c] * len(t), "n": [n] * len(t), "short": short[on].tolist()}
+        for first, c, n in each(batches):
+            t = first[hot[first >> np.uint64(64 - TABLE_BITS)]].astype(np.int64)
+            yield {"token": t.tolist(), "class": [c] * len(t), "n": [n] * len(t)}
 
     return cool_rows, hot_rows
 
 
-def _runs(key: tuple, rows: pa.Table) -> pa.Table:
-    """Of one bucket's prefix shingles: (hub, class, n, shared, good) for every run of at least two classes that share
-    one and whose sizes, in order, are near enough to link; good if the run has what a link needs."""
-    blobs = [x.as_buffer() for x in rows.column("part")]
-    cuts = [len(b) // 20 for b in blobs]
-    t = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, cuts)])
-    c = np.concatenate([np.frombuffer(b, np.int64, n, 8 * n) for b, n in zip(blobs, cuts)])
-    m = np.concatenate([np.frombuffer(b, np.uint32, n, 16 * n) for b, n in zip(blobs, cuts)])
-    order = np.argsort(t, kind="stable")
-    t = t[order]
-    alone = np.ones(len(t), bool)
-    same = t[1:] == t[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    keep = order[~alone]
-    t, c, m = t[~alone], c[keep], m[keep]
-    short, n = m >> np.uint32(31), (m & np.uint32(0x7FFFFFFF)).astype(np.int64)
-    out = [np.zeros(0, np.int64)] * 5
-    if len(t):
-        order = np.lexsort((c, n, t))
-        t, c, n, short = t[order], c[order], n[order], short[order]
-        first = np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))
-        t, c, n, short = t[first], c[first], n[first], short[first]
-        starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (5 * n[:-1] < 4 * n[1:])))
-        size = np.diff(np.append(starts, len(t)))
-        many, good, hub = np.repeat(size > 1, size), np.repeat(np.maximum.reduceat(short, starts), size), np.repeat(np.minimum.reduceat(c, starts), size)
-        hub, c, n, good = hub[many], c[many], n[many], good[many].astype(np.int64)
-        if len(hub):
-            order = np.lexsort((c, hub))
-            hub, c, n, good = hub[order], c[order], n[order], good[order]
-            new = np.flatnonzero(np.append(True, (hub[1:] != hub[:-1]) | (c[1:] != c[:-1])))
-            out = [hub[new], c[new], n[new], np.diff(np.append(new, len(hub))), np.maximum.reduceat(good, new)]
-    return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("hub", "class", "n", "shared", "good"), out)})
-
-
-def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None, per_bucket: int = 300_000) -> DataFrame:
-    """(hub, class, n, shared): every two classes that link are together in some hub's group.
+def _summed(classes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct classes, in order, and the sums of their numbers."""
+    if not len(classes):
+        return classes, numbers
+    order = np.argsort(classes, kind="stable")
+    classes, numbers = classes[order], numbers[order]
+    new = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+    return classes[new], np.add.reduceat(numbers, new)
+
+
+def _viable(n: np.ndarray, step: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a run's set may have this shingle as the first that it shares with another one it links with.
+
+    With a = n - place shingles from this one on, sets link only if 4 (n + m) <= 9 a for both. Asked for of the
+    smallest other set and of the other set that allows the largest; runs are sorted by size.
+    """
+    most = 9 * (n - step.astype(np.int64) * n // (5 * STEPS)) // 4 - n  # the largest partner's size
+    run = np.repeat(np.arange(len(starts)), size)
+    head = np.zeros(len(n), bool)
+    head[starts] = True
+    least_other = np.where(head, n[np.minimum(np.repeat(starts, size) + 1, len(n) - 1)], n[np.repeat(starts, size)])
+    top = np.maximum.reduceat(most, starts)
+    at = np.flatnonzero(most == top[run])
+    at = at[np.append(True, run[at][1:] != run[at][:-1])]  # one place of the largest in each run
+    rest = most.copy()
+    rest[at] = -1
+    most_other = top[run]
+    most_other[at] = np.maximum.reduceat(rest, starts)[run[at]]
+    return (np.repeat(size, size) > 1) & (least_other <= most) & (n <= most_other)
+
+
+def _runs(slots: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Of one bucket's first shingles: rows (hub, class, n) for every run of at least two classes that share one, have
+    sizes near enough and are viable; and for each of ``slots`` slots of classes how many shingles they share."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        every = np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for x in rows.column("part")])
+        wide = np.zeros((len(every), 4), "<u2")
+        wide[:, 1:] = every["token"]
+        t = wide.view("<u8").ravel()
+        order = np.argsort(t, kind="stable")
+        t = t[order]
+        same = t[1:] == t[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        every, t = every[order[shared]], t[shared]
+        hub = cls = size = np.zeros(0, np.int64)
+        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(t):
+            order = np.lexsort((every["class"], every["n"], t))
+            every, t = every[order], t[order]
+            first = np.append(True, (t[1:] != t[:-1]) | (every["class"][1:] != every["class"][:-1]))
+            every, t = every[first], t[first]
+            n = every["n"].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (5 * n[:-1] < 4 * n[1:])))
+            lengths = np.diff(np.append(starts, len(t)))
+            counts.append(_summed(every["class"][np.repeat(lengths, lengths) > 1], np.ones(int(lengths[lengths > 1].sum()), np.int64)))
+            good = _viable(n, every["step"], starts, lengths)
+            run_of = np.repeat(np.arange(len(starts)), lengths)[good]
+            cls, size = every["class"][good], n[good]
+            if len(cls):
+                begins = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
+                many = np.diff(np.append(begins, len(cls)))
+                hub = np.repeat(np.minimum.reduceat(cls, begins), many)
+                pairs = np.unique(np.stack([hub, cls, size], 1)[np.repeat(many > 1, many)], axis=0)
+                hub, cls, size = pairs.T
+        known, numbers = counts[0] if counts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        slot = (known.astype(np.uint64) >> np.uint64(32)).astype(np.int64) % slots
+        used = np.unique(slot)
+        nulls, more = [None] * len(used), [None] * len(cls)
+        return pa.table({
+            "hub": pa.array([*hub.tolist(), *nulls], pa.int64()), "class": pa.array([*cls.tolist(), *nulls], pa.int64()), "n": pa.array([*size.tolist(), *nulls], pa.int64()),
+            "slot": pa.array([*more, *used.tolist()], pa.int64()), "part": pa.array([*more, *(np.stack([known[slot == k], numbers[slot == k]]).tobytes() for k in used)], pa.binary()),
+        })
+
+    return run
+
+
+def _totals(key: tuple, rows: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in rows.column("part")]
+    classes, numbers = _summed(*(np.concatenate([p[k] for p in parts]) for k in range(2)))
+    return pa.table({"class": pa.array(classes, pa.int64()), "shared": pa.array(numbers, pa.int64())})
+
+
+def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None, per_bucket: int = 100_000) -> DataFrame:
+    """(hub, class, n): every two classes that link are together in some hub's group.
 
     ``hot`` bounds how often a shingle that stays in a bucket can occur; a place of the count table also holds others,
     so places count as hot from ``hot`` above what chance brings them.
@@ -330,25 +386,29 @@ def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None
     often = counts > (hot if hot is not None else HOT + mean + 6 * mean**0.5)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cool, hot_rows = _prefixes(levels_of(counts), often, max(parts, total // 5 // per_bucket + 1))
-    kinds = "hub long, class long, n long, shared long, good long"
-    pairs = map_columns(docs.select("text"), cool, "bucket long, part binary").groupBy("bucket").applyInArrow(_runs, kinds)
+    bucketed = map_columns(docs.select("text"), cool, "bucket long, part binary").groupBy("bucket").applyInArrow(_runs(max(parts, total // 100_000_000 + 1)), "hub long, class long, n long, slot long, part binary")
+    runs = written(bucketed, "runs")
+    shared = runs.filter("slot is not null").select("slot", "part").groupBy("slot").applyInArrow(_totals, "class long, shared long")
+    pairs = runs.filter("slot is null").select("hub", "class", "n")
     if often.any():
-        rows = map_columns(docs.select("text"), hot_rows, "token long, class long, n long, short boolean")
-        hubs = rows.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("top"), F.max("short").cast("long").alias("good")).filter("hub != top").select("token", "hub", "good")
-        pairs = pairs.unionByName(rows.join(hubs, "token").select("hub", "class", "n", F.lit(1).cast("long").alias("shared"), "good"))
-    groups = written(pairs.groupBy("hub", "class").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.max("good").alias("good")), "groups")
-    return _pruned(groups).filter("good = 1").drop("good")
+        rows = map_columns(docs.select("text"), hot_rows, "token long, class long, n long")
+        hubs = rows.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("top")).filter("hub != top").select("token", "hub")
+        pairs = pairs.unionByName(rows.join(hubs, "token").select("hub", "class", "n"))
+        shared = shared.unionByName(rows.groupBy("class").agg(F.count(F.lit(1)).alias("shared"))).groupBy("class").agg(F.sum("shared").alias("shared"))
+    groups = written(pairs.distinct(), "groups")
+    return _pruned(groups, written(shared, "shared"))
 
 
-def _pruned(groups: DataFrame, rounds: int = 3) -> DataFrame:
-    """Without classes that share fewer first shingles, over all their groups, than a link with the nearest to a
-    possible partner's size would need; that leaves other groups with one class, so it is done again."""
+def _pruned(groups: DataFrame, shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """Without classes that share fewer first shingles than a link with the farthest size in their groups needs; that
+    leaves other groups with one class, so it is done again."""
     for _ in range(rounds):
         span = groups.groupBy("hub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
         near = lambda m: least_shared(F.col("n"), m)
-        need = groups.join(span, "hub").groupBy("class").agg(F.sum("shared").alias("all"), F.min(F.least(near(F.col("lo")), near(F.col("hi")))).alias("need")).filter("all >= need").select("class")
-        groups = written(groups.join(need, "class", "left_semi"), "groups")
-    return groups.join(groups.groupBy("hub").agg(F.sum("good").alias("together")).filter("together > 1").select("hub"), "hub", "left_semi")
+        need = groups.join(span, "hub").groupBy("class").agg(F.min(F.least(near(F.col("lo")), near(F.col("hi")))).alias("need"))
+        keep = need.join(shared, "class").filter("shared >= need").select("class")
+        groups = written(groups.join(keep, "class", "left_semi"), "groups")
+    return groups.join(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("hub"), "hub", "left_semi")
 
 
 def _links(docs: DataFrame, members: DataFrame, reps: DataFrame, levels: np.ndarray, per_task: int = 1_500_000) -> DataFrame:
@@ -463,6 +523,7 @@ def near_duplicates(docs: DataFrame, hot: int | None = None, block: int = BLOCK,
     least = vertices.join(reps.select(F.col("class").alias("v"), "rep"), "v").groupBy("root").agg(F.min("rep").alias("least"))
     label = vertices.join(least, "root").select(F.col("v").alias("class"), "root", "least")
     label = reps.select("class", "rep").join(label, "class", "left").select(F.col("class").alias("class_"), F.coalesce("root", "class").alias("root"), F.coalesce("least", "rep").alias("component"))
+    label = written(label, "labels")  # a table, so that Spark can split a class with very many copies
     return sets.join(label, F.col("class") == F.col("class_"), "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), *(("h", "root") if keep else ()))
 
 
