@@ -43,8 +43,8 @@ def sheet_name(title: Column, fallback: str = "Sheet1") -> Column:
 
 
 def clean_pdf(c: Column) -> Column:
-    """Control characters other than line breaks to blanks, runs of blanks and tabs to one."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b-\x1f\x7f]", " "), r"[ \t]+", " "))
+    """Control characters other than tabs and line ends to blanks, runs of blanks and tabs to one."""
+    return strip(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "), r"[ \t]+", " "))
 
 
 def clean_docx(c: Column) -> Column:
@@ -92,13 +92,15 @@ def split_row(line: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"\\([\\`*_{}\[\]()#+\-.!|>~<\"'$&/:;=?@^,%])", "$1")
+    return F.regexp_replace(c, r"\\([\\`*_{}\[\]()#+\-.!|~<>])", "$1")
 
 
 def link_target(c: Column) -> Column:
     """The address of a link, without a title and angle brackets."""
-    x = F.regexp_replace(strip(c), BLANK + r"""+(?:"[^"]*"|'[^']*')\z""", "")
-    return F.when(x.rlike(r"\A<[^\n]*>\z"), F.regexp_replace(x, r"\A<|>\z", "")).otherwise(x)
+    x = strip(c)
+    titled = lambda mark: F.endswith(x, F.lit(mark)) & x.contains(f" {mark}")
+    x = F.when(titled('"'), F.substring_index(x, ' "', 1)).when(titled("'"), F.substring_index(x, " '", 1)).otherwise(x)
+    return strip(F.when(x.rlike(r"(?s)\A<.*>\z"), F.regexp_replace(x, r"\A<|>\z", "")).otherwise(x))
 
 
 def quote_path(c: Column) -> Column:

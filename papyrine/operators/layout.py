@@ -1,7 +1,9 @@
-"""Page layout from words and lines with coordinates: fonts, headings, paragraphs, lists, tables, columns.
+"""Page layout from characters, words and lines with coordinates: fonts, headings, paragraphs, lists, tables, columns.
 
-lines(doc_id, page_no, seq, text, size, bold, top, bottom); words(doc_id, page_no, word_no, text, x0, x1, top, bottom);
-boxes(doc_id, page_no, box_no, x0, top, x1, bottom). Windows and folds run within a page or a document.
+chars(doc_id, page_no, line_no, char_no, char, size, font, top, bottom); words(doc_id, page_no, word_no, text, x0, x1, top,
+bottom); lines(doc_id, page_no, seq, text, size, bold, top, bottom); boxes(doc_id, page_no, box_no, x0, top, x1, bottom).
+Items are lines with a kind, or tables (kind "table", rows array<array<string>>). Windows and folds run within a page or
+a document.
 """
 
 from __future__ import annotations
@@ -9,43 +11,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BULLET = r"\A[•◦‣▪●○■□–\-*]\s+(.*)\z"
-ORDERED = r"\A\(?(\d{1,3}|[a-zA-Z])[.)]\s+(.*)\z"
-NUMBERING = r"\A(\d+(?:\.\d+)+)\.?\s+\S"
-HEADING_RATIO, PARAGRAPH_GAP, GAP_RATIO, ROW_RATIO = 1.04, 1.55, 1.2, 0.6
+from papyrine.functions.text import clean_pdf, strip
+
+# What a list item or a numbered heading begins with, what no heading ends with, ratios and limits.
+BULLET = r"\A([•●▪◦‣⁃*+]|[-–—])\s+(.+)\z"
+ORDERED = r"\A(\d{1,3})[.)]\s+(.+)\z"
+NUMBERED = r"\A(\d{1,3}(?:\.\d{1,3})+)\s+\S"
+MARKER = r"\A([•●▪◦‣⁃*+]|[-–—]|\d{1,3}[.)])\z"
+SENTENCE_END = r"[.,;:]\z"
+HEADING_WORDS, HEADING_RATIO, PARAGRAPH_GAP = 20, 1.04, 1.55
+GAP_RATIO, ROW_RATIO, LANE_SHARE, TABLE_ROWS = 1.2, 0.6, 0.6, 3
+CROP_PADDING, CROP_LEAST = 3, 4
+PAGE = ["doc_id", "page_no"]
+
+
+def lines_from_chars(chars: DataFrame) -> DataFrame:
+    """Lines of characters: the largest size to a tenth, bold if most characters' fonts are; blank ones go."""
+    heavy = F.lower("font").rlike("bold|black|heavy")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_no", "char"))), lambda c: c["char"]), "")
+    per = chars.groupBy(*PAGE, F.col("line_no").alias("seq")).agg(
+        clean_pdf(text).alias("text"), F.max(F.bround("size", 1)).alias("size"), (2 * F.count_if(heavy) > F.count(F.lit(1))).alias("bold"), F.min("top").alias("top"), F.max("bottom").alias("bottom")
+    )
+    return per.filter("text != ''")
+
+
+def doc_sizes(lines: DataFrame) -> DataFrame:
+    """(doc_id, body, levels): the size, to a tenth, that most letters have, of equals the one seen first; and the
+    levels of clearly larger sizes, largest first, six at most. One row a document from one pass over the lines."""
+    per = lines.groupBy("doc_id", F.bround("size", 1).alias("s")).agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page_no", "seq")).alias("first"))
+    docs = per.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "s")).alias("best"), F.sort_array(F.collect_set("s"), False).alias("sizes"))
+    large = F.filter("sizes", lambda s: s >= F.col("best.s") * HEADING_RATIO)
+    return docs.select("doc_id", F.col("best.s").alias("body"), F.map_from_arrays(large, F.transform(large, lambda s, k: F.least(F.lit(6), k + 1))).alias("levels"))
 
 
 def body_size(lines: DataFrame) -> DataFrame:
-    """(doc_id, body): the size, to a tenth, that most letters have; of equals the one seen first."""
-    per = lines.groupBy("doc_id", F.bround("size", 1).alias("s")).agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page_no", "seq")).alias("first"))
-    best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first")
-    return per.withColumn("r", F.row_number().over(best)).filter("r = 1").select("doc_id", F.col("s").alias("body"))
+    return doc_sizes(lines).select("doc_id", "body")
 
 
 def heading_sizes(lines: DataFrame) -> DataFrame:
-    """(doc_id, size, level): sizes clearly above the body's, largest first, six levels at most."""
-    sizes = lines.select("doc_id", F.bround("size", 1).alias("size")).distinct().join(body_size(lines), "doc_id").filter(F.col("size") >= F.col("body") * HEADING_RATIO)
-    return sizes.select("doc_id", "size", F.least(F.lit(6), F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.col("size").desc()))).alias("level"))
+    """(doc_id, size, level)"""
+    return doc_sizes(lines).select("doc_id", F.explode("levels").alias("size", "level"))
 
 
 def classify(lines: DataFrame) -> DataFrame:
-    """lines plus kind (bullet, heading, ordered, text) and level; the first that fits counts."""
-    ranked = lines.withColumn("s_", F.bround("size", 1)).join(heading_sizes(lines).select(F.col("doc_id").alias("d_"), F.col("size").alias("z_"), F.col("level").alias("by_size")), (F.col("doc_id") == F.col("d_")) & (F.col("s_") == F.col("z_")), "left").drop("d_", "z_", "s_")
-    top = F.coalesce(F.max("by_size").over(Window.partitionBy("doc_id")), F.lit(0))
+    """lines plus kind (bullet, heading, ordered, text) and level; the first that fits counts. A heading is short and of
+    a larger size, or bold without a sentence's end; numbers before it deepen it."""
     words = F.size(F.split(F.trim("text"), r"\s+"))
-    bold = F.coalesce("bold", F.lit(False)) & (words <= 12) & ~F.col("text").rlike(r"[.,;:]\s*\z")
-    level = F.coalesce("by_size", F.when(bold, F.least(F.lit(6), top + 1)))
-    number = F.regexp_extract("text", NUMBERING, 1)
-    deep = F.when(number != "", F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
-    level = F.when(level.isNotNull(), F.least(F.lit(6), F.greatest(level, F.coalesce(deep, F.lit(1)))))
-    kind = F.when(F.col("text").rlike(BULLET), "bullet").when(level.isNotNull() & (words <= 20), "heading").when(F.col("text").rlike(ORDERED), "ordered").otherwise("text")
-    out = ranked.withColumn("level_", level).withColumn("kind", kind)
-    return out.withColumn("level", F.when(F.col("kind") == "heading", F.col("level_")).cast("int")).drop("level_", "by_size")
+    short = words <= HEADING_WORDS
+    by_size = F.try_element_at("levels_", F.bround("size", 1))
+    deepest = F.coalesce(F.array_max(F.map_values("levels_")), F.lit(0))
+    run_in = F.coalesce("bold", F.lit(False)) & short & ~F.col("text").rlike(SENTENCE_END)
+    level = F.coalesce(by_size, F.when(run_in, F.least(F.lit(6), deepest + 1)))
+    number = F.regexp_extract("text", NUMBERED, 1)
+    depth = F.when(number != "", F.least(F.lit(6), F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1))
+    kind = F.when(F.col("text").rlike(BULLET), "bullet").when(level.isNotNull() & short, "heading").when(F.col("text").rlike(ORDERED), "ordered").otherwise("text")
+    told = lines.join(doc_sizes(lines).select("doc_id", F.col("levels").alias("levels_")), "doc_id").withColumn("kind", kind)
+    return told.withColumn("level", F.when(F.col("kind") == "heading", F.greatest(level, F.coalesce(depth, F.lit(1)))).cast("int")).drop("levels_")
 
 
 def paragraphs(items: DataFrame) -> DataFrame:
     """items(doc_id, page_no, seq, kind, text, top, bottom) plus para: text lines of a page that follow closely share a number."""
-    order = Window.partitionBy("doc_id", "page_no").orderBy("seq")
+    order = Window.partitionBy(*PAGE).orderBy("seq")
     height = F.greatest(F.lit(1.0), F.lag("bottom").over(order) - F.lag("top").over(order))
     gap = F.col("top") - F.lag("bottom").over(order)
     new = (F.col("kind") != "text") | F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != "text") | (gap > PARAGRAPH_GAP * height)
@@ -60,16 +86,121 @@ def list_blocks(items: DataFrame) -> DataFrame:
     return items.withColumn("new", new.cast("int")).withColumn("list_no", F.when(item, F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))).drop("new")
 
 
+def table_markdown(rows: Column) -> Column:
+    """array<array<string>> as a Markdown table: the first row is the header, rows are padded, pipes escaped."""
+    width = F.array_max(F.transform(rows, F.size))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    return F.array_join(F.concat(F.array(line(rows[0]), rule), F.transform(F.slice(rows, F.lit(2), F.size(rows)), line)), "\n")
+
+
+def render(items: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of items with kind and level (tables with ``text``): a blank line between blocks."""
+    kinds = list_blocks(paragraphs(items))
+    head = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")
+    number = F.regexp_extract("text", ORDERED, 1).cast("int").cast("string")
+    shown = F.when(F.col("kind") == "heading", head).when(F.col("kind") == "bullet", F.concat(F.lit("- "), F.regexp_extract("text", BULLET, 2))).when(F.col("kind") == "ordered", F.concat(number, F.lit(". "), F.regexp_extract("text", ORDERED, 2))).otherwise(F.col("text"))
+    key = F.when(F.col("list_no").isNotNull(), F.struct(F.lit(-1).alias("p"), F.col("list_no").alias("k"))).otherwise(F.struct(F.col("page_no").alias("p"), F.col("para").alias("k")))
+    parts = kinds.withColumn("shown", shown).groupBy("doc_id", key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("page_no", "seq", "shown"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["shown"]), F.when(F.col("key.p") < 0, "\n").otherwise(" "))
+    blocks = parts.select("doc_id", F.struct(F.col("l")[0]["page_no"].alias("p"), F.col("l")[0]["seq"].alias("s"), text.alias("t")).alias("b")).filter(strip(F.col("b.t")) != "")
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "\n\n").alias("markdown"))
+
+
 def blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, markdown): classified lines as Markdown blocks in reading order."""
-    kinds = list_blocks(paragraphs(classify(lines)))
-    body = F.when(F.col("kind") == "bullet", F.regexp_extract("text", BULLET, 1)).when(F.col("kind") == "ordered", F.regexp_extract("text", ORDERED, 2)).otherwise(F.col("text"))
-    number = F.regexp_extract("text", ORDERED, 1)
-    shown = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), body)).when(F.col("kind") == "bullet", F.concat(F.lit("- "), body)).when(F.col("kind") == "ordered", F.concat(number, F.lit(". "), body)).otherwise(body)
-    key = F.when(F.col("list_no").isNotNull(), F.concat(F.lit("l"), F.col("list_no").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("page_no").cast("string"), F.lit("."), F.col("para").cast("string")))
-    parts = kinds.withColumn("shown", shown).withColumn("key", key).groupBy("doc_id", "key", (F.col("list_no").isNotNull()).alias("is_list")).agg(F.array_sort(F.collect_list(F.struct("page_no", "seq", "shown"))).alias("l"))
-    text = F.when(F.col("is_list"), F.array_join(F.transform("l", lambda x: x["shown"]), "\n")).otherwise(F.array_join(F.transform("l", lambda x: x["shown"]), " "))
-    return parts.select("doc_id", F.struct(F.col("l")[0]["page_no"].alias("p"), F.col("l")[0]["seq"].alias("s"), text.alias("t")).alias("b")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "\n\n").alias("markdown"))
+    """(doc_id, markdown): lines as Markdown blocks in reading order."""
+    return render(classify(lines))
+
+
+def with_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Items of classified lines and tables(doc_id, page_no, top, rows): by place on the page, a line before a table at the same height."""
+    kinds = lines.select(*PAGE, "seq", "text", "kind", "level", "top", "bottom", F.lit(0).alias("rank"))
+    extra = tables.select(*PAGE, F.lit(0).cast(lines.schema["seq"].dataType).alias("seq"), table_markdown(F.col("rows")).alias("text"), F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.col("top").cast(lines.schema["top"].dataType).alias("top"), F.col("top").cast(lines.schema["bottom"].dataType).alias("bottom"), F.lit(1).alias("rank"))
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("top", "rank", "seq"))
+    return kinds.unionByName(extra).withColumn("seq", order).drop("rank")
+
+
+def ruled_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, page_no, box_no, top, rows) of tables(doc_id, page_no, box_no, x0, top, x1, bottom, bounds) that rule
+    their columns but not their rows: the words inside, by their middles, on rows that each word's own height closes."""
+    w, b = words.alias("w"), tables.filter(F.size("bounds") >= 3).alias("b")
+    x, y = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
+    inside = (F.col("w.doc_id") == F.col("b.doc_id")) & (F.col("w.page_no") == F.col("b.page_no")) & x.between(F.col("b.x0") - 1, F.col("b.x1") + 1) & y.between(F.col("b.top") - 1, F.col("b.bottom") + 1)
+    placed = w.join(b, inside).select("w.doc_id", "w.page_no", "b.box_no", F.col("b.top").alias("box_top"), F.col("b.bounds").alias("bounds"), "w.word_no", "w.text", "w.x0", "w.x1", "w.top", "w.bottom")
+    rows = printed_rows(placed, own_height=True, key=[*PAGE, "box_no"])
+    column = ruled_column((F.col("x0") + F.col("x1")) / 2, F.col("bounds"))
+    return _cells(rows.withColumn("col", column).withColumn("width", F.size("bounds") - 1), [*PAGE, "box_no"], "box_top")
+
+
+def _cells(words: DataFrame, key: list[str], top: str) -> DataFrame:
+    """(key, top, rows) of words with row_no, col (null: in no column) and width; wrapped rows folded."""
+    said = lambda cells, k: strip(F.array_join(F.transform(F.filter(cells, lambda c: c["col"] == k), lambda c: c["text"]), " "))
+    each = words.groupBy(*key, "row_no").agg(F.array_sort(F.collect_list(F.struct("mid", "x0", "word_no", "col", "text"))).alias("cells"), F.first("width").alias("width"), F.min(top).alias("top"))
+    rows = each.select(*key, "row_no", "top", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: said(F.col("cells"), k)).alias("cells"))
+    folded = merge_wrapped(rows.withColumnRenamed("top", "top_"), key)
+    return folded.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("own", "cells"))), lambda r: r["cells"]).alias("rows")).join(rows.groupBy(*key).agg(F.min("top").alias("top")), key)
+
+
+def read_items(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, tables) of recognised words: runs of rows with gaps that share lanes are tables, all other rows lines.
+
+    lines have no weight, and the upper median of their words' heights as size; tables(doc_id, page_no, run, top, rows).
+    """
+    rows = printed_rows(words)
+    gaps = row_gaps(rows)
+    every = rows.select(*PAGE, "row_no").distinct().join(gaps.select(*PAGE, "row_no", F.lit(True).alias("has_gap")).distinct(), [*PAGE, "row_no"], "left").withColumn("has_gap", F.coalesce("has_gap", F.lit(False)))
+    runs = table_runs(every).filter("run is not null").select(*PAGE, "row_no", "run")
+    lanes = shared_lanes(gaps.join(runs, [*PAGE, "row_no"]), runs).groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list("lane")).alias("lanes"))
+    told = rows.join(runs.join(lanes, [*PAGE, "run"]), [*PAGE, "row_no"], "left")
+    lane = lane_column((F.col("x0") + F.col("x1")) / 2, F.col("lanes"))
+    tables = _cells(told.filter("run is not null").withColumn("col", lane).withColumn("width", F.size("lanes") + 1).withColumn("top_", F.col("top")), [*PAGE, "run"], "top_")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("x0", "mid", "word_no", "text"))), lambda w: w["text"])
+    heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))))
+    lines = told.filter("run is null").groupBy(*PAGE, F.col("row_no").alias("seq")).agg(clean_pdf(F.array_join(in_order, " ")).alias("text"), F.element_at(heights, (F.floor(F.size(heights) / 2) + 1).cast("int")).alias("size"), F.lit(False).alias("bold"), F.min("top").alias("top"), F.max("bottom").alias("bottom")).filter("text != ''")
+    return lines, tables
+
+
+def read_markdown(words: DataFrame) -> DataFrame:
+    """(doc_id, markdown) of recognised words: lines with their sizes put into bands, tables in their places."""
+    lines, tables = read_items(words)
+    return render(with_tables(classify(quantise(lines)), tables))
+
+
+def crops(rows: DataFrame, scale: float = 1.0, width: int | None = None, height: int | None = None) -> DataFrame:
+    """(doc_id, page_no, row_no, crop, left, top, right, bottom, words) in pixels: a row's words up to the next wide gap,
+    with a margin, cut to the picture; those a recogniser could not read (under four pixels) have no box."""
+    row = [*PAGE, "row_no"]
+    order = Window.partitionBy(*row).orderBy("x0", "word_no")
+    told = rows.join(row_height(rows), row)
+    new = F.coalesce(F.col("x0") - F.lag("x1").over(order) > GAP_RATIO * F.col("h"), F.lit(False))
+    told = told.withColumn("new", new.cast("int")).withColumn("crop", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    pixel = lambda c: (c * F.lit(scale)).cast("int")
+    edge = lambda c, most: F.least(c, F.lit(most)) if most is not None else c
+    per = told.groupBy(*row, "crop").agg(
+        F.greatest(F.lit(0), pixel(F.min("x0") - CROP_PADDING)).alias("left"), F.greatest(F.lit(0), pixel(F.min("top") - CROP_PADDING)).alias("top"),
+        edge(pixel(F.max("x1") + CROP_PADDING), width).alias("right"), edge(pixel(F.max("bottom") + CROP_PADDING), height).alias("bottom"),
+        F.array_sort(F.collect_list(F.struct("x0", "word_no", "text", "x1", F.col("top").alias("word_top"), F.col("bottom").alias("word_bottom")))).alias("words"),
+    )
+    large = (F.col("right") - F.col("left") >= CROP_LEAST) & (F.col("bottom") - F.col("top") >= CROP_LEAST)
+    return per.select(*row, "crop", *[F.when(large, F.col(c)).alias(c) for c in ("left", "top", "right", "bottom")], "words")
+
+
+def respell(crops: DataFrame) -> DataFrame:
+    """(doc_id, page_no, row_no, crop, place, text, x0, x1, top, bottom) of crops with ``reading``, a second reading.
+
+    A list marker is kept from the first reading. As many words as before keep their boxes; otherwise one box takes
+    the whole reading. Without a reading, or with a blank one, words stay.
+    """
+    w = F.col("words")
+    marker = w[0]["text"]
+    said = strip(F.coalesce("reading", F.lit("")))
+    rest = F.when(F.startswith(said, marker), F.substring(said, F.length(marker) + 1, F.length(said))).otherwise(said)
+    text = F.when(said == "", "").when(marker.rlike(MARKER), F.concat(marker, F.lit(" "), F.ltrim(rest))).otherwise(said)
+    new = F.split(F.trim(text), r"\s+")
+    box = lambda text, g: F.struct(text.alias("text"), g["x0"].alias("x0"), g["x1"].alias("x1"), g["word_top"].alias("top"), g["word_bottom"].alias("bottom"))
+    whole = F.array(F.struct(text.alias("text"), F.array_min(F.transform(w, lambda g: g["x0"])).alias("x0"), F.array_max(F.transform(w, lambda g: g["x1"])).alias("x1"), F.array_min(F.transform(w, lambda g: g["word_top"])).alias("top"), F.array_max(F.transform(w, lambda g: g["word_bottom"])).alias("bottom")))
+    out = F.when(text == "", F.transform(w, lambda g: box(g["text"], g))).when(F.size(new) == F.size(w), F.transform(F.arrays_zip(new.alias("t"), w.alias("g")), lambda x: box(x["t"], x["g"]))).otherwise(whole)
+    return crops.select(*PAGE, "row_no", "crop", F.posexplode(out).alias("place", "b")).select(*PAGE, "row_no", "crop", "place", "b.*")
 
 
 def outside_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -94,27 +225,37 @@ def lane_column(centre: Column, lanes: Column) -> Column:
     return F.size(F.filter(lanes, lambda c: c <= centre))
 
 
-def printed_rows(words: DataFrame, ratio: float = ROW_RATIO) -> DataFrame:
-    """words plus row_no: a row takes words while their middle is near that of its first word (a fold, not a lag)."""
-    item = F.struct(((F.col("top") + F.col("bottom")) / 2).alias("mid"), F.col("x0"), F.col("word_no"), (F.col("bottom") - F.col("top")).alias("h"))
-    pages = words.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("w"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("mid"), F.lit(0.0).alias("h"), F.array().cast("array<struct<word_no:int,row_no:int>>").alias("out"))
+def printed_rows(words: DataFrame, ratio: float = ROW_RATIO, own_height: bool = False, key: list[str] | None = None) -> DataFrame:
+    """words plus mid and row_no: a row takes words while their middle is near that of its first word, by the height of
+    that word or (``own_height``) of the word itself. A fold finds where rows start; the words travel with it."""
+    key = key or PAGE
+    rest = [c for c in words.columns if c not in (*key, "x0", "word_no")]
+    item = F.struct(((F.col("top") + F.col("bottom")) / 2).alias("mid"), "x0", "word_no", *rest)
+    pages = words.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("w"))
+    height = lambda x: F.greatest(F.lit(1.0), x["bottom"] - x["top"])
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("mid"), F.lit(-1.0).alias("h"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["row"] < 0) | (x["mid"] - acc["mid"] > F.lit(ratio) * acc["h"])
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(row.alias("row"), F.when(new, x["mid"]).otherwise(acc["mid"]).alias("mid"), F.when(new, x["h"]).otherwise(acc["h"]).alias("h"), F.array_append(acc["out"], F.struct(x["word_no"].cast("int").alias("word_no"), row.alias("row_no"))).alias("out"))
+        new = (acc["h"] < 0) | (x["mid"] - acc["mid"] > F.lit(ratio) * (height(x) if own_height else acc["h"]))
+        return F.struct((acc["k"] + 1).alias("k"), F.when(new, x["mid"]).otherwise(acc["mid"]).cast("double").alias("mid"), F.when(new, height(x)).otherwise(acc["h"]).cast("double").alias("h"), F.when(new, F.array_append(acc["starts"], acc["k"])).otherwise(acc["starts"]).alias("starts"))
+
+    found = pages.withColumn("starts", F.aggregate("w", start, step, lambda a: a["starts"]))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("w")))
+    rows = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda r: F.slice("w", r["a"] + 1, r["b"] - r["a"]))
+    return found.select(*key, F.posexplode(rows).alias("row_no", "row")).select(*key, "row_no", F.explode("row").alias("w")).select(*key, "w.*", "row_no")
+
 
-    rows = pages.select("doc_id", "page_no", F.explode(F.aggregate("w", start, step, lambda a: a["out"])).alias("r")).select("doc_id", "page_no", "r.word_no", "r.row_no")
-    return words.join(rows, ["doc_id", "page_no", "word_no"])
+def row_height(rows: DataFrame) -> DataFrame:
+    """(doc_id, page_no, row_no, h): the upper median of the heights of a row's words."""
+    heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))))
+    return rows.groupBy(*PAGE, "row_no").agg(heights.alias("hs")).select(*PAGE, "row_no", F.element_at("hs", (F.floor(F.size("hs") / 2) + 1).cast("int")).alias("h"))
 
 
 def row_gaps(words: DataFrame, ratio: float = GAP_RATIO) -> DataFrame:
     """(doc_id, page_no, row_no, left, right): gaps wider than 1.2 times the row's upper median height."""
-    row = ["doc_id", "page_no", "row_no"]
-    heights = words.groupBy(*row).agg(F.array_sort(F.collect_list(F.col("bottom") - F.col("top"))).alias("hs")).select(*row, F.element_at("hs", (F.floor(F.size("hs") / 2) + 1).cast("int")).alias("h"))
+    row = [*PAGE, "row_no"]
     order = Window.partitionBy(*row).orderBy("x0", "word_no")
-    return words.withColumn("next", F.lead("x0").over(order)).join(heights, row).filter(F.col("next") - F.col("x1") > ratio * F.col("h")).select(*row, F.col("x1").alias("left"), F.col("next").alias("right"))
+    return words.withColumn("next", F.lead("x0").over(order)).join(row_height(words), row).filter(F.col("next") - F.col("x1") > ratio * F.col("h")).select(*row, F.col("x1").alias("left"), F.col("next").alias("right"))
 
 
 def shared_lanes(gaps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -123,7 +264,7 @@ def shared_lanes(gaps: DataFrame, rows: DataFrame) -> DataFrame:
     Gap ends are +1 and -1 in a sweep along x; stretches with at least max(2, round(0.6 * rows)) are merged.
     """
     key = ["doc_id", "page_no", "run"]
-    need = rows.groupBy(*key).agg(F.countDistinct("row_no").alias("n")).select(*key, F.greatest(F.lit(2), F.bround(0.6 * F.col("n"))).alias("need"))
+    need = rows.groupBy(*key).agg(F.countDistinct("row_no").alias("n")).select(*key, F.greatest(F.lit(2), F.bround(LANE_SHARE * F.col("n"))).alias("need"))
     ends = gaps.select(*key, F.explode(F.array(F.struct(F.col("left").alias("x"), F.lit(1).alias("d")), F.struct(F.col("right").alias("x"), F.lit(-1).alias("d")))).alias("e")).groupBy(*key, F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
     order = Window.partitionBy(*key).orderBy("x")
     sweep = ends.withColumn("c", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("x").over(order)).join(need, key)
@@ -133,22 +274,23 @@ def shared_lanes(gaps: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def table_runs(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, page_no, row_no, has_gap) plus run: runs of three or more rows with gaps; null elsewhere."""
+    """rows(doc_id, page_no, row_no, has_gap) plus run: runs of three or more rows with gaps; null elsewhere. Whether a run
+    is a table is for its lanes to say."""
     order = Window.partitionBy("doc_id", "page_no").orderBy("row_no")
     new = F.col("has_gap") & ~F.coalesce(F.lag("has_gap").over(order), F.lit(False))
     run = rows.withColumn("new", new.cast("int")).withColumn("run", F.when(F.col("has_gap"), F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
-    return run.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_no", "run"))).withColumn("run", F.when(F.col("n") >= 3, F.col("run"))).drop("n", "new")
+    return run.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_no", "run"))).withColumn("run", F.when(F.col("n") >= TABLE_ROWS, F.col("run"))).drop("n", "new")
 
 
-def merge_wrapped(rows: DataFrame) -> DataFrame:
+def merge_wrapped(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     """rows(doc_id, table_no, row_no, cells): a row with an empty first cell and some text joins the row above, cell by cell."""
-    order = Window.partitionBy("doc_id", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    wrapped = (F.trim(F.col("cells")[0]) == "") & F.exists("cells", lambda c: F.trim(c) != "")
+    key = key or ["doc_id", "table_no"]
+    order = Window.partitionBy(*key).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    wrapped = (F.col("cells")[0] == "") & F.exists("cells", lambda c: c != "")
     own = rows.withColumn("own", F.sum(F.when(wrapped, 0).otherwise(1)).over(order).cast("int"))
-    cell = own.select("doc_id", "table_no", "own", "row_no", F.posexplode("cells").alias("col", "c"))
-    kept = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "c"))), lambda x: x["c"]), lambda x: x != "")
-    cols = cell.groupBy("doc_id", "table_no", "own", "col").agg(F.array_join(kept, "\n").alias("c"))
-    return cols.groupBy("doc_id", "table_no", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "c"))), lambda x: x["c"]).alias("cells"))
+    whole = own.groupBy(*key, "own").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("r"))
+    said = lambda k: F.array_join(F.filter(F.transform("r", lambda x: F.get(x["cells"], k)), lambda c: c.isNotNull() & (c != "")), "\n")
+    return whole.select(*key, "own", F.transform(F.sequence(F.lit(0), F.size(F.col("r")[0]["cells"]) - 1), said).alias("cells"))
 
 
 def median_height(lines: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def listing(tree: DataFrame) -> DataFrame:
     wide = F.concat("node_id", F.repeat(F.lit(" "), F.greatest(F.lit(10) - F.length("node_id"), F.lit(0))))
     depth = F.size(F.split("node_id", r"\.")) - 1
     tag = F.when(F.col("level") > 0, F.concat(F.lit("H"), F.col("level").cast("string"))).otherwise("—")
-    return tree.select("doc_id", "node_id", F.concat(wide, F.lit(" "), F.repeat(F.lit("  "), depth), F.col("title"), F.lit(" ["), tag, F.lit(", "), (F.col("end") - F.col("start")).cast("string"), F.lit(" dòng]")).alias("line"))
+    return tree.select("doc_id", "node_id", F.concat(wide, F.repeat(F.lit("  "), depth), F.col("title"), F.lit("  ["), tag, F.lit(", "), (F.col("end") - F.col("start")).cast("string"), F.lit(" dòng]")).alias("line"))
 
 
 def visible(tree: DataFrame, needle: str) -> DataFrame:

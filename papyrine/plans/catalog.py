@@ -40,19 +40,41 @@ def big(*names: str) -> list:
 
 
 def page_docs(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_md(html.article(F.col("html"))).alias("markdown"))
+    """Pages with their parts as blocks: without the tags around head and body, all else stays."""
+    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_md(html.fragment(F.col("html"))).alias("markdown"))
 
 
-UNESCAPED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+UNESCAPED = "replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 H1 = "trim(" + UNESCAPED.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + ")"
+# Of the pages' regular shape: title, style and script run into the links of the menu, these into the ad's text, and this
+# into the article. From its first <p><b> on, which nothing closes, an article's paragraphs run on within bold text.
+PAGE_PARTS = r"""
+    o AS (SELECT page_id AS doc_id, regexp_replace(regexp_replace(html, '[ \t\r\n\f\v]+', ' ', 'g'), ' *(</?(?:p|h1|div)>|<div class="ad">) *', '\1', 'g') AS html FROM pages),
+    p AS (SELECT doc_id, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS art FROM o),
+    q AS (SELECT doc_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) || regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS code,
+        array_to_string(list_transform(list_zip(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1), regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)), lambda l: '[' || l[2] || '](' || l[1] || ')'), chr(10) || chr(10)) AS menu,
+        regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(art, '(?s)</h1>(.*)$', 1) AS body FROM p),
+    r AS (SELECT *, CASE WHEN instr(body, '<p><b>') > 0 THEN substr(body, 1, instr(body, '<p><b>') - 1) ELSE body END AS plain, CASE WHEN instr(body, '<p><b>') > 0 THEN substr(body, instr(body, '<p><b>')) ELSE '' END AS bold FROM q),
+    m AS (SELECT doc_id, title, code, menu, ad, foot, h1, trim(replace(replace(plain, '</p>', chr(10) || chr(10)), '<p>', ''), chr(10)) AS plain, regexp_replace(replace(replace(replace(replace(bold, '<p><b>', '**'), '<br>', '  ' || chr(10)), '<p>', ''), '</p>', ''), '\s+$', '') || repeat('**', CAST(len(string_split(bold, '<p><b>')) - 1 AS BIGINT)) AS bold FROM r),
+    blocks AS (SELECT doc_id, @(title) || code || @(menu) AS lead, @(ad) AS ad, '# ' || @(h1) || CASE WHEN plain <> '' THEN chr(10) || chr(10) || @(plain) ELSE '' END || CASE WHEN bold <> '' THEN chr(10) || chr(10) || @(bold) ELSE '' END AS art, @(foot) AS foot FROM m)"""
+for _part in ("title", "menu", "ad", "h1", "plain", "bold", "foot"):
+    PAGE_PARTS = PAGE_PARTS.replace(f"@({_part})", UNESCAPED.format(_part))
+
+
+@query(f"WITH {PAGE_PARTS} SELECT doc_id, lead || ad || art || foot || chr(10) AS markdown FROM blocks")
+def page_markdown(spark, d):
+    return read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), html.html_to_md("html").alias("markdown"))
 
 
-@query()
-def page_markdown(spark, d):
+@query(f"WITH {PAGE_PARTS} SELECT doc_id, lead || chr(10) || chr(10) || ad || chr(10) || chr(10) || art || chr(10) || chr(10) || foot || chr(10) AS markdown FROM blocks")
+def page_fragments(spark, d):
     return page_docs(spark, d)
 
 
-@query(f"SELECT page_id AS doc_id, '1' AS node_id, CAST(1 AS BIGINT) AS level, {H1} AS title, CAST(0 AS BIGINT) AS start FROM pages")
+N_LINKS = "len(regexp_extract_all(html, '<a href='))"
+
+
+@query(f"SELECT page_id AS doc_id, v.k AS node_id, CAST(CASE v.k WHEN '1' THEN 0 ELSE 1 END AS BIGINT) AS level, CASE v.k WHEN '1' THEN '' ELSE {H1} END AS title, CAST(CASE v.k WHEN '1' THEN 0 ELSE 2 * {N_LINKS} + 2 END AS BIGINT) AS start FROM pages, (VALUES ('1'), ('2')) v(k)")
 def page_outline(spark, d):
     return outline.nodes(page_docs(spark, d)).select("doc_id", "node_id", *big("level"), "title", *big("start"))
 
@@ -268,7 +290,7 @@ def selection_cover(spark, d):
     return outline.cover(tree.filter("title LIKE '%1%' OR (level = 2 AND title LIKE '%A%')"), tree)
 
 
-@query(f"""WITH {TREE} SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, node_id || repeat(' ', CAST(greatest(10 - length(node_id), 0) AS BIGINT)) || ' ' || repeat('  ', CAST(level - 1 AS BIGINT)) || title || ' [H' || level || ', ' || CAST(stop - start AS BIGINT) || ' dòng]' AS line FROM tree""")
+@query(f"""WITH {TREE} SELECT CAST(doc_id AS BIGINT) AS doc_id, node_id, node_id || repeat(' ', CAST(greatest(10 - length(node_id), 0) AS BIGINT)) || repeat('  ', CAST(level - 1 AS BIGINT)) || title || '  [H' || level || ', ' || CAST(stop - start AS BIGINT) || ' dòng]' AS line FROM tree""")
 def outline_listing(spark, d):
     return outline.listing(outline.nodes(region_docs(spark, d)))
 
@@ -321,9 +343,25 @@ def heading_rank(spark, d):
     return layout.heading_sizes(order_lines(spark, d)).select("doc_id", F.col("size").cast("double").alias("size"), *big("level"))
 
 
-@query(f"WITH {LINES}, {BODY}, s AS (SELECT DISTINCT l.doc_id, size FROM l JOIN b USING (doc_id) WHERE size >= body * 1.04), r AS (SELECT *, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level FROM s) SELECT CAST(l.doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, CASE WHEN level IS NULL THEN 'text' ELSE 'heading' END AS kind, CAST(level AS BIGINT) AS level FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.size = l.size")
+MARKS = "'• ', '12. ', '2.1.3 ', 'A. ', '(1) ', '', '', '— ', '⁃ ', '1234. ', '+ ', '3) '"
+TAILS = "CASE WHEN (doc_id * 50 + page_no) % 5 = 0 THEN repeat(' w', 20) WHEN (doc_id * 50 + page_no) % 3 = 0 THEN '.' ELSE '' END"
+KINDS = LINES + f", k AS (SELECT doc_id, page_no, seq, [{MARKS}][(doc_id * 50 + page_no + seq) % 12 + 1] || text || {TAILS} AS text, size, (doc_id * 50 + page_no) % 2 = 0 AS bold FROM l)"
+
+
+def marked_lines(spark: SparkSession, d: str) -> DataFrame:
+    """order_lines with list marks, numbers, letters, long lines and bold ones."""
+    text = F.expr(f"concat(element_at(array({MARKS}), cast((doc_id * 50 + page_no + seq) % 12 + 1 as int)), text, {TAILS})")
+    return order_lines(spark, d).withColumn("text", text).withColumn("bold", (F.col("doc_id") * 50 + F.col("page_no")) % 2 == 0)
+
+
+@query(rf"""WITH {KINDS}, b AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(length(text)) AS n, min(page_no * 100 + seq) AS f FROM k GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1),
+    s AS (SELECT DISTINCT k.doc_id, size FROM k JOIN b USING (doc_id) WHERE size >= body * 1.04), r AS (SELECT *, least(6, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC)) AS level, count(*) OVER (PARTITION BY doc_id) AS deepest FROM s),
+    t AS (SELECT k.*, r.level AS by_size, coalesce(d.deepest, 0) AS deepest, len(string_split_regex(trim(text), '\s+')) <= 20 AS short FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.size = k.size LEFT JOIN (SELECT DISTINCT doc_id, least(6, deepest) AS deepest FROM r) d ON d.doc_id = k.doc_id),
+    u AS (SELECT *, coalesce(by_size, CASE WHEN bold AND short AND NOT regexp_matches(text, '[.,;:]$') THEN least(6, deepest + 1) END) AS lv FROM t),
+    v AS (SELECT *, CASE WHEN regexp_matches(text, '^[•●▪◦‣⁃*+\-–—]\s+.') THEN 'bullet' WHEN lv IS NOT NULL AND short THEN 'heading' WHEN regexp_matches(text, '^[0-9]{{1,3}}[.)]\s+.') THEN 'ordered' ELSE 'text' END AS kind FROM u)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(seq AS BIGINT) AS seq, kind, CAST(CASE WHEN kind = 'heading' THEN greatest(lv, CASE WHEN text LIKE '2.1.3 %' THEN 3 ELSE 1 END) END AS BIGINT) AS level FROM v""")
 def line_kind(spark, d):
-    return layout.classify(order_lines(spark, d)).select("doc_id", *big("page_no", "seq"), "kind", *big("level"))
+    return layout.classify(marked_lines(spark, d)).select("doc_id", *big("page_no", "seq"), "kind", *big("level"))
 
 
 @query(f"""WITH {LINES}, g AS (SELECT *, lag(bottom) OVER w AS pb, lag(top) OVER w AS pt FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY seq)), f AS (SELECT *, CASE WHEN pb IS NULL OR top - pb > 1.55 * greatest(1.0, pb - pt) THEN 1 ELSE 0 END AS new FROM g)

@@ -131,5 +131,5 @@ def test_stream_watch(spark, tmp_path):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 50
+    assert e.entry(spark).count() == 100
     assert set(e.oracle_sql()) <= set(e.queries())
