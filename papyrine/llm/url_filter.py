@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrine.llm.common import LOWER, UPPER
+from papyrine.llm.common import LOWER, UPPER, written
 
 
 @dataclass(frozen=True)
@@ -34,43 +34,46 @@ class Rule:
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: its words of 64 bits, the number of hash functions, and the seed that is its own."""
+    """One Bloom filter: its words of 64 bits (a power of two of them), the number of hash functions, and the seed that is its own."""
 
     words: tuple[int, ...]
     hashes: int
     seed: int
 
     def lets(self, key: Column) -> Column:
-        bits, found = F.array(*[F.lit(w).cast("long") for w in self.words]), F.lit(True)
-        for place in positions(key, len(self.words) * 64, self.hashes, self.seed):
-            found = found & (F.getbit(F.get(bits, F.shiftright(place, 6)), F.pmod(place, F.lit(64)).cast("int")) == 1)
-        return found
-
-
-def positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    """Double hashing: h1 + i * h2."""
-    one, two = (F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * seed + i)), 8) for i in range(2))
-    return [F.pmod(one + F.lit(i) * two, F.lit(bits)).cast("int") for i in range(hashes)]
-
-
-def encode(keys: DataFrame, seed: int, false_rate: float, max_bits: int) -> Level | None:
-    """The level that holds all of ``keys`` (column key), or None if there are none. Only its words reach the driver."""
-    n = keys.count()
-    if not n:
-        return None
-    bits = 64 * max(1, math.ceil(-n * math.log(false_rate) / math.log(2) ** 2 / 64))
-    if bits > max_bits:
-        raise ValueError(f"a level for {n} keys takes {bits} bits; max_bits is {max_bits}")
-    hashes = max(1, round(bits / n * math.log(2)))
+        """Tried hash by hash until one refuses. The words are one literal: text that Spark reads once, when it plans."""
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+        one, two = _pair(key, self.seed)
+        on = lambda i: F.getbit(F.get(words, F.shiftright(_place(one, two, i, len(self.words)), 6)), F.pmod(_place(one, two, i, len(self.words)), F.lit(64)).cast("int")) == 1
+        return F.forall(F.sequence(F.lit(0), F.lit(self.hashes - 1)), on)
+
+
+def _pair(key: Column, seed: int) -> tuple[Column, Column]:
+    """Two hashes of a key below 2**40; the second is odd, so that its multiples meet every place."""
+    one, two = (F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * seed + i)), 24) for i in range(2))
+    return one, two.bitwiseOR(F.lit(1))
+
+
+def _place(one: Column, two: Column, i: Column, words: int) -> Column:
+    """The i-th place: h1 + i * h2 + i * i."""
+    return F.pmod(one + i * two + i * i, F.lit(64 * words)).cast("int")
+
+
+def encode(keys: DataFrame, n: int, seed: int, false_rate: float) -> Level:
+    """The level that holds all of the n ``keys`` (column key). Only its words reach the driver: at least 16, and for
+    each key twice the bits of the usual formula at most."""
+    bits = max(1024, 1 << math.ceil(math.log2(n * -math.log(false_rate) / math.log(2) ** 2)))
+    hashes = max(1, math.ceil(-math.log2(false_rate)))
+    one, two = _pair(F.col("key"), seed)
     set_bits = (
-        keys.select(F.explode(F.array(*positions(F.col("key"), bits, min(hashes, 16), seed))).alias("place"))
+        keys.select(one.alias("one"), two.alias("two")).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: _place(F.col("one"), F.col("two"), i, bits // 64))).alias("place"))
         .select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(place, 64) as int))").alias("bit"))
         .groupBy("word").agg(F.bit_or("bit").alias("bits"))
     )
     words = [0] * (bits // 64)
     for r in set_bits.collect():
         words[r["word"]] = r["bits"]
-    return Level(tuple(words), min(hashes, 16), seed)
+    return Level(tuple(words), hashes, seed)
 
 
 @dataclass(frozen=True)
@@ -85,22 +88,27 @@ class Cascade:
         return answer
 
 
-def cascade(listed: DataFrame, universe: DataFrame, false_rate: float = 0.01, max_bits: int = 1 << 20, max_levels: int = 24) -> Cascade:
-    """Levels for ``listed`` over ``universe`` (both with a column key, distinct rows).
+def cascade(listed: DataFrame, universe: DataFrame, false_rate: float = 0.01, max_levels: int = 64) -> Cascade:
+    """Levels for ``listed`` over ``universe`` (both with a column key, distinct rows; tables, as they are read for each level).
 
     The levels alternate between listed keys and false positives, each set filtered by the level before; it ends
-    when a set is empty, so the answer is exact for every key of the universe.
+    when a set is empty, so the answer is exact for every key of the universe. The first level's rate is such that it
+    lets through about as many other keys as are listed, however large the universe is: all levels together grow with
+    the list, and with the universe by a logarithm.
     """
     inside, outside = listed.select("key").distinct(), universe.select("key").join(listed.select("key"), "key", "left_anti")
+    sizes = [inside.count(), outside.count()]
     levels: list[Level] = []
     keys, other = inside, outside
     while len(levels) < max_levels:
-        level = encode(keys, len(levels), false_rate, max_bits)
-        if level is None:
+        n = sizes[0] if not levels else keys.count()
+        if not n:
             return Cascade(tuple(levels))
+        rate = min(false_rate, max(1, sizes[0]) / max(1, sizes[1])) if not levels else false_rate
+        level = encode(keys, n, len(levels), rate)
         levels.append(level)
         keys, other = other.filter(level.lets(F.col("key"))), keys
-    raise ValueError(f"no exact cascade within {max_levels} levels")
+    raise RuntimeError(f"no exact cascade within {max_levels} levels")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -129,22 +137,23 @@ def _hits(c: Cascade, verdict: str) -> Column:
     return F.transform(F.filter("keys", lambda k: c.holds(k)), lambda k: F.struct(F.length(k).alias("len"), k.alias("key"), F.lit(verdict).alias("verdict")))
 
 
-def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", false_rate: float = 0.01, max_bits: int = 1 << 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", false_rate: float = 0.01) -> DataFrame:
     """page_id, host, path, rule, verdict and n_levels for every row of pages(page_id, url).
 
-    ``rules`` is a list on the driver; its levels are bounded by ``max_bits`` each. The longest listed key wins; a
-    url without one gets ``default``, since the cascade has refused all its keys.
+    ``rules`` is a list on the driver, and so are the levels, which grow with it. The longest listed key wins, of equal
+    ones the verdict last by name; a url without one gets ``default``, since the cascade has refused all its keys. The
+    universe of keys is worked out once and written.
     """
     spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    universe = keyed.select(F.explode("keys").alias("key")).distinct()
+    universe = written(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
     best = F.lit(None).cast("struct<len:int,key:string,verdict:string>")
     depth, found = 0, []
     for verdict in sorted({r.verdict for r in rules}):
-        listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == verdict], "key string")
-        c = cascade(listed, universe, false_rate, max_bits)
+        listed = spark.createDataFrame(sorted({(r.key,) for r in rules if r.verdict == verdict}), "key string")
+        c = cascade(listed, universe, false_rate)
         depth = max(depth, len(c.levels))
         found.append(_hits(c, verdict))
     if found:
