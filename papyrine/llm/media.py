@@ -5,8 +5,8 @@ once, under its SHA-256 digest, as an image file of 8-bit grey samples (PNG, los
 the references; every item keeps its position and caption, so texts, media and captions stay aligned.
 
 Payloads are never shuffled: the store is written to the shared folder by the tasks that make it, features are
-computed where the stored bytes are read back, and only digests and features meet in the join (an ordinary join, which
-Spark splits at hot digests).
+computed where the stored bytes are read back, and only digests and features meet in the join of two tables, which Spark
+splits at hot digests.
 
 Defined cases: null text counts as empty; the payload is never empty (padded to a positive multiple of 64 bytes);
 equal texts give equal values; a reference without a payload stays in its place with null media columns; null or
@@ -174,7 +174,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 html.append(f'<figure><img src="sha256:{key.hex()}"><figcaption>text of {n} bytes</figcaption></figure>')
                 digests.append(key.hex())
                 media.append(None if key in seen else struct.pack("<Q", n) + pack(data))
-                if len(seen) < 2_000_000:
+                if len(seen) < 200_000:
                     seen.add(key)
             yield {"doc_id": b["doc_id"], "html": html, "digest": digests, "media": media}
 
@@ -197,13 +197,13 @@ def media_features(media: DataFrame) -> DataFrame:
             yield out
 
     kinds = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_columns(media, run, kinds).dropDuplicates(["digest"])  # a digest may come from several tasks; its rows are equal
+    return written(map_columns(media, run, kinds).distinct(), "features")  # a digest may come from several tasks; its rows are equal
 
 
 def resolve(items: DataFrame, key: str, features: DataFrame) -> DataFrame:
     """One row an item: key, pos, kind, text, caption and the media columns of its reference (null for text)."""
     long = items.select(key, F.explode("items").alias("i")).select(key, "i.pos", "i.kind", "i.text", "i.caption", F.regexp_extract(F.coalesce("i.ref", F.lit("")), r"\Asha256:([0-9a-f]{64})\z", 1).alias("digest"))
-    return long.join(features, "digest", "left")
+    return written(long, "items").join(features, "digest", "left")
 
 
 def assemble(resolved: DataFrame, key: str) -> DataFrame:
