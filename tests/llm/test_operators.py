@@ -53,6 +53,17 @@ def test_cascade_is_exact_with_many_false_positives(spark):
     assert universe.filter(c.holds(F.col("key")) != (F.crc32("key") % 7 == 0)).count() == 0
 
 
+def test_cascade_over_millions_of_keys(spark):
+    """Few listed keys in a universe of 3 million: levels stay small, and false positives of the first one are caught."""
+    universe = spark.range(3_000_000).select(F.concat(F.lit("host"), "id", F.lit(".net/")).alias("key"))
+    listed = universe.filter("key IN ('host7.net/', 'host2999999.net/')")
+    c = url_filter.cascade(listed, universe)
+    assert sum(len(v.words) for v in c.levels) <= 200 and len(c.levels) <= 6
+    assert sorted(r.key for r in universe.filter(c.holds(F.col("key"))).collect()) == ["host2999999.net/", "host7.net/"]
+    many = url_filter.cascade(universe.filter("crc32(key) % 1000 = 0"), universe, false_rate=0.2)
+    assert len(many.levels) >= 2 and universe.filter(many.holds(F.col("key")) != (F.crc32("key") % 1000 == 0)).count() == 0
+
+
 def test_neighbours_exact_and_recall(spark):
     v = neighbours.usable(table(spark, SF, "embeddings"), "vec_id", "embedding")
     p = v.toPandas()
