@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 CONTROL = r"[\x00-\x1f]"
 
-# File suffixes by kind of input, and what a media type is stored as.
+# File suffixes by kind of input, by media type, by program and by the first bytes (in hexadecimal).
 WORD, EXCEL, PDF, MARKDOWN = (".docx", ".doc"), (".xlsx", ".xlsm", ".xls"), (".pdf",), (".md", ".markdown")
 SUPPORTED = WORD + EXCEL + PDF + MARKDOWN
-MIME = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/svg+xml": ".svg", "image/webp": ".webp", "image/x-emf": ".emf", "image/x-wmf": ".wmf"}
+MIME = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tif", "image/svg+xml": ".svg", "image/webp": ".webp", "image/x-emf": ".emf", "image/emf": ".emf", "image/x-wmf": ".wmf", "image/wmf": ".wmf"}
+PROGRAMS = {"acroexch.document": ".pdf", "word.document": ".doc", "word.openxmldocument": ".docx", "excel.sheet": ".xls", "powerpoint.show": ".ppt"}
+SIGNATURES = {"255044462D": ".pdf", "504B0304": ".zip", "7B5C7274": ".rtf", "89504E470D0A": ".png", "FFD8FF": ".jpg", "47494638": ".gif", "D0CF11E0": ".bin"}
 
 
 def strip(c: Column, chars: str = BLANK) -> Column:
@@ -141,13 +143,11 @@ def looks_like_pdf(content: Column) -> Column:
 
 
 def suffix_from_content(data: Column) -> Column:
-    """A file suffix by signature, HTML by its first 512 bytes, else .dat."""
+    """A file suffix by signature, .html by what its first 512 bytes begin with, else .dat."""
     h = F.hex(F.substring(data, 1, 8))
-    head = F.lower(F.decode(F.substring(data, 1, 512), "ISO-8859-1"))
-    # Signatures.
-    signs = (("25504446", ".pdf"), ("89504E47", ".png"), ("FFD8FF", ".jpg"), ("47494638", ".gif"), ("504B0304", ".zip"), ("D0CF11E0", ".ole"), ("7B5C7274", ".rtf"), ("424D", ".bmp"), ("52617221", ".rar"), ("377ABCAF", ".7z"), ("1F8B", ".gz"))
-    out = reduce(lambda acc, s: acc.when(F.startswith(h, F.lit(s[0])), s[1]), signs[1:], F.when(F.startswith(h, F.lit(signs[0][0])), signs[0][1]))
-    return out.when(head.contains("<html") | head.contains("<!doctype html"), ".html").otherwise(".dat")
+    head = F.lower(F.regexp_replace(F.decode(F.substring(data, 1, 512), "ISO-8859-1"), r"\A\s+", ""))
+    known = F.coalesce(*[F.when(F.startswith(h, F.lit(sign)), ext) for sign, ext in SIGNATURES.items()])
+    return F.coalesce(known, F.when(F.startswith(head, F.lit("<!doctype html")) | F.startswith(head, F.lit("<html")), ".html"), F.lit(".dat"))
 
 
 def longest_prefix(key: Column, table: dict[str, str], parts: int = 3) -> Column:
@@ -156,6 +156,11 @@ def longest_prefix(key: Column, table: dict[str, str], parts: int = 3) -> Column
     return F.coalesce(*[F.try_element_at(known, F.substring_index(key, ".", n)) for n in range(parts, 0, -1)])
 
 
+def program_suffix(prog_id: Column) -> Column:
+    """What a program's objects are stored as; versions and other trailing parts of its name don't count."""
+    return F.coalesce(longest_prefix(F.lower(prog_id), PROGRAMS, 8), F.lit(""))
+
+
 def image_suffix(mime: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
     return F.coalesce(F.try_element_at(known, F.lower(mime)), F.lit(".png"))
@@ -166,7 +171,7 @@ def is_remote(address: Column) -> Column:
 
 
 def add_title(md: Column, title: Column) -> Column:
-    return F.when(F.startswith(F.ltrim(md), F.lit("# ")), md).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), md))
+    return F.when(md.rlike(r"\A\s*# "), md).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), md))
 
 
 def ellipsize(c: Column, limit: int = 70) -> Column:
@@ -280,3 +285,19 @@ def front_matter(text: Column) -> Column:
 def strip_field_codes(c: Column) -> Column:
     """Word's fields: the instruction between 0x13 and 0x14 goes, the result stays."""
     return F.regexp_replace(F.regexp_replace(c, r"\x13[^\x14\x15]*(\x14|\x15|\z)", ""), r"[\x14\x15]", "")
+
+
+RELEASE = "struct<tag_name:string,draft:boolean,body:string,assets:array<struct<name:string,browser_download_url:string,size:bigint>>>"
+
+
+def release(payload: Column, wanted: list[str], current: Column) -> Column:
+    """struct<version, url, size, notes, checksum_url> of a release's JSON: the first of the ``wanted`` assets that it has,
+    and the file beside it with the checksum; null for drafts, releases that are not newer, and those without the asset."""
+    r = F.from_json(payload, RELEASE)
+    by_name = lambda n: F.try_element_at(F.filter(F.coalesce(r["assets"], F.expr("array()").cast("array<struct<name:string,browser_download_url:string,size:bigint>>")), lambda a: a["name"] == n), F.lit(1))
+    asset = F.coalesce(*[by_name(F.lit(n)) for n in wanted])
+    made = F.struct(
+        F.regexp_replace(r["tag_name"], r"\A[vV]+", "").alias("version"), asset["browser_download_url"].alias("url"), F.coalesce(asset["size"], F.lit(0)).cast("long").alias("size"),
+        strip(F.coalesce(r["body"], F.lit(""))).alias("notes"), by_name(F.concat(asset["name"], F.lit(".sha256")))["browser_download_url"].alias("checksum_url"),
+    )
+    return F.when(~F.coalesce(r["draft"], F.lit(False)) & (version(r["tag_name"]) > version(current)) & asset.isNotNull(), made)

@@ -102,7 +102,8 @@ def render(items: DataFrame) -> DataFrame:
     shown = F.when(F.col("kind") == "heading", head).when(F.col("kind") == "bullet", F.concat(F.lit("- "), F.regexp_extract("text", BULLET, 2))).when(F.col("kind") == "ordered", F.concat(number, F.lit(". "), F.regexp_extract("text", ORDERED, 2))).otherwise(F.col("text"))
     key = F.when(F.col("list_no").isNotNull(), F.struct(F.lit(-1).alias("p"), F.col("list_no").alias("k"))).otherwise(F.struct(F.col("page_no").alias("p"), F.col("para").alias("k")))
     parts = kinds.withColumn("shown", shown).groupBy("doc_id", key.alias("key")).agg(F.array_sort(F.collect_list(F.struct("page_no", "seq", "shown"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["shown"]), F.when(F.col("key.p") < 0, "\n").otherwise(" "))
+    shown = F.transform("l", lambda x: x["shown"])
+    text = F.when(F.col("key.p") < 0, F.array_join(shown, "\n")).otherwise(F.array_join(shown, " "))
     blocks = parts.select("doc_id", F.struct(F.col("l")[0]["page_no"].alias("p"), F.col("l")[0]["seq"].alias("s"), text.alias("t")).alias("b")).filter(strip(F.col("b.t")) != "")
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "\n\n").alias("markdown"))
 
@@ -242,7 +243,7 @@ def printed_rows(words: DataFrame, ratio: float = ROW_RATIO, own_height: bool =
     found = pages.withColumn("starts", F.aggregate("w", start, step, lambda a: a["starts"]))
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("w")))
     rows = F.transform(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b")), lambda r: F.slice("w", r["a"] + 1, r["b"] - r["a"]))
-    return found.select(*key, F.posexplode(rows).alias("row_no", "row")).select(*key, "row_no", F.explode("row").alias("w")).select(*key, "w.*", "row_no")
+    return found.select(*key, F.posexplode(rows).alias("row_no", "row")).select(*key, "row_no", F.explode("row").alias("word_")).select(*key, "word_.*", "row_no")
 
 
 def row_height(rows: DataFrame) -> DataFrame:

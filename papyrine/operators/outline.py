@@ -6,10 +6,14 @@ Trees are built by folds within a document's row, so they need no shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from papyrine.functions.text import squeeze_blank_lines, strip
+from papyrine.functions.text import quote_path, slug, squeeze_blank_lines, strip
+from papyrine.sources.scratch import written
 
 HEADING = r"\A(#{1,6})[ \t]+(.*)\z"
 
@@ -163,28 +167,97 @@ def asset_links(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "ord", F.url_decode(F.substring_index("href", "/", 1)).alias("folder"), F.url_decode(F.substring_index("href", "/", -1)).alias("name"))
 
 
+def relocate_assets(sections: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, used) of sections(doc_id, stem, text, ...) and assets(doc_id, folder, name, suffix): links to known
+    assets point to the folder ``stem`` + suffix; other links stay. used(doc_id, stem, folder, name, target) is what has to be copied."""
+    key = ["doc_id", "stem"]
+    hrefs = sections.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\]\(([^()\s]+)\)"), F.lit(1)))).alias("href")).filter(F.col("href").contains("/"))
+    linked = hrefs.select(*key, "href", F.substring_index("href", "/", 1).alias("folder"), F.url_decode(F.regexp_replace(F.regexp_replace("href", r"\A[^/]*/", ""), r"\+", "%2B")).alias("name"))
+    found = linked.join(assets, ["doc_id", "folder", "name"]).withColumn("target", F.concat("stem", "suffix"))
+    base = F.regexp_extract("name", r"([^/]+)\z", 1)
+    moves = found.groupBy(*key).agg(F.collect_list(F.struct(F.concat(F.lit("]("), "href", F.lit(")")).alias("old"), F.concat(F.lit("]("), quote_path(F.concat("target", F.lit("/"), base)), F.lit(")")).alias("new"))).alias("moves"))
+    # one pass over the text, split at its links, so that a new address is never taken for an old one
+    parts = F.regexp_extract_all("text", F.lit(r"(?s)(\]\([^()\s]+\)|\]|[^\]]+)"), F.lit(1))
+    new = lambda p: F.coalesce(F.try_element_at(F.map_from_entries("moves"), p), p)
+    rewritten = F.when(F.col("moves").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, new), ""))
+    return sections.join(moves, key, "left").withColumn("text", rewritten).drop("moves"), found.select(*key, "folder", "name", "target").distinct()
+
+
+def section_stems(chosen: DataFrame, documents: DataFrame, split: bool = False) -> DataFrame:
+    """(doc_id, node_id, stem) of the file each of chosen(doc_id, node_id, title), which no other covers, goes to: its
+    title's when sections are split or there is but one, else the document's, documents(doc_id, stem)."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) == 1
+    return chosen.withColumn("alone", alone | F.lit(split)).join(documents.withColumnRenamed("stem", "own"), "doc_id").select("doc_id", "node_id", F.when(F.col("alone"), slug_or("title", "own")).otherwise(F.col("own")).alias("stem"))
+
+
+def slug_or(title: str, fallback: str) -> Column:
+    s = slug(F.col(title), "\x00")
+    return F.when(s == "\x00", F.col(fallback)).otherwise(s)
+
+
+def section_results(sections: DataFrame, add_title: bool = True) -> DataFrame:
+    """(doc_id, node_id, status, text) of sections(doc_id, node_id, title, text): blank ones are skipped, others get their
+    title as a heading unless they begin with one."""
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
+    headed = F.when(F.startswith(F.ltrim("text"), F.lit("#")) | ~F.lit(add_title), F.col("text")).otherwise(F.concat(F.lit("# "), "title", F.lit("\n\n"), "text"))
+    return sections.select("doc_id", "node_id", F.when(blank, "skipped").otherwise("success").alias("status"), F.when(~blank, F.concat(F.regexp_replace(headed, r"\s+\z", ""), F.lit("\n"))).alias("text"))
+
+
+def unknown(selected: DataFrame, tree: DataFrame) -> DataFrame:
+    """The selected (doc_id, node_id) that the outline doesn't have."""
+    return selected.join(tree.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti")
+
+
+def running_number(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows plus ``number``: from 1 within ``keys`` in ``order``. Rows are dealt by ranges of keys and order together, so
+    that one very large group spreads over many tasks; each task's counts add up along the ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order)
+    local = F.row_number().over(Window.partitionBy("part_", *keys).orderBy(order))
+    # written: ranges come from a sample, which another run might draw otherwise
+    numbered = written(dealt.withColumn("part_", F.spark_partition_id()).withColumn("local_", local), "numbered")
+    sums = numbered.groupBy("part_", *keys).agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(sums.select("part_", *keys, before.alias("before_")), ["part_", *keys]).withColumn("number", F.col("before_") + F.col("local_")).drop("part_", "local_", "before_").select(*rows.columns, "number")
+
+
 def unique_names(files: DataFrame, folder: str = "folder", stem: str = "stem", ext: str = "ext", order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
     """files plus ``unique``: "stem", else "stem (n)" with the lowest free n, within a folder whatever the case.
 
-    Only names that agree but for numbers in brackets can meet, so the fold in order runs within such a family of a
-    folder, not over the folder; ``taken`` (folder, name) are there before.
+    Only names that agree but for numbers in brackets, a family, can meet. Where all names of a family are one, the n-th
+    file gets n - 1, by a running number. Families with several names, or with ``taken`` ones (folder, name), are folded
+    in order, each in one task, with the next number to try for each name.
     """
     family = lambda name: F.lower(F.regexp_replace(name, r"( \(\d+\))+(?=(\.[^.]*)?$)", ""))
-    item = F.struct(F.col(order).alias("o"), F.col(stem).alias("s"), F.col(ext).alias("e"))
-    kind = files.schema[order].dataType.simpleString()
     whole = F.concat(F.col(stem), F.col(ext))
-    grouped = files.groupBy(F.col(folder).alias("f_"), family(whole).alias("family")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    named = files.withColumn("f_", F.coalesce(F.col(folder), F.lit(""))).withColumn("low_", F.lower(whole)).withColumn("family_", family(whole))
+    kinds = named.groupBy("f_", "family_").agg((F.min("low_") != F.max("low_")).alias("mixed_"))
     if taken is not None:
-        there = taken.groupBy(F.col(folder).alias("f_"), family(F.col("name")).alias("family")).agg(F.collect_list(F.lower("name")).alias("taken"))
-        grouped = grouped.join(there, ["f_", "family"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
-    else:
-        grouped = grouped.withColumn("taken", F.array().cast("array<string>"))
-    start = F.struct(F.col("taken").alias("t"), F.array().cast(f"array<struct<o:{kind},u:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        options = F.concat(F.array(F.concat(x["s"], x["e"])), F.transform(F.sequence(F.lit(1), F.size(acc["t"]) + 1), lambda n: F.concat(x["s"], F.lit(" ("), n.cast("string"), F.lit(")"), x["e"])))
-        free = F.element_at(F.filter(options, lambda o: ~F.array_contains(acc["t"], F.lower(o))), 1)
-        return F.struct(F.array_append(acc["t"], F.lower(free)).alias("t"), F.array_append(acc["out"], F.struct(x["o"].cast(kind).alias("o"), free.alias("u"))).alias("out"))
-
-    named = grouped.select("f_", F.explode(F.aggregate("items", start, step, lambda acc: acc["out"])).alias("x")).select("f_", F.col("x.o").alias("o_"), F.col("x.u").alias("unique"))
-    return files.join(named, (F.col(folder) == F.col("f_")) & (F.col(order) == F.col("o_"))).drop("f_", "o_")
+        there = taken.select(F.coalesce(F.col("folder"), F.lit("")).alias("f_"), family(F.col("name")).alias("family_"), F.lower("name").alias("low_"))
+        kinds = kinds.join(there.select("f_", "family_", F.lit(True).alias("there_")).distinct(), ["f_", "family_"], "left").select("f_", "family_", (F.col("mixed_") | F.coalesce("there_", F.lit(False))).alias("mixed_"))
+    mixed = kinds.filter("mixed_").select("f_", "family_")
+    plain = running_number(named.join(mixed, ["f_", "family_"], "left_anti").select(*named.columns), ["f_", "low_"], order)
+    own = F.when(F.col("number") == 1, whole).otherwise(F.concat(F.col(stem), F.lit(" ("), (F.col("number") - 1).cast("string"), F.lit(")"), F.col(ext)))
+    out = plain.withColumn("unique", own).select(*files.columns, "unique")
+    rest = named.join(mixed, ["f_", "family_"], "left_semi").select("f_", "family_", F.lit(1).alias("turn_"), "low_", *[F.col(c) for c in files.columns])
+    if taken is not None:
+        before = there.join(mixed, ["f_", "family_"], "left_semi").select("f_", "family_", F.lit(0).alias("turn_"), "low_", *[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in files.columns])
+        rest = rest.unionByName(before)
+    schema = StructType([*files.schema.fields, StructField("unique", StringType())])
+    at, given = {c: k for k, c in enumerate(rest.columns)}, [*files.columns, "unique"]
+
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("turn_", "ascending"), ("order_", "ascending")]).drop_columns(["order_"])
+        used, following, names = set(), {}, []
+        for turn, low, s, e in zip(*(rows.column(at[c]).to_pylist() for c in ("turn_", "low_", stem, ext))):
+            name, n = (low if turn == 0 else f"{s}{e}"), following.get(low, 1)
+            while turn and name.lower() in used:
+                name, n = f"{s} ({n}){e}", n + 1
+            following[low] = n
+            used.add(name.lower())
+            names.append(name)
+        kept = rows.append_column("unique", pa.array(names, pa.string())).filter(pc.field("turn_") == 1)
+        return kept.select(given)
+
+    place = rest.select("*", F.col(order).alias("order_")) if not isinstance(files.schema[order].dataType, StructType) else rest.select("*", F.to_json(order).alias("order_"))
+    return out.unionByName(place.groupBy("f_", "family_").applyInArrow(fold, schema))

@@ -31,10 +31,19 @@ def sheet_markdown(cells: DataFrame) -> DataFrame:
     return rows.groupBy(*SHEET, "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("t")))), lambda r: r["t"]), "\n").alias("markdown"))
 
 
-def workbook_markdown(cells: DataFrame) -> DataFrame:
-    """(doc_id, markdown): a second-level heading and a table for each sheet, in order."""
-    part = F.concat(F.lit("## "), F.col("sheet"), F.lit("\n\n"), F.col("markdown"))
-    return sheet_markdown(cells).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_no", part.alias("t")))), lambda s: s["t"]), "\n\n").alias("markdown"))
+# Fixed value: what stands in place of an empty sheet.
+EMPTY_SHEET = "> Sheet không có dữ liệu."
+
+
+def workbook_markdown(cells: DataFrame, sheets: DataFrame | None = None, level: int = 2) -> DataFrame:
+    """(doc_id, markdown): a heading and a table, or a note that there is none, for each sheet, in order.
+
+    ``sheets`` (doc_id, sheet_no, sheet) names those without any cell too; by default they are those of the cells.
+    """
+    every = (cells if sheets is None else sheets).select(*SHEET, "sheet").distinct()
+    said = every.join(sheet_markdown(cells).select(*SHEET, "markdown"), SHEET, "left")
+    part = F.concat(F.lit("#" * max(1, min(6, level)) + " "), F.col("sheet"), F.lit("\n\n"), F.coalesce("markdown", F.lit(EMPTY_SHEET)))
+    return said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet_no", part.alias("t")))), lambda s: s["t"]), "\n\n").alias("markdown"))
 
 
 def split_level(blocks: DataFrame) -> DataFrame:

@@ -174,17 +174,18 @@ def typed_cells(spark, d):
 
 
 def nation_cells(spark: SparkSession, d: str) -> DataFrame:
-    """A workbook with a sheet a region: key, name, and a column that is always null."""
+    """A workbook with a sheet a region: key, name, and a column that is always null; and a sheet with a header only."""
     n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     row = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
     values = F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string"))
     data = n.withColumn("row_no", row).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("r_regionkey").alias("sheet_no"), F.col("r_name").alias("sheet"), "row_no", F.posexplode(values).alias("col_no", "value"))
     head = read(spark, d, "region").select(F.lit(1).cast("bigint").alias("doc_id"), F.col("r_regionkey").alias("sheet_no"), F.col("r_name").alias("sheet"), F.lit(0).alias("row_no"), F.posexplode(F.array(F.lit("key"), F.lit(""), F.lit("none"))).alias("col_no", "value"))
-    return data.unionByName(head)
+    last = spark.range(1).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(99).alias("sheet_no"), F.lit("NONE").alias("sheet"), F.lit(0).alias("row_no"), F.lit(0).alias("col_no"), F.lit("key").alias("value"))
+    return data.unionByName(head).unionByName(last)
 
 
 @query("""WITH s AS (SELECT r_regionkey, r_name, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
-    SELECT CAST(1 AS BIGINT) AS doc_id, string_agg('## ' || r_name || chr(10) || chr(10) || '| key | Cột 2 |' || chr(10) || '| --- | --- |' || chr(10) || body, chr(10) || chr(10) ORDER BY r_regionkey) AS markdown FROM s""")
+    SELECT CAST(1 AS BIGINT) AS doc_id, string_agg('## ' || r_name || chr(10) || chr(10) || '| key | Cột 2 |' || chr(10) || '| --- | --- |' || chr(10) || body, chr(10) || chr(10) ORDER BY r_regionkey) || chr(10) || chr(10) || '## NONE' || chr(10) || chr(10) || '> Sheet không có dữ liệu.' AS markdown FROM s""")
 def workbook_markdown(spark, d):
     return tables.workbook_markdown(nation_cells(spark, d))
 

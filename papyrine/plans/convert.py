@@ -11,20 +11,26 @@ from itertools import chain, count
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from papyrine.functions import text as tx
 from papyrine.operators import html, markdown
 from papyrine.operators.outline import unique_names
 from papyrine.sources import containers, writers
-from papyrine.sources.files import discover
+from papyrine.sources.files import listing, with_content
+from papyrine.sources.scratch import written
 
 RESULT = "source string, status string, output string, message string, warnings array<string>, duration double, markdown string, content binary, assets array<struct<kind: string, name: string, content: binary>>"
 STATUSES = ("success", "error", "skipped", "cancelled")
 # Messages for what needs an external program.
 NO_OFFICE = "old Office files need an external converter, which is not available"
 NO_PRINTER = "PDF output needs an external print engine, which is not available"
+# What stands in place of an empty sheet, and the warnings about it.
+EMPTY_SHEET, SHEET_IS_EMPTY, NO_SHEETS = "> Sheet không có dữ liệu.", "Sheet '{}' trống.", "Workbook không có sheet nào."
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,12 @@ class Options:
     toc: bool = False
     page_break_h1: bool = False
     overwrite: bool = False
+    page_size: str = "A4"
+    line_spacing: float | None = None
+    sheet_level: int = 2
+    sections: tuple[str, ...] | None = None  # ids of an outline, or ("all",) for its roots
+    split_sections: bool = False
+    promote: bool = True
 
 
 class Assets:
@@ -71,23 +83,27 @@ class Assets:
         return self._by_digest[digest]
 
 
-def sheets_markdown(cells: list[tuple]) -> tuple[str, list[str]]:
-    """Sheets as headings and tables: without rows and columns that are empty, headers cleaned."""
+def sheets_markdown(cells: list[tuple], level: int = 2, sheets: list[tuple[int, str]] | None = None) -> tuple[str, list[str]]:
+    """Sheets as headings and tables: without rows and columns that are empty, headers cleaned. For the cells of one
+    file at hand; says the same as the native ``tables.workbook_markdown``."""
     out, warnings, books = [], [], {}
+    mark = "#" * max(1, min(6, level))
+    for no, sheet in sheets or []:
+        books[no, sheet] = {}
     for no, sheet, row, col, value, _ in cells:
         books.setdefault((no, sheet), {}).setdefault(row, {})[col] = value
     for (_, sheet), rows in sorted(books.items()):
         body = {r: c for r, c in rows.items() if r > 0 and any(v is not None for v in c.values())}
         cols = sorted({k for c in body.values() for k, v in c.items() if v is not None})
         if not cols:
-            warnings.append(f"sheet {sheet} is empty")
-            out.append(f"## {sheet}\n\n*(empty)*")
+            warnings.append(SHEET_IS_EMPTY.format(sheet))
+            out.append(f"{mark} {sheet}\n\n{EMPTY_SHEET}")
             continue
         clean = lambda v: (v or "").strip().replace("|", "\\|").replace("\r\n", "<br>").replace("\n", "<br>")
         head = [(rows.get(0, {}).get(k) or "").strip() or f"Cột {i}" for i, k in enumerate(cols, 1)]
         lines = ["| " + " | ".join(x) + " |" for x in [head, ["---"] * len(cols), *([clean(c.get(k)) for k in cols] for _, c in sorted(body.items()))]]
-        out.append(f"## {sheet}\n\n" + "\n".join(lines))
-    return "\n\n".join(out) + "\n" if out else "", warnings
+        out.append(f"{mark} {sheet}\n\n" + "\n".join(lines))
+    return "\n\n".join(out) + "\n", warnings if books else [*warnings, NO_SHEETS]
 
 
 def pdf_markdown(content: bytes) -> str:
@@ -142,7 +158,9 @@ def convert_one(name: str, suffix: str, container: str, content: bytes, o: Optio
         elif suffix in tx.EXCEL:
             if container != "zip":
                 raise ValueError(NO_OFFICE)
-            said, warnings = sheets_markdown(containers.xlsx_cells(content))
+            said, warnings = sheets_markdown(containers.xlsx_cells(content), o.sheet_level, containers.xlsx_sheets(content))
+        elif suffix not in tx.PDF:
+            return "skipped", "", f"files of the kind {suffix or '(unknown)'} are left out", [], None, None, []
         else:
             if not content.startswith(b"%PDF-"):
                 warnings = ["the file doesn't look like a PDF"]
@@ -174,12 +192,12 @@ def output_names(files: DataFrame, options: Options, taken: DataFrame | None = N
     (folder, name) unless results overwrite, get numbers."""
     md = F.col("suffix").isin(*tx.MARKDOWN)
     ext = F.when(md, F.lit(options.target)).otherwise(F.lit(".md"))
-    keyed = files.withColumn("ext", ext).withColumn("folder", F.lit("")).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
+    keyed = files.filter("problem is null").withColumn("ext", ext).withColumn("folder", F.lit("")).withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
     keyed = keyed.withColumn("ord", F.struct(F.lower("path").alias("l"), "path"))
     if options.overwrite:
-        return keyed.withColumn("output", F.col("stem")).drop("ext", "folder", "stem", "ord")
+        return files.withColumn("output", F.when(F.col("problem").isNull(), F.regexp_replace("name", r"\.[^.]*$", "")))
     names = unique_names(keyed.select("folder", "stem", "ext", "path", "ord"), taken=taken).select("path", F.expr("substring(unique, 1, length(unique) - length(ext))").alias("output"))
-    return files.join(names, "path")
+    return files.join(names, "path", "left")
 
 
 def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
@@ -188,19 +206,34 @@ def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, name, suffix, box, output, content in zip(f["path"], f["name"], f["suffix"], f["container"], f["output"], f["content"]):
+            for path, name, suffix, box, output, problem, content in zip(f["path"], f["name"], f["suffix"], f["container"], f["output"], f["problem"], f["content"]):
                 began = time.monotonic()
-                status, output, message, warnings, said, data, assets = convert_one(name, suffix, box, bytes(content), options, output)
+                if problem == "missing":
+                    status, output, message, warnings, said, data, assets = "error", "", "the file was not found", [], None, None, []
+                else:
+                    status, output, message, warnings, said, data, assets = convert_one(name, suffix, box, bytes(content or b""), options, output)
                 files_beside = [{"kind": k, "name": n, "content": c} for k, n, c in assets]
                 rows.append((path, status, output, message, warnings, time.monotonic() - began, said, data, files_beside))
             yield pd.DataFrame(rows, columns=["source", "status", "output", "message", "warnings", "duration", "markdown", "content", "assets"])
 
-    output = F.col("output") if "output" in files.columns else F.lit(None).cast("string")
-    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), output.alias("output"), "content").mapInPandas(run, RESULT)
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of a few files, about 32 MB each."""
+        for b in batches:
+            n = max(1, int((32 << 20) * b.num_rows / max(1, b.nbytes)))
+            for k in range(0, b.num_rows, n):
+                for out in run(iter([b.slice(k, n).to_pandas()])):
+                    yield pa.RecordBatch.from_pydict({f.name: pa.array(list(out[f.name]), f.type) for f in shape}, schema=shape)
+
+    shape = to_arrow_schema(StructType.fromDDL(RESULT))
+    none = F.lit(None).cast("string")
+    output, problem = (F.col(c) if c in files.columns else none for c in ("output", "problem"))
+    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), output.alias("output"), problem.alias("problem"), "content").mapInArrow(few, RESULT)
 
 
 def convert_paths(spark: SparkSession, paths: list[str], options: Options = Options(), recursive: bool = True) -> DataFrame:
-    return convert(output_names(discover(spark, paths, recursive), options), options)
+    """Results of the files below ``paths``: named first, by the listing alone, and read last."""
+    named = written(output_names(listing(spark, paths, recursive), options), "files")
+    return convert(with_content(spark, named, paths, recursive), options)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -227,6 +227,12 @@ def xlsx_cells(content: bytes) -> list[tuple[int, str, int, int, str | None, str
     return out
 
 
+def xlsx_sheets(content: bytes) -> list[tuple[int, str]]:
+    """(sheet_no, sheet) of every sheet, those without a cell too."""
+    book = ET.fromstring(_open(content).read("xl/workbook.xml"))
+    return [(no, s.get("name")) for no, s in enumerate(book.iter(f"{S}sheet"))]
+
+
 def ole_streams(content: bytes) -> dict[str, bytes]:
     """Streams of a compound file by name."""
     if content[:8] != bytes.fromhex("D0CF11E0A1B11AE1"):

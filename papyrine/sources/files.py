@@ -6,17 +6,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import base_name, is_supported, sniff, suffix
+from papyrine.sources.scratch import written
 
 
-def discover(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
-    """(path, name, suffix, kind, length, modified, content) of the supported files, each once, by lower-cased path.
+LISTED = "path string, name string, suffix string, length long, modified timestamp, problem string"
+
 
-    Spark's reader leaves out names that begin with _ or a dot. ``content`` is last, so that plans that don't read it
-    prune it.
+def listing(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """LISTED rows of the files below ``paths``, each once, by lower-cased path, without reading them.
+
+    Folders give their supported files; a file named itself is there in any case, with the problem "unsupported" if its
+    kind is, and so is a path that does not exist, with "missing". Spark's reader leaves out names that begin with _ or
+    a dot.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    rows = read.filter(is_supported(F.col("path"))).withColumn("name", F.url_decode(base_name(F.col("path"))))
-    return rows.dropDuplicates(["path"]).select("path", "name", suffix(F.col("name")).alias("suffix"), sniff(F.col("content"), F.col("name")).alias("kind"), "length", F.col("modificationTime").alias("modified"), "content").orderBy(F.lower("path"))
+    hadoop = spark._jsc.hadoopConfiguration()
+    where = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    status = [(p, f.getFileStatus(w) if (f := w.getFileSystem(hadoop)).exists(w) else None) for p, w in zip(paths, where)]
+    there = [p for p, s in status if s is not None]
+    rows = spark.createDataFrame([(p, None, None, None, None, "missing") for p, s in status if s is None], LISTED)
+    if there:
+        named = [s.getPath().toString() for _, s in status if s is not None and s.isFile()]
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there).select("path", F.col("length"), F.col("modificationTime").alias("modified"))
+        good = is_supported(F.col("path"))
+        found = found.withColumn("problem", F.when(~good, F.lit("unsupported"))).filter(good | F.col("path").isin(named))
+        rows = rows.unionByName(found.withColumn("name", F.lit(None).cast("string")).withColumn("suffix", F.lit(None).cast("string")))
+    name = F.url_decode(F.regexp_replace(base_name(F.col("path")), r"\+", "%2B"))
+    return rows.dropDuplicates(["path"]).withColumn("name", name).withColumn("suffix", suffix(name)).orderBy(F.lower("path"))
+
+
+def with_content(spark: SparkSession, files: DataFrame, paths: list[str], recursive: bool = True) -> DataFrame:
+    """files(path, ...) plus kind and content, null for those without any. The listing is small and joined to the files
+    where they are read, if Spark can broadcast it; otherwise each file's bytes are moved once."""
+    known = files.filter("problem is null")
+    there = [r["path"] for r in known.select("path").limit(1).collect()]
+    if not there:
+        return files.withColumn("kind", F.lit(None).cast("struct<container:string,suggested_suffix:string>")).withColumn("content", F.lit(None).cast("binary"))
+    hadoop = spark._jsc.hadoopConfiguration()
+    good = [p for p in paths if (w := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(hadoop).exists(w)]
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(good).select("path", "content").filter(is_supported(F.col("path")))
+    full = read.join(known, "path")
+    sniffed = full.select(*files.columns, sniff(F.col("content"), F.col("name")).alias("kind"), "content")
+    bad = files.filter("problem is not null").withColumn("kind", F.lit(None).cast(sniffed.schema["kind"].dataType)).withColumn("content", F.lit(None).cast("binary"))
+    return sniffed.unionByName(bad)
+
+
+def discover(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """(path, name, suffix, length, modified, problem, kind, content) of the files below ``paths``."""
+    return with_content(spark, written(listing(spark, paths, recursive), "files"), paths, recursive)
 
 
 def first_spelling(paths: DataFrame) -> DataFrame:
