@@ -15,7 +15,7 @@ words, or one of LONG, go too. Every pair of lines of a passage is repeated wher
 lines over LONG words goes completely. A line's first place in the corpus is in no repeated chunk or pair, so each line
 stays somewhere. ``dedup`` looks at chunks alone.
 
-Hashes of all chunks (and pairs) find the repeated ones; a bitmap, sized by their number, tells the second pass which
+Hashes of all chunks (and pairs), made from those of their lines, find the repeated ones; a bitmap, sized by their number, tells the second pass which
 chunks' bytes to send; bytes then meet by value. False hits of the bitmap are harmless, since equal bytes decide. Chunks
 that are in no run are compared as well: they may stand first for chunks of runs elsewhere. The places are found by an
 aggregation that folds copies before it shuffles; places and first places meet in a join of two tables, whose very
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_digest, xxh3_64_intdigest
 
 from papyrine.llm.common import bitmap, bits_for, bounded, fresh, map_columns, marked_at, slices, tidy, written
 
@@ -44,19 +44,55 @@ WINDOW, DIVISOR, LONG, LEAST = 2, 2, 40, 25
 MASK = (1 << 64) - 1
 
 
+class Text:
+    """A text's lines, their words (counted up to LONG + 1), and their hashes."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = text.split("\n")
+        self.words = [len(ln.split(None, LONG)) for ln in self.lines]
+        self.marks = [xxh3_64_digest(ln.encode("utf-8", "surrogatepass")) for ln in self.lines]
+
+    def chunks(self) -> list[tuple[int, int]]:
+        """(first line, line after the last) of the chunks of the whole text, in order."""
+        words, hashes = self.words, [int.from_bytes(m, "big") for m in self.marks]
+        last, out, begin = len(words) - 1, [], 0
+        for i, h in enumerate(hashes):
+            before = hashes[i - WINDOW + 1] if i >= WINDOW - 1 else 0
+            if i == last or words[i] >= LONG or words[i + 1] >= LONG or (((before * 0x9E3779B97F4A7C15 + h) & MASK) >> 33) % DIVISOR == 0:
+                out.append((begin, i + 1))
+                begin = i + 1
+        return out
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The same of neighbouring lines with words, and the blank lines between; not of two long ones."""
+        at = [i for i, n in enumerate(self.words) if n]
+        return [(a, b + 1) for a, b in zip(at, at[1:]) if self.words[a] < LONG or self.words[b] < LONG]
+
+    def pieces(self, pairs: bool) -> list[tuple[int, int]]:
+        """Lines of the chunks, and then of the pairs; their numbers are their places here."""
+        return self.chunks() + (self.pairs() if pairs else [])
+
+    def body(self, a: int, b: int) -> str:
+        return "\n".join(self.lines[a:b])
+
+    def mark(self, a: int, b: int) -> int:
+        """64 bits, signed; equal for equal bodies."""
+        return xxh3_64_intdigest(b"".join(self.marks[a:b])) - (1 << 63)
+
+    def mark_of(self, pairs: bool) -> dict[int, tuple[int, int, int]]:
+        """By mark the number and lines of the first such piece with words."""
+        out: dict[int, tuple[int, int, int]] = {}
+        for k, (a, b) in enumerate(self.pieces(pairs)):
+            if b - a > 1 or self.words[a]:
+                if any(self.words[a:b]):
+                    out.setdefault(self.mark(a, b), (k, a, b))
+        return out
+
+
 def chunks(text: str) -> list[tuple[str, int, int]]:
-    """(body, lines, words) of the chunks of the whole text, in order."""
-    lines = text.split("\n")
-    words = [len(ln.split()) for ln in lines]
-    hashes = [xxh3_64_intdigest(ln.encode("utf-8", "surrogatepass")) for ln in lines]
-    out, begin = [], 0
-    for i in range(len(lines)):
-        before = hashes[i - WINDOW + 1] if i >= WINDOW - 1 else 0
-        rolled = (before * 0x9E3779B97F4A7C15 + hashes[i]) & MASK
-        if i == len(lines) - 1 or words[i] >= LONG or words[i + 1] >= LONG or (rolled >> 33) % DIVISOR == 0:
-            out.append(("\n".join(lines[begin : i + 1]), i + 1 - begin, sum(words[begin : i + 1])))
-            begin = i + 1
-    return out
+    """(body, lines, words) of the chunks of the whole text, in order; a line's words count up to LONG + 1."""
+    t = Text(text)
+    return [(t.body(a, b), b - a, sum(t.words[a:b])) for a, b in t.chunks()]
 
 
 def in_runs(parts: list[tuple[str, int, int]], repeated: Callable[[int, str], bool]) -> list[bool]:
@@ -80,21 +116,18 @@ def in_runs(parts: list[tuple[str, int, int]], repeated: Callable[[int, str], bo
     return out
 
 
-def line_pairs(text: str) -> list[tuple[str, int, int]]:
-    """(body, first line, line after the last) of neighbouring lines with words, and the blank lines between, in order."""
-    lines = text.split("\n")
-    at = [i for i, ln in enumerate(lines) if ln and not ln.isspace()]
-    long = [len(lines[i].split(None, LONG)) >= LONG for i in at]
-    return [("\n".join(lines[at[k] : at[k + 1] + 1]), at[k], at[k + 1] + 1) for k in range(len(at) - 1) if not (long[k] and long[k + 1])]
-
-
-def _pieces(text: str, pairs: bool) -> list[str]:
-    """Bodies with a number each: those of the chunks ("" without words), then those of the pairs."""
-    return [body if words else "" for body, _, words in chunks(text)] + ([p[0] for p in line_pairs(text)] if pairs else [])
+def untouched(text: str, gone: frozenset[int]) -> bool:
+    """Whether nothing of the text can go: no piece is repeated elsewhere, no line within."""
+    if gone:
+        return False
+    said = [ln for ln in text.split("\n") if ln and not ln.isspace()]
+    return len(set(said)) == len(said)
 
 
 def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
     """The text without the runs of chunks that are numbered in ``gone`` or repeat earlier ones of the text; lines removed."""
+    if untouched(text, gone):
+        return text, 0
     parts = chunks(text)
     out = in_runs(parts, lambda k, body: k in gone)
     return "\n".join(p[0] for p, o in zip(parts, out) if not o), sum(p[1] for p, o in zip(parts, out) if o)
@@ -102,17 +135,19 @@ def cut(text: str, gone: frozenset[int]) -> tuple[str, int]:
 
 def cut_passages(text: str, gone: frozenset[int]) -> tuple[str, int]:
     """As ``cut``, with runs of lines of repeated chunks and pairs; ``gone`` numbers both."""
-    parts, two, lines = chunks(text), line_pairs(text), text.split("\n")
-    bodies = [p[0] for p in parts] + [p[0] for p in two]
+    if untouched(text, gone):
+        return text, 0
+    t = Text(text)
+    at, two, lines, words = t.chunks(), t.pairs(), t.lines, t.words
+    parts = [(t.body(a, b), b - a, sum(words[a:b])) for a, b in at]
+    bodies = [p[0] for p in parts] + [t.body(a, b) for a, b in two]
     repeated = {bodies[k] for k in gone if k < len(bodies)}
-    words = [len(ln.split()) for ln in lines]
-    marked, out, begin, spans = [False] * len(lines), [], 0, []
-    for (body, n, count), whole in zip(parts, in_runs(parts, lambda k, body: body in repeated)):
+    marked, out = [False] * len(lines), []
+    for (_, n, _), whole in zip(parts, in_runs(parts, lambda k, body: body in repeated)):
         out += [whole] * n
-        spans += [(body, begin, begin + n)] if count else []
-        begin += n
+    spans = [(p[0], a, b) for p, (a, b) in zip(parts, at) if p[2]] + [(body, a, b) for body, (a, b) in zip(bodies[len(parts) :], two)]
     seen: dict[str, int] = {}
-    for body, a, b in sorted(spans + two, key=lambda s: s[1]):
+    for body, a, b in sorted(spans, key=lambda s: s[1]):
         if body in repeated or seen.setdefault(body, a) < a:
             marked[a:b] = [True] * (b - a)
     k = 0
@@ -127,11 +162,6 @@ def cut_passages(text: str, gone: frozenset[int]) -> tuple[str, int]:
     return "\n".join(ln for ln, o in zip(lines, out) if not o), sum(out)
 
 
-def _hash(body: str) -> int:
-    """64 bits, signed."""
-    return xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """(d, h, text): the document's key, in order, and its text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MASK >> 1)).alias("d"), F.xxhash64("text").alias("h"), "text")
@@ -142,7 +172,7 @@ def repeated_chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
 
     def hashes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"c": [_hash(body) for t in b["text"] if t for body in set(_pieces(t, pairs)) - {""}]}
+            yield {"c": [c for t in b["text"] if t for c in Text(t).mark_of(pairs)]}
 
     twice = written(map_columns(docs.select("text"), hashes, "c long").groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c"), "line-hashes")
     bits = bits_for(twice.count())
@@ -152,12 +182,11 @@ def repeated_chunks(docs: DataFrame, pairs: bool = False) -> DataFrame:
         for b in batches:
             rows = []
             for d, h, t in zip(b["d"], b["h"], b["text"]):
-                first = {}
-                for k, body in enumerate(_pieces(t, pairs) if t else []):
-                    if body:
-                        first.setdefault(body, k)
-                places = np.array([_hash(body) for body in first], np.int64).astype(np.uint64) >> np.uint64(64 - bits)
-                rows += [(d, h, k, body) for (body, k), sent in zip(first.items(), marked_at(on, places.astype(np.int64))) if sent]
+                if t:
+                    whole = Text(t)
+                    first = whole.mark_of(pairs)
+                    places = np.fromiter(first, np.int64, len(first)).view(np.uint64) >> np.uint64(64 - bits)
+                    rows += [(d, h, k, whole.body(x, y)) for (k, x, y), sent in zip(first.values(), marked_at(on, places.astype(np.int64))) if sent]
             yield {"d": [r[0] for r in rows], "h": [r[1] for r in rows], "chunk": [r[2] for r in rows], "body": [r[3] for r in rows]}
 
     sent = written(map_columns(_keyed(docs), bodies, "d long, h long, chunk int, body string"), "line-bodies")
