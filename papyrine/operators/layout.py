@@ -133,10 +133,10 @@ def ruled_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
     return _cells(rows.withColumn("col", column).withColumn("width", F.size("bounds") - 1), [*PAGE, "box_no"], "box_top")
 
 
-def _cells(words: DataFrame, key: list[str], top: str) -> DataFrame:
-    """(key, top, rows) of words with row_no, col (null: in no column) and width; wrapped rows folded."""
+def _cells(words: DataFrame, key: list[str], top: str, by: tuple[str, ...] = ("mid", "x0", "word_no")) -> DataFrame:
+    """(key, top, rows) of words with row_no, col (null: in no column) and width, in order ``by``; wrapped rows folded."""
     said = lambda cells, k: strip(F.array_join(F.transform(F.filter(cells, lambda c: c["col"] == k), lambda c: c["text"]), " "))
-    each = words.groupBy(*key, "row_no").agg(F.array_sort(F.collect_list(F.struct("mid", "x0", "word_no", "col", "text"))).alias("cells"), F.first("width").alias("width"), F.min(top).alias("top"))
+    each = words.groupBy(*key, "row_no").agg(F.array_sort(F.collect_list(F.struct(*by, "col", "text"))).alias("cells"), F.first("width").alias("width"), F.min(top).alias("top"))
     rows = each.select(*key, "row_no", "top", F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: said(F.col("cells"), k)).alias("cells"))
     folded = merge_wrapped(rows.withColumnRenamed("top", "top_"), key)
     return folded.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("own", "cells"))), lambda r: r["cells"]).alias("rows")).join(rows.groupBy(*key).agg(F.min("top").alias("top")), key)
@@ -154,7 +154,7 @@ def read_items(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     lanes = shared_lanes(gaps.join(runs, [*PAGE, "row_no"]), runs).groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list("lane")).alias("lanes"))
     told = rows.join(runs.join(lanes, [*PAGE, "run"]), [*PAGE, "row_no"], "left")
     lane = lane_column((F.col("x0") + F.col("x1")) / 2, F.col("lanes"))
-    tables = _cells(told.filter("run is not null").withColumn("col", lane).withColumn("width", F.size("lanes") + 1).withColumn("top_", F.col("top")), [*PAGE, "run"], "top_")
+    tables = _cells(told.filter("run is not null").withColumn("col", lane).withColumn("width", F.size("lanes") + 1).withColumn("top_", F.col("top")), [*PAGE, "run"], "top_", ("x0", "mid", "word_no"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("x0", "mid", "word_no", "text"))), lambda w: w["text"])
     heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))))
     lines = told.filter("run is null").groupBy(*PAGE, F.col("row_no").alias("seq")).agg(clean_pdf(F.array_join(in_order, " ")).alias("text"), F.element_at(heights, (F.floor(F.size(heights) / 2) + 1).cast("int")).alias("size"), F.lit(False).alias("bold"), F.min("top").alias("top"), F.max("bottom").alias("bottom")).filter("text != ''")

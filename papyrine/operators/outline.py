@@ -120,21 +120,21 @@ def cover(selected: DataFrame, known: DataFrame) -> DataFrame:
     return have.join(covered, ["doc_id", "node_id"], "left_anti")
 
 
-def extract(docs: DataFrame, selected: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+def extract(docs: DataFrame, selected: DataFrame, tree: DataFrame | None = None, promoted: bool = True) -> DataFrame:
     """(doc_id, text): the covering sections in order of the document, moved up together so that the highest is level 1."""
     tree = tree if tree is not None else nodes(docs)
     chosen = tree.join(cover(selected, tree), ["doc_id", "node_id"], "left_semi")
     least = F.min(F.when(F.col("level") > 0, F.col("level"))).over(Window.partitionBy("doc_id"))
-    chosen = chosen.withColumn("shift", F.coalesce(least - 1, F.lit(0)))
+    chosen = chosen.withColumn("shift", F.coalesce(least - 1, F.lit(0)) if promoted else F.lit(0))
     texts = section_texts(docs, chosen, F.col("shift"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda s: s["text"]), "\n\n")
     return texts.filter("text != ''").groupBy("doc_id").agg(joined.alias("text"))
 
 
-def split_sections(docs: DataFrame, selected: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+def split_sections(docs: DataFrame, selected: DataFrame, tree: DataFrame | None = None, promoted: bool = True) -> DataFrame:
     """(doc_id, node_id, title, text): each covering section on its own, moved up by its own level."""
     tree = tree if tree is not None else nodes(docs)
-    chosen = tree.join(cover(selected, tree), ["doc_id", "node_id"], "left_semi").withColumn("shift", F.greatest(F.col("level") - 1, F.lit(0)))
+    chosen = tree.join(cover(selected, tree), ["doc_id", "node_id"], "left_semi").withColumn("shift", F.greatest(F.col("level") - 1, F.lit(0)) if promoted else F.lit(0))
     return section_texts(docs, chosen, F.col("shift")).select("doc_id", "node_id", "title", "text")
 
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from itertools import chain, count
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from papyrine.functions import text as tx
-from papyrine.operators import html, markdown
+from papyrine.operators import html, layout, markdown, outline
 from papyrine.operators.outline import unique_names
 from papyrine.sources import containers, writers
 from papyrine.sources.files import listing, with_content
@@ -28,6 +27,7 @@ RESULT = "source string, status string, output string, message string, warnings
 STATUSES = ("success", "error", "skipped", "cancelled")
 # Messages for what needs an external program.
 NO_OFFICE = "old Office files need an external converter, which is not available"
+NO_TEXT = "the file holds no text; scanned pages need an external recogniser"
 NO_PRINTER = "PDF output needs an external print engine, which is not available"
 # What stands in place of an empty sheet, and the warnings about it.
 EMPTY_SHEET, SHEET_IS_EMPTY, NO_SHEETS = "> Sheet không có dữ liệu.", "Sheet '{}' trống.", "Workbook không có sheet nào."
@@ -106,33 +106,7 @@ def sheets_markdown(cells: list[tuple], level: int = 2, sheets: list[tuple[int,
     return "\n\n".join(out) + "\n", warnings if books else [*warnings, NO_SHEETS]
 
 
-def pdf_markdown(content: bytes) -> str:
-    """Text of a simple PDF in reading order; larger sizes are headings, close lines paragraphs."""
-    words = containers.pdf_words(content)
-    if not words:
-        raise ValueError("the file holds no text; scanned pages need an external recogniser")
-    letters: dict[float, int] = {}
-    for _, _, text, _, _, size in words:
-        letters[round(size, 1)] = letters.get(round(size, 1), 0) + len(text)
-    body = max(letters, key=letters.get)
-    larger = sorted((s for s in letters if s >= 1.04 * body), reverse=True)
-    out: list[str] = []
-    last = None
-    for page, _, text, _, y, size in words:
-        text = " ".join(text.split())
-        if round(size, 1) in larger:
-            out.append("#" * min(6, larger.index(round(size, 1)) + 1) + " " + text)
-            last = None
-        elif last and last[0] == page and 0 <= last[1] - y <= 2.2 * size:
-            out[-1] += " " + text
-            last = (page, y)
-        else:
-            out.append(text)
-            last = (page, y)
-    return "\n\n".join(out) + "\n"
-
-
-def convert_one(name: str, suffix: str, container: str, content: bytes, o: Options, output: str | None = None) -> tuple[str, str, str, list[str], str | None, bytes | None, list[tuple[str, str, bytes]]]:
+def convert_one(name: str, suffix: str, container: str, content: bytes, o: Options, output: str | None = None, pictures: dict[str, bytes] | None = None) -> tuple[str, str, str, list[str], str | None, bytes | None, list[tuple[str, str, bytes]]]:
     """(status, output, message, warnings, markdown, bytes, assets) of one file; ``output`` is a name without suffix."""
     stem = name.rsplit(".", 1)[0]
     output = output or stem
@@ -140,12 +114,15 @@ def convert_one(name: str, suffix: str, container: str, content: bytes, o: Optio
     try:
         if suffix in tx.MARKDOWN:
             text = content.decode("utf-8-sig", "replace")
+            finder = (pictures or {}).get if o.extract_images else None
             if o.target == ".pdf":
                 raise ValueError(NO_PRINTER)
             if o.target == ".xlsx":
-                data, warnings = workbook(text, stem if o.add_title else "Sheet1")
+                data, warnings = workbook(text, stem if o.add_title else "Sheet1", finder)
                 return "success", output + ".xlsx", "", warnings, None, data, []
-            return "success", output + ".docx", "", [], None, writers.docx(text, stem, o.font, o.points, o.toc, o.page_break_h1, o.add_title), []
+            notes: list[str] = []
+            data = writers.docx(text, stem, o.font, o.points, o.toc, o.page_break_h1, o.add_title, o.page_size, o.line_spacing, finder, notes)
+            return "success", output + ".docx", "", notes, None, data, []
         warnings: list[str] = []
         if suffix in tx.WORD:
             if container == "zip":
@@ -159,12 +136,8 @@ def convert_one(name: str, suffix: str, container: str, content: bytes, o: Optio
             if container != "zip":
                 raise ValueError(NO_OFFICE)
             said, warnings = sheets_markdown(containers.xlsx_cells(content), o.sheet_level, containers.xlsx_sheets(content))
-        elif suffix not in tx.PDF:
-            return "skipped", "", f"files of the kind {suffix or '(unknown)'} are left out", [], None, None, []
         else:
-            if not content.startswith(b"%PDF-"):
-                warnings = ["the file doesn't look like a PDF"]
-            said = pdf_markdown(content)
+            return "skipped", "", f"files of the kind {suffix or '(unknown)'} are left out", [], None, None, []
         if o.add_title and not said.lstrip().startswith("# "):
             said = f"# {stem}\n\n{said}"
         return "success", output + ".md", "", warnings, said, None, assets.rows
@@ -172,7 +145,7 @@ def convert_one(name: str, suffix: str, container: str, content: bytes, o: Optio
         return "error", "", f"{type(e).__name__}: {e}", [], None, None, []
 
 
-def workbook(text: str, fallback: str) -> tuple[bytes, list[str]]:
+def workbook(text: str, fallback: str, finder=None) -> tuple[bytes, list[str]]:
     """(.xlsx, warnings) of a Markdown text: a sheet for each section, named by its heading, names unique."""
     blocks, meta = markdown.parse(text)
     warnings = [f"a workbook has no place for front matter ({len(meta)} keys)"] if meta else []
@@ -184,7 +157,7 @@ def workbook(text: str, fallback: str) -> tuple[bytes, list[str]]:
         cells = markdown.block_cells(part)
         warnings += [c["warning"] for c in cells if c["warning"]]
         sheets.append((markdown.sheet_name(title or fallback, taken), cells))
-    return writers.xlsx(sheets), warnings
+    return writers.xlsx(sheets, finder, warnings), warnings
 
 
 def output_names(files: DataFrame, options: Options, taken: DataFrame | None = None) -> DataFrame:
@@ -201,39 +174,143 @@ def output_names(files: DataFrame, options: Options, taken: DataFrame | None = N
 
 
 def convert(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """RESULT rows for files as discover() gives them; with a column ``output`` (see output_names), results are named so."""
+    """RESULT rows for files as discover() gives them; with a column ``output`` (see output_names), results are named so,
+    with ``pictures`` (map of path to bytes), documents made from Markdown show them."""
+    none = F.lit(None).cast("string")
+    if "output" not in files.columns:
+        files = files.withColumn("output", none)
+    if "problem" not in files.columns:
+        files = files.withColumn("problem", none)
+    if "pictures" not in files.columns:
+        files = files.withColumn("pictures", F.lit(None).cast("map<string,binary>"))
+    pdf = F.col("suffix").isin(*tx.PDF) & F.col("problem").isNull()
+    return _convert_each(files.filter(~F.coalesce(pdf, F.lit(False))), options).unionByName(_convert_pdf(files.filter(pdf), options))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for path, name, suffix, box, output, problem, content in zip(f["path"], f["name"], f["suffix"], f["container"], f["output"], f["problem"], f["content"]):
+def _batches(frames: Iterator[pa.RecordBatch], size: int = 32 << 20) -> Iterator[list[dict]]:
+    """Rows of a few files, about ``size`` bytes each time."""
+    for b in frames:
+        n = max(1, int(size * b.num_rows / max(1, b.nbytes)))
+        for k in range(0, b.num_rows, n):
+            yield b.slice(k, n).to_pylist()
+
+
+def _convert_each(files: DataFrame, options: Options) -> DataFrame:
+    shape = to_arrow_schema(StructType.fromDDL(RESULT))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _batches(frames):
+            out = []
+            for r in rows:
                 began = time.monotonic()
-                if problem == "missing":
+                if r["problem"] == "missing":
                     status, output, message, warnings, said, data, assets = "error", "", "the file was not found", [], None, None, []
                 else:
-                    status, output, message, warnings, said, data, assets = convert_one(name, suffix, box, bytes(content or b""), options, output)
-                files_beside = [{"kind": k, "name": n, "content": c} for k, n, c in assets]
-                rows.append((path, status, output, message, warnings, time.monotonic() - began, said, data, files_beside))
-            yield pd.DataFrame(rows, columns=["source", "status", "output", "message", "warnings", "duration", "markdown", "content", "assets"])
-
-    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of a few files, about 32 MB each."""
-        for b in batches:
-            n = max(1, int((32 << 20) * b.num_rows / max(1, b.nbytes)))
-            for k in range(0, b.num_rows, n):
-                for out in run(iter([b.slice(k, n).to_pandas()])):
-                    yield pa.RecordBatch.from_pydict({f.name: pa.array(list(out[f.name]), f.type) for f in shape}, schema=shape)
-
-    shape = to_arrow_schema(StructType.fromDDL(RESULT))
-    none = F.lit(None).cast("string")
-    output, problem = (F.col(c) if c in files.columns else none for c in ("output", "problem"))
-    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), output.alias("output"), problem.alias("problem"), "content").mapInArrow(few, RESULT)
+                    status, output, message, warnings, said, data, assets = convert_one(r["name"], r["suffix"], r["container"], bytes(r["content"] or b""), options, r["output"], dict(r["pictures"] or []))
+                out.append((r["path"], status, output, message, warnings, time.monotonic() - began, said, data, [{"kind": k, "name": n, "content": c} for k, n, c in assets]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(shape)], schema=shape)
+
+    return files.select("path", "name", "suffix", F.col("kind.container").alias("container"), "output", "problem", "pictures", "content").mapInArrow(run, RESULT)
+
+
+PDF_ROWS = "source string, stem string, page_no int, seq int, kind string, text string, size double, bold boolean, top double, bottom double, content binary"
+
+
+def _convert_pdf(files: DataFrame, options: Options) -> DataFrame:
+    """PDF files by the layout operators: lines and pictures as rows, then headings, lists and paragraphs from their places."""
+    shape = to_arrow_schema(StructType.fromDDL(PDF_ROWS))
+
+    def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _batches(frames):
+            out = []
+            for r in rows:
+                stem, content = r["output"] or r["name"].rsplit(".", 1)[0], bytes(r["content"] or b"")
+                try:
+                    found = [(page, seq, "line", *rest, None) for page, seq, *rest in containers.pdf_lines(content)]
+                    if options.extract_images:
+                        for n, (page, suffix, data) in enumerate(containers.pdf_images(content), 1):
+                            found.append((page, 1_000_000 + n, "picture", f"{stem}_images/image{n}.{suffix}", None, None, 1e9, 1e9, data))
+                    warned = None if content.startswith(b"%PDF-") else "the file doesn't look like a PDF"
+                    found.append((None, None, "read", warned, None, None, None, None, None))
+                except Exception as e:  # one bad file is a row, not the end of the batch
+                    found = [(None, None, "error", f"{type(e).__name__}: {e}", None, None, None, None, None)]
+                out += [(r["path"], stem, *x) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(shape)], schema=shape)
+
+    rows = written(files.select("path", "name", "output", "content").mapInArrow(read, PDF_ROWS), "pdf")
+    cols = ["doc_id", "page_no", "seq", "text", "top", "bottom"]
+    lines = layout.classify(rows.filter("kind = 'line'").withColumnRenamed("source", "doc_id")).select(*cols, "kind", "level")
+    link = F.concat(F.lit("![]("), tx.quote_path(F.col("text")), F.lit(")"))
+    pictures = rows.filter("kind = 'picture'").select(F.col("source").alias("doc_id"), "page_no", "seq", link.alias("text"), "top", "bottom", F.lit("picture").alias("kind"), F.lit(None).cast("int").alias("level"))
+    said = layout.render(lines.unionByName(pictures)).select(F.col("doc_id").alias("source"), "markdown")
+    assets = rows.filter("kind = 'picture'").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("text").alias("name"), "content"))).alias("a"))
+    whole = rows.filter("kind IN ('read', 'error')").join(said, "source", "left").join(assets, "source", "left")
+    text = F.concat("markdown", F.lit("\n"))
+    text = tx.add_title(text, F.col("stem")) if options.add_title else text
+    failed = (F.col("kind") == "error") | F.col("markdown").isNull()
+    empty = "array()"
+    return whole.select(
+        "source", F.when(failed, "error").otherwise("success").alias("status"), F.when(failed, "").otherwise(F.concat("stem", F.lit(".md"))).alias("output"),
+        F.when(F.col("kind") == "error", F.col("text")).when(failed, NO_TEXT).otherwise("").alias("message"),
+        F.when(failed | F.col("text").isNull(), F.expr(empty).cast("array<string>")).otherwise(F.array("text")).alias("warnings"), F.lit(0.0).alias("duration"),
+        F.when(~failed, text).alias("markdown"), F.lit(None).cast("binary").alias("content"),
+        F.coalesce(F.transform("a", lambda x: F.struct(F.lit("image").alias("kind"), x["name"].alias("name"), x["content"].alias("content"))), F.expr(empty).cast("array<struct<kind:string,name:string,content:binary>>")).alias("assets"),
+    )
+
+
+def with_pictures(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
+    """files with ``pictures``: for each Markdown file the bytes of those that its links name, from below ``paths``."""
+    md = files.filter(F.col("suffix").isin(*tx.MARKDOWN) & F.col("content").isNotNull())
+    src = F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), F.lit(1))
+    named = md.select(F.col("path").alias("md"), F.explode(F.array_distinct(src)).alias("src")).filter(~tx.is_remote(F.col("src"))).withColumn("src", F.url_decode(F.replace("src", F.lit("+"), F.lit("%2B"))))
+    named = named.withColumn("at", F.concat(F.regexp_extract("md", r"\A(.*/)", 1), F.regexp_replace("src", r"\A\./", "")))
+    hadoop = spark._jsc.hadoopConfiguration()
+    folders = [p for p in paths if (w := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(hadoop).exists(w)]
+    if not folders:
+        return files.withColumn("pictures", F.lit(None).cast("map<string,binary>"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select(F.col("path").alias("at"), F.col("content").alias("bytes")).filter(F.lower("at").rlike(r"\.(png|jpe?g|gif|bmp)\z"))
+    found = read.join(named, "at").groupBy("md").agg(F.map_from_entries(F.collect_list(F.struct("src", "bytes"))).alias("pictures"))
+    return files.join(found, files["path"] == found["md"], "left").drop("md")
+
+
+def extract_results(results: DataFrame, options: Options) -> DataFrame:
+    """Results of the sections that ``options`` name, of each document converted to Markdown: one file for all of them, or
+    one each. Unknown ids make an error row, sections without text a skipped one."""
+    docs = written(results.filter("status = 'success' AND markdown IS NOT NULL").select(F.col("source").alias("doc_id"), "markdown", F.regexp_replace("output", r"\.md\z", "").alias("stem")), "docs")
+    tree = written(outline.nodes(docs), "outline")
+    wanted = options.sections or ()
+    spark = results.sparkSession
+    if wanted == ("all",):
+        asked = tree.filter("parent_id is null").select("doc_id", "node_id")
+    else:
+        asked = docs.select("doc_id").join(spark.createDataFrame([(w,) for w in wanted], "node_id string"))
+    missing = outline.unknown(asked, tree).groupBy("doc_id").agg(F.concat(F.lit("no such sections: "), F.array_join(F.array_sort(F.collect_list("node_id")), ", ")).alias("message"))
+    good = asked.join(missing, "doc_id", "left_anti")
+    chosen = tree.join(outline.cover(good, tree), ["doc_id", "node_id"], "left_semi")
+    if options.split_sections:
+        parts = outline.split_sections(docs, good, tree, options.promote)
+        stems = outline.section_stems(chosen, docs.select("doc_id", "stem"), True)
+    else:
+        parts = outline.extract(docs, good, tree, options.promote).withColumn("node_id", F.lit("all")).join(docs.select("doc_id", F.col("stem").alias("title")), "doc_id")
+        stems = outline.section_stems(chosen, docs.select("doc_id", "stem")).groupBy("doc_id").agg(F.min("stem").alias("stem")).withColumn("node_id", F.lit("all"))
+    done = outline.section_results(parts, options.add_title).join(stems, ["doc_id", "node_id"])
+    names = unique_names(done.select(F.lit("").alias("folder"), "stem", F.lit(".md").alias("ext"), F.concat("doc_id", F.lit(" "), "node_id").alias("ord")))
+    done = done.withColumn("ord", F.concat("doc_id", F.lit(" "), "node_id")).join(names.select("ord", "unique"), "ord")
+    shape = StructType.fromDDL(RESULT)
+    good_rows = done.select(F.col("doc_id").alias("source"), "status", F.when(F.col("status") == "success", F.col("unique")).otherwise("").alias("output"), F.when(F.col("status") == "skipped", "the section is empty").otherwise("").alias("message"), F.col("text").alias("markdown"))
+    bad = missing.select(F.col("doc_id").alias("source"), F.lit("error").alias("status"), F.lit("").alias("output"), "message", F.lit(None).cast("string").alias("markdown"))
+    every = good_rows.unionByName(bad)
+    return every.select(*[F.col(f.name) if f.name in every.columns else (F.expr("array()").cast(f.dataType) if f.name in ("warnings", "assets") else F.lit(0.0) if f.name == "duration" else F.lit(None).cast(f.dataType)).alias(f.name) for f in shape])
 
 
 def convert_paths(spark: SparkSession, paths: list[str], options: Options = Options(), recursive: bool = True) -> DataFrame:
     """Results of the files below ``paths``: named first, by the listing alone, and read last."""
     named = written(output_names(listing(spark, paths, recursive), options), "files")
-    return convert(with_content(spark, named, paths, recursive), options)
+    full = with_content(spark, named, paths, recursive)
+    if options.extract_images:
+        full = with_pictures(spark, full, paths)
+    results = convert(full, options)
+    return extract_results(results, options) if options.sections else results
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -422,3 +422,61 @@ def pdf_words(content: bytes) -> list[tuple[int, int, str, float, float, float]]
                     out.append((no, len(out), said, x, y, size))
             args = []
     return out
+
+
+def _pdf_objects(content: bytes) -> dict[int, bytes]:
+    return {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+
+
+def pdf_lines(content: bytes) -> list[tuple[int, int, str, float, bool, float, float]]:
+    """(page_no, seq, text, size, bold, top, bottom): text shown at one height, in order, is a line; heights from the top."""
+    heights = [float(m[1]) for m in re.finditer(rb"/MediaBox\s*\[\s*[-\d.]+\s+[-\d.]+\s+[-\d.]+\s+([-\d.]+)\s*\]", content)] or [842.0]
+    out: list[list] = []
+    for page, _, text, _, y, size in pdf_words(content):
+        top = heights[min(page, len(heights)) - 1] - y - size
+        said = " ".join(text.split())
+        if out and out[-1][0] == page and abs(out[-1][5] - top) < 0.3 * size:
+            out[-1][2] += said if out[-1][2].endswith(" ") else " " + said
+            out[-1][3] = max(out[-1][3], size)
+        elif said:
+            out.append([page, len(out), said, size, False, top, top + size])
+    return [tuple(x) for x in out]
+
+
+def pdf_images(content: bytes) -> list[tuple[int, str, bytes]]:
+    """(page_no, suffix, bytes) of pictures, in the order of pages and objects: JPEG as it is, plain 8-bit grey and RGB
+    as PNG; those of other kinds are left out."""
+    objects = _pdf_objects(content)
+    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
+
+    def reach(body: bytes, seen: set[int]) -> set[int]:
+        """Objects that a page's resources name."""
+        for k in map(int, re.findall(rb"(\d+)\s+\d+\s+R", re.sub(rb"/(?:Parent|Contents|Annots)\s*(?:\[[^\]]*\]|\d+\s+\d+\s+R)", b"", body.split(b"stream")[0]))):
+            if k in objects and k not in seen:
+                seen.add(k)
+                if not re.search(rb"/Type\s*/Pages?\b", objects[k]):
+                    reach(objects[k], seen)
+        return seen
+
+    out, done = [], set()
+    for no, page in enumerate(pages, 1):
+        for k in sorted(reach(page, set())):
+            head, _, rest = objects[k].partition(b"stream")
+            if k in done or not re.search(rb"/Subtype\s*/Image\b", head):
+                continue
+            done.add(k)
+            data = re.sub(rb"\r?\nendstream\s*\Z", b"", re.sub(rb"\A\r?\n", b"", rest))
+            size = [int(m[1]) if (m := re.search(rb"/" + n + rb"\s+(\d+)", head)) else 0 for n in (b"Width", b"Height", b"BitsPerComponent")]
+            if b"DCTDecode" in head:
+                out.append((no, "jpg", data))
+            elif b"FlateDecode" in head and size[2] == 8 and (kind := re.search(rb"/ColorSpace\s*/Device(RGB|Gray)", head)) and b"Predictor" not in head:
+                out.append((no, "png", png(zlib.decompress(data), size[0], size[1], 3 if kind[1] == b"RGB" else 1)))
+    return out
+
+
+def png(samples: bytes, width: int, height: int, channels: int) -> bytes:
+    """A PNG of 8-bit samples, rows from the top."""
+    row = width * channels
+    raw = b"".join(b"\0" + samples[k * row : k * row + row].ljust(row, b"\0") for k in range(height))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
