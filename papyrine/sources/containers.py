@@ -368,78 +368,155 @@ def doc_text(content: bytes) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
-def pdf_words(content: bytes) -> list[tuple[int, int, str, float, float, float]]:
-    """(page_no, seq, text, x, y, size) of text shown by simple PDF files: Flate or plain streams, literal and hex strings
-    in one-byte fonts. Files with encryption raise; other fonts give what their bytes say in Latin-1."""
+REFERENCE = rb"(\d+)\s+\d+\s+R"
+SPACE = -180  # thousandths of the font's size between letters that stand for a blank
+
+
+def _pdf_stream(body: bytes) -> bytes:
+    """An object's stream, inflated if it says so; predictors of such streams are taken back."""
+    head, _, rest = body.partition(b"stream")
+    data = re.sub(rb"\r?\nendstream\s*\Z", b"", re.sub(rb"\A\r?\n", b"", rest))
+    if b"FlateDecode" not in head:
+        return data
+    data = zlib.decompressobj().decompress(data)
+    if (m := re.search(rb"/Predictor\s+(\d+)", head)) and int(m[1]) >= 10:
+        wide = int(m[1]) if (m := re.search(rb"/Columns\s+(\d+)", head)) else 1
+        rows, above = [], bytes(wide)
+        for k in range(0, len(data) - wide, wide + 1):
+            row = bytearray(data[k + 1 : k + 1 + wide])
+            if data[k] == 2:
+                row = bytearray((x + y) & 255 for x, y in zip(row, above))
+            elif data[k] == 1:
+                for j in range(1, wide):
+                    row[j] = (row[j] + row[j - 1]) & 255
+            rows.append(bytes(row))
+            above = rows[-1]
+        data = b"".join(rows)
+    return data
+
+
+def _code_map(cmap: bytes) -> dict[int, str]:
+    """Character codes to text, of a font's own table."""
+    said = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out: dict[int, str] = {}
+    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        out |= {int(c, 16): said(t) for c, t in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]*)>", part)}
+    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for lo, hi, to in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(<[0-9A-Fa-f]+>|\[[^\]]*\])", part):
+            if to[:1] == b"[":
+                texts = [said(t) for t in re.findall(rb"<([0-9A-Fa-f]*)>", to)]
+            else:
+                first = said(to[1:-1])
+                texts = [first[:-1] + chr(ord(first[-1]) + k) for k in range(int(hi, 16) - int(lo, 16) + 1)] if first else []
+            out |= {int(lo, 16) + k: t for k, t in enumerate(texts)}
+    return out
+
+
+def _pdf_fonts(page: bytes, objects: dict[int, bytes]) -> dict[bytes, tuple[dict[int, str] | None, int, bool]]:
+    """By name a font's table (None: Latin-1), bytes a character, and whether it is bold."""
+    res = re.search(rb"/Resources\s+" + REFERENCE, page)
+    scope = page + (objects.get(int(res[1]), b"") if res else b"")
+    if m := re.search(rb"/Font\s+" + REFERENCE, scope):
+        scope = b"/Font " + objects.get(int(m[1]), b"")
+    m = re.search(rb"/Font\s*<<(.*?)>>", scope, re.S)
+    out = {}
+    for name, k in re.findall(rb"/([^\s/<>]+)\s+" + REFERENCE, m[1] if m else b""):
+        body = objects.get(int(k), b"")
+        table = re.search(rb"/ToUnicode\s+" + REFERENCE, body)
+        wide = 2 if re.search(rb"/Subtype\s*/Type0\b", body) else 1
+        out[name] = _code_map(_pdf_stream(objects.get(int(table[1]), b""))) if table else None, wide, bool(re.search(rb"/BaseFont\s*/\S*(?:bold|black|heavy)", body, re.I))
+    return out
+
+
+def pdf_runs(content: bytes) -> list[tuple[int, str, float, float, float, bool]]:
+    """(page_no, text, x, y, size, bold) of the text that a PDF file shows: plain or inflated streams, objects in streams,
+    fonts with a table of their own or in one byte. Files with encryption raise."""
     if content[:5] != b"%PDF-":
         raise ValueError("no PDF file")
     if b"/Encrypt" in content:
         raise ValueError("the file is protected by a password")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
-
-    def stream(body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\nendstream", body, re.S)
-        data = m[1] if m else b""
-        return zlib.decompressobj().decompress(data) if b"FlateDecode" in body.split(b"stream")[0] else data
-
+    objects = _pdf_objects(content)
     out = []
-    pages = [b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
-    for no, page in enumerate(pages, 1):
+    for no, page in enumerate((b for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)), 1):
+        fonts = _pdf_fonts(page, objects)
         m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-        code = b"\n".join(stream(objects.get(int(k), b"")) for k in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else b""
+        code = b"\n".join(_pdf_stream(objects.get(int(k), b"")) for k in re.findall(REFERENCE, m[1])) if m else b""
         x = y = lx = ly = 0.0
-        size, lead, args = 12.0, 0.0, []
-        for t in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", code):
+        size, scale, lead, args, font = 12.0, 1.0, 0.0, [], (None, 1, False)
+
+        def said(tok: bytes) -> str:
+            if tok[:1] == b"(":
+                raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda q: bytes([int(q[1], 8) & 255]) if q[1].isdigit() else {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r\n": b""}.get(q[1], q[1]), tok[1:-1], flags=re.S)
+            else:
+                digits = re.sub(rb"\s", b"", tok[1:-1])
+                raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+            table, wide, _ = font
+            if table is None:
+                return raw.decode("latin-1")
+            return "".join(table.get(int.from_bytes(raw[k : k + wide], "big"), "") for k in range(0, len(raw), wide))
+
+        for t in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", code, re.S):
             tok = t[0]
-            if tok[:1] in b"(<[]/" or re.fullmatch(rb"[-+]?\d*\.?\d+", tok):
-                args.append(tok)
+            number = re.fullmatch(rb"[-+]?\d*\.?\d+", tok)
+            if tok[:1] in b"(<[]/" or number:
+                args.append(float(tok) if number else tok)
                 continue
-            num = [float(a) for a in args if re.fullmatch(rb"[-+]?\d*\.?\d+", a)]
+            num = [a for a in args if isinstance(a, float)]
             if tok == b"BT":
                 x = y = lx = ly = 0.0
+                scale = 1.0
             elif tok == b"Tf" and num:
                 size = num[-1]
+                font = next((fonts[a[1:]] for a in args if isinstance(a, bytes) and a[1:] in fonts), (None, 1, False))
             elif tok == b"TL" and num:
                 lead = num[-1]
             elif tok in (b"Td", b"TD") and len(num) >= 2:
-                lx, ly = lx + num[-2], ly + num[-1]
+                lx, ly = lx + num[-2] * scale, ly + num[-1] * scale
                 x, y = lx, ly
                 lead = -num[-1] if tok == b"TD" else lead
             elif tok == b"Tm" and len(num) >= 6:
-                lx, ly = num[-2], num[-1]
+                lx, ly, scale = num[-2], num[-1], abs(num[-3]) or 1.0
                 x, y = lx, ly
             elif tok in (b"T*", b"'", b'"'):
-                ly -= lead
+                ly -= lead * scale
                 x, y = lx, ly
             if tok in (b"Tj", b"TJ", b"'", b'"'):
-                said = ""
-                for a in args:
-                    if a[:1] == b"(":
-                        said += re.sub(rb"\\(n|r|t|.)", lambda q: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(q[1], q[1]), a[1:-1]).decode("latin-1")
-                    elif a[:1] == b"<":
-                        said += bytes.fromhex(re.sub(rb"\s", b"", a[1:-1]).decode()).decode("latin-1")
-                if said.strip():
-                    out.append((no, len(out), said, x, y, size))
+                text = "".join(" " if isinstance(a, float) and tok == b"TJ" and a < SPACE else said(a) if isinstance(a, bytes) and a[:1] in b"(<" else "" for a in args)
+                if text.strip():
+                    out.append((no, text, x, y, size * scale, font[2]))
             args = []
     return out
 
 
 def _pdf_objects(content: bytes) -> dict[int, bytes]:
-    return {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+    """Objects by number, those that are packed into streams too."""
+    out = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+    for body in list(out.values()):
+        if re.search(rb"/Type\s*/ObjStm\b", body):
+            data = _pdf_stream(body)
+            first = int(re.search(rb"/First\s+(\d+)", body)[1])
+            numbers = list(map(int, data[:first].split()))
+            places = sorted(zip(numbers[1::2], numbers[::2]))
+            for (at, k), (end, _) in zip(places, [*places[1:], (len(data) - first, 0)]):
+                out.setdefault(k, data[first + at : first + end])
+    return out
 
 
 def pdf_lines(content: bytes) -> list[tuple[int, int, str, float, bool, float, float]]:
     """(page_no, seq, text, size, bold, top, bottom): text shown at one height, in order, is a line; heights from the top."""
-    heights = [float(m[1]) for m in re.finditer(rb"/MediaBox\s*\[\s*[-\d.]+\s+[-\d.]+\s+[-\d.]+\s+([-\d.]+)\s*\]", content)] or [842.0]
+    box = re.compile(rb"/MediaBox\s*\[\s*[-\d.]+\s+[-\d.]+\s+[-\d.]+\s+([-\d.]+)\s*\]")
+    runs, objects = pdf_runs(content), _pdf_objects(content)
+    shared = next((float(m[1]) for body in objects.values() if (m := box.search(body))), 842.0)
+    heights = [float(m[1]) if (m := box.search(b)) else shared for _, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
     out: list[list] = []
-    for page, _, text, _, y, size in pdf_words(content):
-        top = heights[min(page, len(heights)) - 1] - y - size
+    for page, text, _, y, size, bold in runs:
+        top = heights[page - 1] - y - size
         said = " ".join(text.split())
         if out and out[-1][0] == page and abs(out[-1][5] - top) < 0.3 * size:
-            out[-1][2] += said if out[-1][2].endswith(" ") else " " + said
-            out[-1][3] = max(out[-1][3], size)
+            out[-1][2] += " " + said
+            out[-1][3], out[-1][4] = max(out[-1][3], size), out[-1][4] and bold
         elif said:
-            out.append([page, len(out), said, size, False, top, top + size])
+            out.append([page, len(out), said, size, bold, top, top + size])
     return [tuple(x) for x in out]
 
 

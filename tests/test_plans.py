@@ -78,6 +78,21 @@ def test_pdf_pages_by_layout(spark, tmp_path):
     assert (tmp_path / "out" / "s_images" / "image1.png").exists()
 
 
+def test_pdf_with_packed_objects_and_font_tables():
+    """Objects in a stream, two-byte codes with a table, blanks from wide gaps, a scaled matrix, octal escapes."""
+    cmap = b"1 beginbfchar <0001> <0110> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
+    packed = [(1, b"<</Type /Catalog /Pages 2 0 R>>"), (2, b"<</Type /Pages /Kids [3 0 R]>>"), (3, b"<</Type /Page /MediaBox [0 0 300 200] /Contents 6 0 R /Resources 4 0 R>>"), (4, b"<</Font <</F1 5 0 R /F2 8 0 R>>>>"), (5, b"<</Type /Font /Subtype /Type0 /BaseFont /X-BoldMT /ToUnicode 7 0 R>>"), (8, b"<</Type /Font /BaseFont /Y>>")]
+    head, body = b"", b""
+    for k, text in packed:
+        head += b"%d %d " % (k, len(body))
+        body += text + b" "
+    data = zlib.compress(head + body)
+    code = b"BT /F1 1 Tf 12 0 0 12 20 150 Tm [<00010002> -300 <00030004>] TJ ET BT /F2 9 Tf 20 100 Td (a\\(b\\051 \\344) Tj ET"
+    out = b"%%PDF-1.5\n9 0 obj <</Type /ObjStm /N 6 /First %d /Filter /FlateDecode>> stream\n" % len(head) + data + b"\nendstream endobj\n"
+    out += b"6 0 obj <</Filter /FlateDecode>> stream\n" + zlib.compress(code) + b"\nendstream endobj\n7 0 obj <<>> stream\n" + cmap + b"\nendstream endobj\n"
+    assert containers.pdf_lines(out) == [(1, 0, "Đa bc", 12.0, True, 38.0, 50.0), (1, 1, "a(b) ä", 9.0, False, 91.0, 100.0)]
+
+
 def test_sections(spark, tmp_path):
     md = "lead\n\n# A\n\n## B\n\ntext\n\n### C\n\n## D\n\n## B\n\nmore\n"
     (tmp_path / "d.docx").write_bytes(writers.docx(md, add_title=False))
