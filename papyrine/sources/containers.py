@@ -57,6 +57,7 @@ def docx_html(content: bytes, image_href=None, attachment_href=None) -> tuple[st
     bullets = {(a.get(f"{W}abstractNumId"), lv.get(f"{W}ilvl")): (lv.find(f"{W}numFmt") is not None and lv.find(f"{W}numFmt").get(f"{W}val") == "bullet") for a in numbering.iter(f"{W}abstractNum") for lv in a.iter(f"{W}lvl")}
     warnings: list[str] = []
     assets: list[dict] = []
+    notes: list[tuple[str, str]] = []  # kind and id of foot- and endnotes, as they are referred to
 
     def target(rid: str | None) -> str:
         t = rels.get(rid or "", {}).get("Target", "")
@@ -71,6 +72,10 @@ def docx_html(content: bytes, image_href=None, attachment_href=None) -> tuple[st
                 out += "<br>"
             elif c.tag == f"{W}tab":
                 out += "\t"
+            elif c.tag in (f"{W}footnoteReference", f"{W}endnoteReference"):
+                kind = "footnote" if c.tag.endswith("footnoteReference") else "endnote"
+                notes.append((kind, c.get(f"{W}id") or ""))
+                out += f'<sup><a href="#{kind}-{notes[-1][1]}">[{len(notes)}]</a></sup>'
             elif c.tag == f"{W}drawing" and image_href:
                 for blip in c.iter(f"{A}blip"):
                     name = target(blip.get(f"{R}embed"))
@@ -83,6 +88,10 @@ def docx_html(content: bytes, image_href=None, attachment_href=None) -> tuple[st
                         warnings.append(f"an image is missing: {name}")
             elif c.tag == f"{W}object" and attachment_href:
                 for ole in c.iter(f"{O}OLEObject"):
+                    if rels.get(ole.get(f"{R}id") or "", {}).get("TargetMode", "").lower() == "external":  # the file lies elsewhere
+                        there = rels[ole.get(f"{R}id")].get("Target", "")
+                        out += f'<a href="{escape(there)}">{escape(re.split(r"[\\\\/]", there)[-1] or there)}</a>'
+                        continue
                     data = _part(z, target(ole.get(f"{R}id")))
                     try:
                         name, payload = attachment(data, ole.get("ProgID") or "", target(ole.get(f"{R}id")))
@@ -164,9 +173,12 @@ def docx_html(content: bytes, image_href=None, attachment_href=None) -> tuple[st
             elif e.tag == f"{W}tbl":
                 close()
                 rows = []
-                for tr in e.iter(f"{W}tr"):
+                for tr in e.findall(f"{W}tr"):
                     cells = []
                     for tc in tr.findall(f"{W}tc"):
+                        down = tc.find(f"{W}tcPr/{W}vMerge")
+                        if down is not None and down.get(f"{W}val") != "restart":
+                            continue  # goes on with the cell above
                         span = tc.find(f"{W}tcPr/{W}gridSpan")
                         cells.append(f'<td colspan="{span.get(f"{W}val") if span is not None else 1}">{blocks(tc)}</td>')
                     rows.append("<tr>" + "".join(cells) + "</tr>")
@@ -179,7 +191,11 @@ def docx_html(content: bytes, image_href=None, attachment_href=None) -> tuple[st
         close()
         return "".join(out)
 
-    return blocks(body), warnings, assets
+    said = blocks(body)
+    if notes:
+        texts = {(kind, n.get(f"{W}id")): n for kind in ("footnote", "endnote") for n in ET.fromstring(_part(z, f"word/{kind}s.xml") or b"<x/>").iter(f"{W}{kind}")}
+        said += "<ol>" + "".join(f'<li>{blocks(texts[k]) if k in texts else ""}<p><a href="#{k[0]}-ref-{k[1]}">↑</a></p></li>' for k in list(notes)) + "</ol>"
+    return said, warnings, assets
 
 
 def xlsx_cells(content: bytes) -> list[tuple[int, str, int, int, str | None, str]]:

@@ -78,6 +78,21 @@ def test_pdf_pages_by_layout(spark, tmp_path):
     assert (tmp_path / "out" / "s_images" / "image1.png").exists()
 
 
+def test_word_notes_merged_cells_and_linked_files():
+    w, r = containers.W[1:-1], containers.R[1:-1]
+    cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    table = f"<w:tbl><w:tr>{cell('a', '<w:vMerge w:val=\"restart\"/>')}{cell('b')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('c')}</w:tr></w:tbl>"
+    body = f'<w:p><w:r><w:t>text</w:t></w:r><w:r><w:footnoteReference w:id="2"/></w:r></w:p>{table}<w:p><w:r><w:object><o:OLEObject r:id="x"/></w:object></w:r></w:p>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:r="{r}" xmlns:o="{containers.O[1:-1]}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/footnotes.xml", f'<w:footnotes xmlns:w="{w}"><w:footnote w:id="2"><w:p><w:r><w:t>a note</w:t></w:r></w:p></w:footnote></w:footnotes>')
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="x" TargetMode="External" Target="C:\\d\\f.xls"/></Relationships>')
+    html = containers.docx_html(out.getvalue(), attachment_href=lambda n, d: n)[0]
+    assert '<p>text<sup><a href="#footnote-2">[1]</a></sup></p>' in html and html.endswith('<ol><li><p>a note</p><p><a href="#footnote-ref-2">↑</a></p></li></ol>')
+    assert html.count("<td") == 3 and '<a href="C:\\d\\f.xls">f.xls</a>' in html
+
+
 def test_pdf_with_packed_objects_and_font_tables():
     """Objects in a stream, two-byte codes with a table, blanks from wide gaps, a scaled matrix, octal escapes."""
     cmap = b"1 beginbfchar <0001> <0110> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange"
