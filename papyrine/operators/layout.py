@@ -204,6 +204,23 @@ def respell(crops: DataFrame) -> DataFrame:
     return crops.select(*PAGE, "row_no", "crop", F.posexplode(out).alias("place", "b")).select(*PAGE, "row_no", "crop", "place", "b.*")
 
 
+def refine(words: DataFrame, readings: DataFrame) -> DataFrame:
+    """words(doc_id, page_no, word_no, text, x0, x1, top, bottom) as a second reader spells them: readings(doc_id, page_no,
+    row_no, crop, reading) of the pictures that ``crops`` cuts out; where there is none, words stay."""
+    key = [*PAGE, "row_no", "crop"]
+    read = respell(crops(printed_rows(words)).join(readings.select(*key, "reading"), key, "left"))
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("row_no", "crop", "place")) - 1
+    return read.select(*PAGE, number.alias("word_no"), "text", "x0", "x1", "top", "bottom")
+
+
+def fill_scanned(pages: DataFrame, lines: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, tables): those pages that hold next to no text take what a recogniser read on them, if it read anything."""
+    found, tables = read_items(words.join(blank_pages(pages, lines), PAGE, "left_semi"))
+    done = found.select(*PAGE).unionByName(tables.select(*PAGE)).distinct()
+    kept = lines.join(done, PAGE, "left_anti").select(*PAGE, "seq", "text", "size", "bold", "top", "bottom")
+    return kept.unionByName(quantise(found).select(*kept.columns)), tables
+
+
 def outside_boxes(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """Words whose centre is in no box of their page (borders count as inside)."""
     w, b = words.alias("w"), boxes.alias("b")

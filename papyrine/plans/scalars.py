@@ -294,6 +294,23 @@ def read_pages(spark, d):
     return layout.read_markdown(order_words(spark, d).withColumn("text", F.concat(F.lit("w"), F.col("word_no").cast("string"))))
 
 
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, page_no FROM l GROUP BY ALL HAVING sum(length(text)) < 12) SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(page_no AS BIGINT) AS page_no, text, CAST(size AS DOUBLE) AS size FROM l WHERE (doc_id, page_no) NOT IN (SELECT (doc_id, page_no) FROM b)
+    UNION ALL SELECT CAST(doc_id AS BIGINT), CAST(page_no AS BIGINT), 's' || seq, 12.0::DOUBLE FROM l WHERE (doc_id, page_no) IN (SELECT (doc_id, page_no) FROM b)""")
+def scanned_pages(spark, d):
+    """Pages with hardly any text take a recogniser's words, one a row."""
+    lines = order_lines(spark, d)
+    words = lines.select("doc_id", "page_no", F.col("seq").alias("word_no"), F.concat(F.lit("s"), F.col("seq").cast("string")).alias("text"), F.lit(0.0).alias("x0"), F.lit(10.0).alias("x1"), "top", (F.col("top") + 12.0).alias("bottom"))
+    found, _ = layout.fill_scanned(lines.select("doc_id", "page_no").distinct(), lines, words)
+    return found.select("doc_id", *big("page_no"), "text", F.col("size").cast("double").alias("size"))
+
+
+@query(r"""SELECT p_partkey, 'a' || p_name || 'b' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'rest' END AS plain FROM part""")
+def field_codes(spark, d):
+    """Word's fields without their instructions."""
+    x = F.expr("concat('a', char(19), ' HYPERLINK ', p_brand, char(20), p_name, char(21), 'b', CASE WHEN p_partkey % 2 = 0 THEN concat(char(19), 'PAGE') ELSE concat(char(19), 'x', char(21), 'rest') END)")
+    return part(spark, d, x=x).select("p_partkey", tx.strip_field_codes(F.col("x")).alias("plain"))
+
+
 # --- grammars --------------------------------------------------------------------------------------------------------
 
 GRAMMAR = """p_name

@@ -238,6 +238,12 @@ def test_refined_words(spark):
     assert [(r.text, r.x0, r.x1) for r in read.orderBy("crop", "place").collect()] == [("2. Phạm vi", 10.0, 40.0), ("x", 100.0, 101.0)]
 
 
+def test_refine_keeps_words_without_a_reading(spark):
+    words = spark.createDataFrame([(1, 1, 0, "ab", 10.0, 30.0, 0.0, 10.0), (1, 1, 1, "cd", 33.0, 50.0, 0.0, 10.0), (1, 1, 2, "ef", 10.0, 30.0, 20.0, 30.0)], "doc_id int, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    readings = spark.createDataFrame([(1, 1, 0, 0, "áb cđ")], "doc_id int, page_no int, row_no int, crop int, reading string")
+    assert [(r.word_no, r.text, r.x0) for r in layout.refine(words, readings).orderBy("word_no").collect()] == [(0, "áb", 10.0), (1, "cđ", 33.0), (2, "ef", 10.0)]
+
+
 def test_assets_move_with_sections(spark):
     text = "![a](d_images/a%20b.png) [n](d_images/none.png) [u](http://x/y) ![a](d_images/a%20b.png)"
     sections = spark.createDataFrame([(1, "Sec", text)], "doc_id long, stem string, text string")
