@@ -21,7 +21,7 @@ MARKER = r"\A([•●▪◦‣⁃*+]|[-–—]|\d{1,3}[.)])\z"
 SENTENCE_END = r"[.,;:]\z"
 HEADING_WORDS, HEADING_RATIO, PARAGRAPH_GAP = 20, 1.04, 1.55
 GAP_RATIO, ROW_RATIO, LANE_SHARE, TABLE_ROWS = 1.2, 0.6, 0.6, 3
-CROP_PADDING, CROP_LEAST = 3, 4
+CROP_PADDING, CROP_LEAST, LONGEST = 3, 4, 10_000
 PAGE = ["doc_id", "page_no"]
 
 
@@ -335,6 +335,12 @@ def collapsed(rows: Column) -> Column:
     return F.exists(rows, lambda r: F.exists(r, lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) >= 2))
 
 
+def picture_scale(width: Column, height: Column, dpi: float = 300.0) -> Column:
+    """Pixels a point of a page's picture; the longest side has at most 10 000 pixels."""
+    scale = F.lit(dpi / 72)
+    return F.least(scale, F.lit(float(LONGEST)) / F.greatest(width, height))
+
+
 def tesseract_words(pages: DataFrame, least_confidence: float = 10.0) -> DataFrame:
     """(doc_id, page_no, word_no, text, x0, x1, top, bottom) of pages(doc_id, page_no, tsv, scale): words of level 5 with
     text and enough confidence, pixels over scale; a page whose header lacks a column has no rows."""

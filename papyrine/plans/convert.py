@@ -11,7 +11,7 @@ from itertools import chain, count
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -313,6 +313,17 @@ def convert_paths(spark: SparkSession, paths: list[str], options: Options = Opti
     return extract_results(results, options) if options.sections else results
 
 
+def in_input_order(results: DataFrame) -> DataFrame:
+    """Results in the order of their files: by lower-cased path."""
+    return results.orderBy(F.lower("source"), "output")
+
+
+def typed_error(message: Column) -> Column:
+    """What kind of error a file's message tells of: protected, missing, external (needs a program that is not here) or damaged."""
+    low = F.lower(message)
+    return F.when(low.rlike("password|encrypt"), "protected").when(low.contains("not found"), "missing").when(low.rlike("external|not available"), "external").when(low != "", "damaged")
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row with a count for each status, 0 where there are none."""
     return results.agg(*[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES])

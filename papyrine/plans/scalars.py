@@ -311,6 +311,29 @@ def field_codes(spark, d):
     return part(spark, d, x=x).select("p_partkey", tx.strip_field_codes(F.col("x")).alias("plain"))
 
 
+@query("""SELECT p_partkey, least(300 / 72.0::DOUBLE, 10000.0::DOUBLE / greatest(p_size * 100.0, p_partkey % 3000)) AS scale FROM part""")
+def picture_scales(spark, d):
+    return part(spark, d, w="cast(p_size * 100 as double)", h="cast(p_partkey % 3000 as double)").select("p_partkey", layout.picture_scale(F.col("w"), F.col("h")).alias("scale"))
+
+
+@query("""SELECT p_partkey, ['protected', 'missing', 'external', 'damaged', NULL][p_partkey % 5 + 1] AS kind FROM part""")
+def error_kinds(spark, d):
+    from papyrine.plans.convert import typed_error
+
+    said = F.element_at(F.array(*map(F.lit, ("ValueError: the file is protected by a Password", "the file was not found", "old Office files need an external converter, which is not available", "BadZipFile: x", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return part(spark, d, m=said).select("p_partkey", typed_error(F.col("m")).alias("kind"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand WHEN p_partkey % 4 = 1 THEN 'stem' END AS title FROM part""")
+def injected_titles(spark, d):
+    """The heading a document gets where its first block is none of the first level: its own title, else the file's name."""
+    text = F.expr("concat(CASE p_partkey % 4 WHEN 2 THEN '# own' WHEN 3 THEN 'own\\n===' ELSE 'text' END, '\\n\\n## x')")
+    blocks = markdown.md_blocks(part(spark, d, markdown=text).withColumnRenamed("p_partkey", "doc_id"))
+    first = blocks.filter("block_id = 0").select(F.col("doc_id").alias("p_partkey"), ((F.col("kind") == "heading") & (F.col("level") == 1)).alias("has"))
+    meta = part(spark, d, title="CASE WHEN p_partkey % 2 = 0 THEN p_brand END")
+    return meta.join(first, "p_partkey").select("p_partkey", F.when(~F.col("has"), F.coalesce("title", F.lit("stem"))).alias("title"))
+
+
 # --- grammars --------------------------------------------------------------------------------------------------------
 
 GRAMMAR = """p_name

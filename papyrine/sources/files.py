@@ -20,12 +20,17 @@ def listing(spark: SparkSession, paths: list[str], recursive: bool = True) -> Da
     a dot.
     """
     hadoop = spark._jsc.hadoopConfiguration()
-    where = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
-    status = [(p, f.getFileStatus(w) if (f := w.getFileSystem(hadoop)).exists(w) else None) for p, w in zip(paths, where)]
-    there = [p for p, s in status if s is not None]
-    rows = spark.createDataFrame([(p, None, None, None, None, "missing") for p, s in status if s is None], LISTED)
+    there, named, missing = [], [], []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = where.getFileSystem(hadoop)
+        if files.exists(where):
+            there.append(p)
+            named += [files.makeQualified(where).toString()] if files.getFileStatus(where).isFile() else []
+        else:
+            missing.append(files.makeQualified(where).toString())
+    rows = spark.createDataFrame([(p, None, None, None, None, "missing") for p in missing], LISTED)
     if there:
-        named = [s.getPath().toString() for _, s in status if s is not None and s.isFile()]
         found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(there).select("path", F.col("length"), F.col("modificationTime").alias("modified"))
         good = is_supported(F.col("path"))
         found = found.withColumn("problem", F.when(~good, F.lit("unsupported"))).filter(good | F.col("path").isin(named))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from papyrine.operators import layout, markdown, outline
 from papyrine.plans import sql
-from papyrine.plans.convert import Options, convert_paths, sheets_markdown, summary
+from papyrine.plans.convert import Options, convert_paths, in_input_order, sheets_markdown, summary
 from papyrine.operators import tables
 from papyrine.sources import containers, writers
 from papyrine.sources.containers import png
@@ -45,6 +45,7 @@ def test_rows_for_missing_and_unsupported_files(spark, tmp_path):
     rows = convert_paths(spark, [str(tmp_path / n) for n in ("a.md", "b.txt", "none.docx", "in")]).cache()
     assert summary(rows).first().asDict() == {"success": 1, "error": 1, "skipped": 1, "cancelled": 0}
     assert rows.filter("status = 'error'").first().source.endswith("none.docx") and rows.filter("status = 'skipped'").first().source.endswith("b.txt")
+    assert [r.source.rsplit("/", 1)[1] for r in in_input_order(rows).collect()] == ["a.md", "b.txt", "none.docx"]
     assert summary(convert_paths(spark, [str(tmp_path / "gone")])).first().error == 1
 
 
