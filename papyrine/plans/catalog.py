@@ -175,7 +175,7 @@ def typed_cells(spark, d):
 
 def nation_cells(spark: SparkSession, d: str) -> DataFrame:
     """A workbook with a sheet a region: key, name, and a column that is always null; and a sheet with a header only."""
-    n = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     row = F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))
     values = F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string"))
     data = n.withColumn("row_no", row).select(F.lit(1).cast("bigint").alias("doc_id"), F.col("r_regionkey").alias("sheet_no"), F.col("r_name").alias("sheet"), "row_no", F.posexplode(values).alias("col_no", "value"))

@@ -12,6 +12,8 @@ import zlib
 from html import escape
 from xml.etree import ElementTree as ET
 
+from papyrine.functions.text import PROGRAMS, SIGNATURES
+
 # OOXML namespaces, and how paragraph and character styles become elements.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -335,6 +337,19 @@ def ole10_native(blob: bytes) -> tuple[str, bytes]:
     return re.split(r"[\\/]", name)[-1], payload
 
 
+def suffix_of_program(prog_id: str) -> str:
+    """As the native ``program_suffix``, for one name at hand."""
+    parts = prog_id.lower().split(".")
+    return next((PROGRAMS[name] for n in range(len(parts), 0, -1) if (name := ".".join(parts[:n])) in PROGRAMS), "")
+
+
+def suffix_of_content(data: bytes) -> str:
+    """As the native ``suffix_from_content``, for bytes at hand."""
+    head = data[:512].lstrip().lower()
+    known = next((ext for sign, ext in SIGNATURES.items() if data.startswith(bytes.fromhex(sign))), None)
+    return known or (".html" if head.startswith((b"<!doctype html", b"<html")) else ".dat")
+
+
 def attachment(data: bytes, prog_id: str, part: str) -> tuple[str, bytes]:
     """(name, bytes) of an embedded part: an Ole10Native record, an Office stream, CONTENTS, or the part itself."""
     name = part.rsplit("/", 1)[-1]
@@ -349,7 +364,7 @@ def attachment(data: bytes, prog_id: str, part: str) -> tuple[str, bytes]:
         if stream in streams:
             return name.rsplit(".", 1)[0] + suffix, streams["Package"] if stream == "Package" else data
     if "CONTENTS" in streams:
-        return name.rsplit(".", 1)[0] + (".pdf" if streams["CONTENTS"][:5] == b"%PDF-" else ".dat"), streams["CONTENTS"]
+        return name.rsplit(".", 1)[0] + (suffix_of_program(prog_id) or suffix_of_content(streams["CONTENTS"])), streams["CONTENTS"]
     raise ValueError(f"an unknown kind of object ({prog_id})")
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrine.operators import layout, markdown, outline
+from papyrine.operators.html import without_silent
 from papyrine.plans import sql
 from papyrine.plans.convert import Options, convert_paths, in_input_order, sheets_markdown, summary
 from papyrine.operators import tables
@@ -79,6 +80,68 @@ def test_pdf_pages_by_layout(spark, tmp_path):
     assert (tmp_path / "out" / "s_images" / "image1.png").exists()
 
 
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of streams of 4096 bytes at least (padded with zeros), sectors of 512."""
+    sectors, fat, entries = [], [], []
+
+    def put(data: bytes) -> int:
+        first = len(sectors)
+        for k in range(0, len(data), 512):
+            sectors.append(data[k : k + 512].ljust(512, b"\0"))
+            fat.append(len(sectors))
+        fat[-1] = 0xFFFFFFFE
+        return first
+
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0")
+        entries.append((name, 2, put(data), len(data)))
+    raw = b""
+    for name, kind, start, size in [("Root Entry", 5, 0xFFFFFFFE, 0), *entries]:
+        wide = (name + "\0").encode("utf-16-le")
+        raw += wide.ljust(64, b"\0") + struct.pack("<HBB", len(wide), kind, 1) + struct.pack("<III", 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF) + bytes(36) + struct.pack("<II", start, size) + bytes(4)
+    directory = put(raw)
+    table = len(sectors)
+    fat += [0xFFFFFFFD]
+    sectors.append(struct.pack("<128I", *fat, *[0xFFFFFFFF] * (128 - len(fat))))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<IIIIIIIII", 0, 1, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", table, *[0xFFFFFFFF] * 108) + b"".join(sectors)
+
+
+def test_compound_files_and_old_word():
+    assert containers.ole_streams(compound({"A": b"x" * 5000, "CONTENTS": b"%PDF-1"}))["A"] == b"x" * 5000
+    with pytest.raises(ValueError):
+        containers.ole_streams(b"no")
+    wide = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    record = struct.pack("<IH", 0, 2) + b"a.txt\0C:\\a.txt\0" + struct.pack("<HH", 0, 3) + struct.pack("<I", 2) + b"t\0" + struct.pack("<I", 3) + b"abc" + wide("t") + wide("é.txt") + wide("C:\\é.txt")
+    assert containers.attachment(compound({"\x01Ole10Native": record}), "Package", "word/embeddings/o1.bin") == ("é.txt", b"abc")
+    assert containers.attachment(compound({"CONTENTS": b"%PDF-1"}), "", "o2.bin")[0] == "o2.pdf" and containers.attachment(compound({"CONTENTS": b"??"}), "Excel.Sheet.8", "o3.bin")[0] == "o3.xls"
+    assert containers.attachment(compound({"CONTENTS": b" <HTML>"}), "", "o4.bin")[0] == "o4.html" and containers.attachment(b"plain", "", "x/y.xlsx") == ("y.xlsx", b"plain")
+    # Two pieces: one byte a character, then two; a field, a cell mark, a soft break and an empty paragraph.
+    one, two = "Tit\x13 HYPERLINK x \x14le\x15\r", "häng\x0bnext\x07cell\r\rend"
+    fib = bytearray(2048)
+    struct.pack_into("<H", fib, 10, 0x200)
+    struct.pack_into("<I", fib, 76, len(one) + len(two))
+    fib[1024 : 1024 + len(one)] = one.encode("cp1252")
+    fib[1536 : 1536 + 2 * len(two)] = two.encode("utf-16-le")
+    plc = struct.pack("<III", 0, len(one), len(one) + len(two)) + struct.pack("<HIH", 0, 0x40000000 | 2048, 0) + struct.pack("<HIH", 0, 1536, 0)
+    clx = b"\x02" + struct.pack("<I", len(plc)) + plc
+    struct.pack_into("<II", fib, 0x1A2, 0, len(clx))
+    word = compound({"WordDocument": bytes(fib), "1Table": clx})
+    assert containers.doc_text(word) == "Title\n\nhäng\nnext\tcell\n\nend"
+
+
+def test_old_files_in_a_batch(spark, tmp_path):
+    (tmp_path / "o.xls").write_bytes(compound({"Workbook": b"x"}))
+    (tmp_path / "d.doc").write_bytes(writers.docx("# new inside", add_title=False))
+    rows = {r.source[-5:]: r for r in convert_paths(spark, [str(tmp_path)]).collect()}
+    assert rows["o.xls"].status == "error" and "external" in rows["o.xls"].message and rows["d.doc"].markdown == "# new inside\n"
+
+
+def test_silent_elements_are_an_option(spark):
+    page = spark.range(1).select(F.lit("<p>a</p><script>x()</script><STYLE>p{}</STYLE>b").alias("h"))
+    assert page.select(without_silent(F.col("h")).alias("h")).first().h == "<p>a</p>b"
+
+
 def test_word_notes_merged_cells_and_linked_files():
     w, r = containers.W[1:-1], containers.R[1:-1]
     cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
