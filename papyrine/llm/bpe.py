@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from papyrine.llm.common import map_columns
 
-CACHED = 200_000
+CACHED = 300_000
 LONGEST = 32
 
 
@@ -73,7 +73,7 @@ def model_proto(ranks: dict[bytes, int]) -> tuple[bytes, list[int]]:
 class Codec:
     """Encoder and decoder; keeps what it has worked out for pre-tokens, up to ``cached`` of them.
 
-    A worker keeps its codec from task to task: about 30 MB for the vocabulary and 60 MB for the pre-tokens.
+    A worker keeps its codec from task to task: about 30 MB for the vocabulary and up to 100 MB for the pre-tokens.
 
     In ``pattern``, white space is spelled out as the Unicode property, which is what \\s means to the tiktoken library.
     """
