@@ -401,14 +401,16 @@ def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None
 
 def _pruned(groups: DataFrame, shared: DataFrame, rounds: int = 2) -> DataFrame:
     """Without classes that share fewer first shingles than a link with the farthest size in their groups needs; that
-    leaves other groups with one class, so it is done again."""
+    leaves other groups with one class, so it is done again. What is known of hubs is written, so that joins are of two
+    tables, and Spark splits a very large group."""
     for _ in range(rounds):
-        span = groups.groupBy("hub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+        span = written(groups.groupBy("hub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"), "spans")
         near = lambda m: least_shared(F.col("n"), m)
         need = groups.join(span, "hub").groupBy("class").agg(F.min(F.least(near(F.col("lo")), near(F.col("hi")))).alias("need"))
         keep = need.join(shared, "class").filter("shared >= need").select("class")
         groups = written(groups.join(keep, "class", "left_semi"), "groups")
-    return groups.join(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("hub"), "hub", "left_semi")
+    together = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("hub")
+    return groups.join(written(together, "hubs"), "hub", "left_semi")
 
 
 def _links(docs: DataFrame, members: DataFrame, reps: DataFrame, levels: np.ndarray, per_task: int = 1_500_000) -> DataFrame:
@@ -506,7 +508,7 @@ def near_duplicates(docs: DataFrame, hot: int | None = None, block: int = BLOCK,
     groups = written(candidate_groups(docs, counts, hot), "groups")
     sized = groups.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"))
     sized = sized.select("hub", F.greatest(F.ceil(F.col("members") / F.lit(block)), F.ceil(F.col("all") / F.lit(MOST))).cast("int").alias("blocks"))
-    members = groups.join(sized, "hub").select("hub", "class", "n", "blocks", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    members = groups.join(written(sized, "sizes"), "hub").select("hub", "class", "n", "blocks", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     members = written(members, "members")
     reps = written(sets.filter("class is not null").groupBy("class").agg(F.min("h").alias("h"), F.min("doc_id").alias("rep")), "reps")
     named = reps.select("class", "h")
