@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyrine.functions.text import clean_pdf, strip
+from papyrine.sources.scratch import written
 
 # What a list item or a numbered heading begins with, what no heading ends with, ratios and limits.
 BULLET = r"\A([•●▪◦‣⁃*+]|[-–—])\s+(.+)\z"
@@ -147,12 +148,12 @@ def read_items(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     lines have no weight, and the upper median of their words' heights as size; tables(doc_id, page_no, run, top, rows).
     """
-    rows = printed_rows(words)
-    gaps = row_gaps(rows)
+    rows = written(printed_rows(words), "rows")  # read by each of the steps below
+    gaps = written(row_gaps(rows), "gaps")
     every = rows.select(*PAGE, "row_no").distinct().join(gaps.select(*PAGE, "row_no", F.lit(True).alias("has_gap")).distinct(), [*PAGE, "row_no"], "left").withColumn("has_gap", F.coalesce("has_gap", F.lit(False)))
     runs = table_runs(every).filter("run is not null").select(*PAGE, "row_no", "run")
     lanes = shared_lanes(gaps.join(runs, [*PAGE, "row_no"]), runs).groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list("lane")).alias("lanes"))
-    told = rows.join(runs.join(lanes, [*PAGE, "run"]), [*PAGE, "row_no"], "left")
+    told = written(rows.join(runs.join(lanes, [*PAGE, "run"]), [*PAGE, "row_no"], "left"), "placed")
     lane = lane_column((F.col("x0") + F.col("x1")) / 2, F.col("lanes"))
     tables = _cells(told.filter("run is not null").withColumn("col", lane).withColumn("width", F.size("lanes") + 1).withColumn("top_", F.col("top")), [*PAGE, "run"], "top_", ("x0", "mid", "word_no"))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("x0", "mid", "word_no", "text"))), lambda w: w["text"])
