@@ -430,3 +430,32 @@ def html_grammar(spark, d):
     """Every kind of element."""
     page = F.expr(of_part(PAGE.replace('"', '\\"'), "||", "STRING").replace("chr(10)", "char(10)"))
     return read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), html.html_to_md(page).alias("markdown"))
+
+
+# --- whole files -----------------------------------------------------------------------------------------------------
+
+WORD_TEXT = "# p_name\n\nSome **p_brand** of [p_type](http://x.y/z), *i* ~~s~~ `c`.\n\n- one\n  - two p_size\n- three\n\n1. x\n2. y\n\n| k | v |\n| --- | --- |\n| p_name | a\\|p_size |\n\n> quote p_type\n\n```\ncode  p_size\nmore\n```\n"
+SHEET_TEXT = "# p_brand\n\n| k | v |\n| --- | --- |\n| p_name | p_size |\n| 007 | 1.5 |\n"
+
+
+def there_and_back(spark: SparkSession, d: str, text: str, suffix: str) -> DataFrame:
+    """(doc_id, markdown): a Markdown file a part, written as an office file by the conversion plan, and read again by it."""
+    from papyrine.plans.convert import Options, convert
+
+    o = Options(target=suffix, add_title=False)
+    kind = lambda container: F.struct(F.lit(container).alias("container"), F.lit("").alias("suggested_suffix")).alias("kind")
+    body = F.expr(of_part(text.replace("\\", "\\\\"), "||", "STRING").replace("chr(10)", "char(10)"))
+    path = F.col("p_partkey").cast("string")
+    texts = read(spark, d, "part").select(path.alias("path"), F.concat(path, F.lit(".md")).alias("name"), F.lit(".md").alias("suffix"), kind("unknown"), F.encode(body, "UTF-8").alias("content"))
+    made = convert(texts, o).select(F.col("source").alias("path"), F.col("output").alias("name"), F.lit(suffix).alias("suffix"), kind("zip"), "content")
+    return convert(made, o).select(F.col("source").cast("bigint").alias("doc_id"), "markdown")
+
+
+@query(f"SELECT p_partkey AS doc_id, {of_part(WORD_TEXT, '||', 'VARCHAR')} AS markdown FROM part")
+def word_round_trip(spark, d):
+    return there_and_back(spark, d, WORD_TEXT, ".docx")
+
+
+@query(f"SELECT p_partkey AS doc_id, {of_part('#' + SHEET_TEXT, '||', 'VARCHAR')} AS markdown FROM part")
+def workbook_round_trip(spark, d):
+    return there_and_back(spark, d, SHEET_TEXT, ".xlsx")
