@@ -376,16 +376,17 @@ def _totals(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"class": pa.array(classes, pa.int64()), "shared": pa.array(numbers, pa.int64())})
 
 
-def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None, per_bucket: int = 100_000) -> DataFrame:
+def candidate_groups(docs: DataFrame, counts: np.ndarray, hot: int | None = None, per_bucket: int = 300_000, each: int = 16) -> DataFrame:
     """(hub, class, n): every two classes that link are together in some hub's group.
 
     ``hot`` bounds how often a shingle that stays in a bucket can occur; a place of the count table also holds others,
-    so places count as hot from ``hot`` above what chance brings them.
+    so places count as hot from ``hot`` above what chance brings them. Each shuffle partition gets ``each`` buckets or
+    more, which evens out what tasks read.
     """
     total, mean = int(counts.sum()), float(counts.mean())
     often = counts > (hot if hot is not None else HOT + mean + 6 * mean**0.5)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cool, hot_rows = _prefixes(levels_of(counts), often, max(parts, total // 5 // per_bucket + 1))
+    cool, hot_rows = _prefixes(levels_of(counts), often, max(each * parts, total // 5 // per_bucket + 1))
     bucketed = map_columns(docs.select("text"), cool, "bucket long, part binary").groupBy("bucket").applyInArrow(_runs(max(parts, total // 100_000_000 + 1)), "hub long, class long, n long, slot long, part binary")
     runs = written(bucketed, "runs")
     shared = runs.filter("slot is not null").select("slot", "part").groupBy("slot").applyInArrow(_totals, "class long, shared long")
