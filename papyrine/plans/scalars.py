@@ -447,6 +447,7 @@ def there_and_back(spark: SparkSession, d: str, text: str, suffix: str) -> DataF
     body = F.expr(of_part(text.replace("\\", "\\\\"), "||", "STRING").replace("chr(10)", "char(10)"))
     path = F.col("p_partkey").cast("string")
     texts = read(spark, d, "part").select(path.alias("path"), F.concat(path, F.lit(".md")).alias("name"), F.lit(".md").alias("suffix"), kind("unknown"), F.encode(body, "UTF-8").alias("content"))
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # the table is one small file
     made = convert(texts, o).select(F.col("source").alias("path"), F.col("output").alias("name"), F.lit(suffix).alias("suffix"), kind("zip"), "content")
     return convert(made, o).select(F.col("source").cast("bigint").alias("doc_id"), "markdown")
 
