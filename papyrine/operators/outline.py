@@ -1,15 +1,20 @@
-"""Headings, outline trees and section extraction as DataFrame expressions.
+"""Headings, outline trees and section extraction.
 
 Documents are (doc_id, markdown); nodes are one row each with parent, level, title and a half-open range of lines.
-Trees are built by folds within a document's row, so they need no shuffle.
+Trees are built in one pass over a document's text, behind mapInArrow, so they need no shuffle; all else on them are
+DataFrame expressions. As folds in expressions they took time with the square of a document's headings.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from papyrine.functions.text import quote_path, slug, squeeze_blank_lines, strip
@@ -43,56 +48,81 @@ def inside(spans: Column, i: Column) -> Column:
     return F.exists(spans, lambda s: (s["a"] <= i) & (i <= s["b"]))
 
 
-def _with_heads(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines, heads array<struct<line, level, title>>), all within the document's row: no shuffle."""
-    rows = docs.select("doc_id", lines_of(F.col("markdown")).alias("lines")).withColumn("spans", fences(F.col("lines")))
-    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda h: F.startswith(h["x"], F.lit("#")) & h["x"].rlike(HEADING))
-    found = F.filter(found, lambda h: ~inside(F.col("spans"), h["line"]))
-    return rows.select("doc_id", "lines", F.transform(found, lambda h: F.struct(h["line"].alias("line"), F.length(F.regexp_extract(h["x"], HEADING, 1)).alias("level"), strip(F.regexp_extract(h["x"], HEADING, 2)).alias("title"))).alias("heads"))
+HEADING_OR_FENCE = re.compile(r"^(?:[ \t]*(```|~~~)|(#{1,6})[ \t]+(.*))", re.M)
+NODE = [("node_id", pa.string()), ("parent_id", pa.string()), ("level", pa.int32()), ("title", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+ROWS = 10_000  # of a batch that goes back
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, level, title) of headings at column 0 outside fences; trailing # stay in the title."""
-    return _with_heads(docs).select("doc_id", F.explode("heads").alias("h")).select("doc_id", "h.line", "h.level", "h.title")
+def unified(markdown: str | None) -> str:
+    return re.sub(r"\r\n?", "\n", markdown or "")
+
+
+def following(fence: str, mark: str) -> str:
+    """The open fence after a mark; a fence closes with its own mark only and an open one ends with the text."""
+    return mark if not fence else "" if fence == mark else fence
+
+
+def heads(text: str) -> Iterator[tuple[int, int, int, str]]:
+    """(offset, line, level, title) of headings at column 0 outside fences; trailing # stay in the title."""
+    fence, line, seen = "", 0, 0
+    for m in HEADING_OR_FENCE.finditer(text):
+        if m[1]:
+            fence = following(fence, m[1])
+        elif not fence:
+            line, seen = line + text.count("\n", seen, m.start()), m.start()
+            yield m.start(), line, len(m[2]), m[3].strip()
 
 
-NODE = "struct<node_id:string,parent_id:string,level:int,title:string,start:int,end:int>"
+def tree_of(text: str) -> list[list]:
+    """Nodes of a text, as NODE says, in one pass with the headings that are still open."""
+    size, out, roots = text.count("\n") + 1, [], 0
+    first = next(heads(text), None)
+    if text[: first[0] if first else len(text)].strip():
+        out.append(["1", None, 0, "", 0, first[1] if first else size])
+        roots = 1
+    open_: list[list] = []  # node, number of its children
+    for _, line, level, title in heads(text):
+        while open_ and open_[-1][0][2] >= level:
+            open_.pop()[0][5] = line
+        if open_:
+            open_[-1][1] += 1
+            up = open_[-1][0][0]
+            node = [f"{up}.{open_[-1][1]}", up, level, title, line, size]
+        else:
+            roots += 1
+            node = [str(roots), None, level, title, line, size]
+        out.append(node)
+        open_.append([node, 0])
+    return out
 
 
 def nodes(docs: DataFrame) -> DataFrame:
     """(doc_id, node_id, parent_id, level, title, start, end).
 
     The parent is the nearest earlier heading of a smaller level, the end the next one of the same or a smaller level.
-    Both come from folds within the document's row: forward with the open ancestors, backward with the next line of
-    each level. Text before the first heading is a node of level 0. Ids count siblings from 1, joined by dots.
+    A document is read once, in time and memory in proportion to its length. Text before the first heading is a node of
+    level 0. Ids count siblings from 1, joined by dots.
     """
-    rows = _with_heads(docs)
-    stop = F.coalesce(F.try_element_at("heads", F.lit(1))["line"], F.size("lines"))
-    rows = rows.withColumn("stop", stop).withColumn("lead", F.exists(F.slice("lines", F.lit(1), F.col("stop")), lambda x: strip(x) != ""))
-    nowhere = F.lit((1 << 31) - 1)
-    back = F.struct(F.array_repeat(nowhere, 6).alias("next"), F.array().cast("array<int>").alias("out"))
-
-    def end_step(acc: Column, h: Column) -> Column:
-        end = F.array_min(F.slice(acc["next"], F.lit(1), h["level"]))
-        return F.struct(F.transform(acc["next"], lambda n, k: F.when(k + 1 == h["level"], h["line"]).otherwise(n)).alias("next"), F.array_append(acc["out"], end).alias("out"))
-
-    ends = F.reverse(F.aggregate(F.reverse("heads"), back, end_step, lambda acc: acc["out"]))
-    rows = rows.withColumn("items", F.arrays_zip("heads", ends.alias("ends")))
-    start = F.struct(F.array().cast("array<struct<level:int,path:string,kids:int>>").alias("open"), F.when(F.col("lead"), 1).otherwise(0).alias("roots"), F.array().cast(f"array<{NODE}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = x["heads"]
-        up = F.filter(acc["open"], lambda o: o["level"] < h["level"])
-        top = F.try_element_at(up, F.lit(-1))
-        root = top.isNull()
-        path = F.when(root, (acc["roots"] + 1).cast("string")).otherwise(F.concat(top["path"], F.lit("."), (top["kids"] + 1).cast("string")))
-        grown = F.transform(up, lambda o, k: F.struct(o["level"].alias("level"), o["path"].alias("path"), (o["kids"] + F.when(k + 1 == F.size(up), 1).otherwise(0)).alias("kids")))
-        node = F.struct(path.alias("node_id"), top["path"].alias("parent_id"), h["level"].alias("level"), h["title"].alias("title"), h["line"].alias("start"), F.least(x["ends"], F.size("lines")).alias("end"))
-        return F.struct(F.array_append(grown, F.struct(h["level"].alias("level"), path.alias("path"), F.lit(0).alias("kids"))).alias("open"), F.when(root, acc["roots"] + 1).otherwise(acc["roots"]).alias("roots"), F.array_append(acc["out"], node).alias("out"))
-
-    tree = F.aggregate("items", start, step, lambda acc: acc["out"])
-    lead = F.struct(F.lit("1").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("level"), F.lit("").alias("title"), F.lit(0).alias("start"), F.col("stop").alias("end")).cast(NODE)
-    return rows.select("doc_id", F.explode(F.concat(F.when(F.col("lead"), F.array(lead)).otherwise(F.array().cast(f"array<{NODE}>")), tree)).alias("n")).select("doc_id", "n.*")
+    schema = StructType([docs.schema["doc_id"], *from_arrow_schema(pa.schema(NODE))])
+    names = ["doc_id", *[n for n, _ in NODE]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, tree = [], []
+            for k, text in enumerate(b.column(1), 1):
+                found = tree_of(unified(text.as_py()))
+                tree += found
+                owners += [k - 1] * len(found)
+                if tree and (len(tree) >= ROWS or k == b.num_rows):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owners)), *[pa.array(c, t) for c, (_, t) in zip(zip(*tree), NODE)]], names)
+                    owners, tree = [], []
+
+    return docs.select("doc_id", "markdown").mapInArrow(run, schema)
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, level, title) of headings at column 0 outside fences; trailing # stay in the title."""
+    return nodes(docs).filter("level > 0").select("doc_id", F.col("start").alias("line"), "level", "title")
 
 
 def promote(lines: Column, shift: Column) -> Column:
