@@ -29,3 +29,9 @@ def test_locked(long):
     docs, tree = long
     got = rows(outline.locked(tree, tree.filter("title = 'C1'")))
     assert {(r.doc_id, r.node_id) for r in got} == {(1, f"1.2.{s}") for s in range(1, SECTIONS + 1)} and len(got) == SECTIONS
+
+
+def test_visible(long):
+    _, tree = long
+    got = {(r.doc_id, r.node_id) for r in rows(outline.visible(tree, "s3-29"))}
+    assert got == {(1, "1"), (1, "1.4"), (1, "1.4.30"), *[(1, f"1.4.{s}") for s in range(291, 301)]}
