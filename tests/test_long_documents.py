@@ -35,3 +35,9 @@ def test_visible(long):
     _, tree = long
     got = {(r.doc_id, r.node_id) for r in rows(outline.visible(tree, "s3-29"))}
     assert got == {(1, "1"), (1, "1.4"), (1, "1.4.30"), *[(1, f"1.4.{s}") for s in range(291, 301)]}
+
+
+def test_cover(long):
+    _, tree = long
+    got = {(r.doc_id, r.node_id) for r in rows(outline.cover(tree.filter("title LIKE 'S%' OR title = 'C1'"), tree))}
+    assert got == {(2, "1.1"), (1, "1.2"), *[(1, f"1.{c}.{s}") for c in range(1, CHAPTERS + 1) if c != 2 for s in range(1, SECTIONS + 1)]}
