@@ -41,3 +41,9 @@ def test_cover(long):
     _, tree = long
     got = {(r.doc_id, r.node_id) for r in rows(outline.cover(tree.filter("title LIKE 'S%' OR title = 'C1'"), tree))}
     assert got == {(2, "1.1"), (1, "1.2"), *[(1, f"1.{c}.{s}") for c in range(1, CHAPTERS + 1) if c != 2 for s in range(1, SECTIONS + 1)]}
+
+
+def test_unknown(long):
+    _, tree = long
+    asked = tree.select("doc_id", "node_id").unionByName(tree.filter("title LIKE 'S%-7'").select("doc_id", F.concat("node_id", F.lit(".9")).alias("node_id")))
+    assert {(r.doc_id, r.node_id) for r in rows(outline.unknown(asked, tree))} == {(1, f"1.{c}.8.9") for c in range(1, CHAPTERS + 1)}
