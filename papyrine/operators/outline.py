@@ -20,37 +20,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from papyrine.functions.text import quote_path, slug, squeeze_blank_lines, strip
 from papyrine.sources.scratch import written
 
-HEADING = r"\A(#{1,6})[ \t]+(.*)\z"
-
-
-def lines_of(markdown: Column) -> Column:
-    return F.split(F.regexp_replace(F.coalesce(markdown, F.lit("")), r"\r\n?", "\n"), "\n", -1)
-
-
-def fences(lines: Column) -> Column:
-    """array<struct<a, b>>: first and last lines of fences, marks included; a fence closes with its own mark only and an
-    open one ends with the text. The fold runs over the marked lines alone, which are few."""
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.regexp_extract(x, r"\A[ \t]*(```|~~~)", 1).alias("mark"))), lambda m: m["mark"] != "")
-    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("a"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        opens, closes = acc["open"] == "", m["mark"] == acc["open"]
-        done = F.array_append(acc["out"], F.struct(acc["a"].alias("a"), m["i"].alias("b")))
-        return F.struct(F.when(opens, m["mark"]).when(closes, "").otherwise(acc["open"]).alias("open"), F.when(opens, m["i"]).otherwise(acc["a"]).alias("a"), F.when(~opens & closes, done).otherwise(acc["out"]).alias("out"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"] == "", acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["a"].alias("a"), F.lit((1 << 31) - 1).alias("b"))))
-
-    return F.aggregate(marks, start, step, finish)
-
-
-def inside(spans: Column, i: Column) -> Column:
-    return F.exists(spans, lambda s: (s["a"] <= i) & (i <= s["b"]))
-
-
 HEADING_OR_FENCE = re.compile(r"^(?:[ \t]*(```|~~~)|(#{1,6})[ \t]+(.*))", re.M)
 NODE = [("node_id", pa.string()), ("parent_id", pa.string()), ("level", pa.int32()), ("title", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
-ROWS = 10_000  # of a batch that goes back
+ROWS, CHARS = 10_000, 1 << 24  # of a batch that goes back
 
 
 def unified(markdown: str | None) -> str:
@@ -125,20 +97,47 @@ def headings(docs: DataFrame) -> DataFrame:
     return nodes(docs).filter("level > 0").select("doc_id", F.col("start").alias("line"), "level", "title")
 
 
-def promote(lines: Column, shift: Column) -> Column:
-    """Lines with headings outside fences moved up by ``shift`` levels, not above 1."""
-    spans = fences(lines)
-    up = lambda x: F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.length(F.regexp_extract(x, HEADING, 1)) - shift)), F.lit(" "), F.regexp_extract(x, HEADING, 2))
-    moved = F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")) & x.rlike(HEADING) & ~inside(spans, i), up(x)).otherwise(x))
-    return F.when(shift > 0, moved).otherwise(lines)
+def promoted_text(text: str, shift: int | None) -> str:
+    """Text with headings outside fences moved up by ``shift`` levels, not above 1."""
+    fence = ""
+
+    def up(m: re.Match) -> str:
+        nonlocal fence
+        if m[1]:
+            fence = following(fence, m[1])
+        return m[0] if m[1] or fence else "#" * max(1, len(m[2]) - shift) + " " + m[3]
+
+    return HEADING_OR_FENCE.sub(up, text) if shift and shift > 0 else text
 
 
 def section_texts(docs: DataFrame, chosen: DataFrame, shift: Column | None = None) -> DataFrame:
-    """chosen (with doc_id, start, end) plus text: its lines, promoted, without outer and repeated blank lines."""
-    split = docs.select("doc_id", lines_of(F.col("markdown")).alias("lines"))
-    part = F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start"))
-    body = F.array_join(promote(part, shift if shift is not None else F.lit(0)), "\n")
-    return chosen.join(split, "doc_id").withColumn("text", squeeze_blank_lines(F.regexp_replace(body, r"\A\n+|\n+\z", ""))).drop("lines")
+    """chosen (with doc_id, start, end) plus text: its lines, promoted, without outer and repeated blank lines.
+
+    A document meets all its sections in one row, so that its text is moved and split once, not once a section.
+    """
+    given = [c for c in chosen.columns if c != "doc_id"]
+    ask = F.struct(F.struct(*given).alias("row"), F.col("start").cast("int").alias("from"), F.col("end").cast("int").alias("to"), (shift if shift is not None else F.lit(0)).cast("int").alias("shift"))
+    asked = chosen.groupBy("doc_id").agg(F.collect_list(ask).alias("asked"))
+    schema = StructType([docs.schema["doc_id"], *[chosen.schema[c] for c in given], StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted, ends = b.column(2).values, b.column(2).offsets.to_pylist()
+            rows, (a, z, up) = wanted.field("row").flatten(), (wanted.field(c) for c in ("from", "to", "shift"))
+            owners, places, texts, chars = [], [], [], 0
+            for k, text in enumerate(b.column(1)):
+                lines = unified(text.as_py()).split("\n")
+                for n in range(ends[k], ends[k + 1]):
+                    texts.append(promoted_text("\n".join(lines[a[n].as_py() : z[n].as_py()]), up[n].as_py()))
+                    owners.append(k)
+                    places.append(n)
+                    chars += len(texts[-1])
+                    if len(texts) >= ROWS or chars >= CHARS or n == ends[-1] - 1:
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owners)), *[r.take(pa.array(places)) for r in rows], pa.array(texts, pa.string())], schema.names)
+                        owners, places, texts, chars = [], [], [], 0
+
+    found = docs.select("doc_id", "markdown").join(asked, "doc_id").mapInArrow(run, schema)
+    return found.withColumn("text", squeeze_blank_lines(F.regexp_replace("text", r"\A\n+|\n+\z", "")))
 
 
 def cover(selected: DataFrame, known: DataFrame) -> DataFrame:

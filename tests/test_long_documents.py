@@ -47,3 +47,11 @@ def test_unknown(long):
     _, tree = long
     asked = tree.select("doc_id", "node_id").unionByName(tree.filter("title LIKE 'S%-7'").select("doc_id", F.concat("node_id", F.lit(".9")).alias("node_id")))
     assert {(r.doc_id, r.node_id) for r in rows(outline.unknown(asked, tree))} == {(1, f"1.{c}.8.9") for c in range(1, CHAPTERS + 1)}
+
+
+def test_extract(long):
+    docs, tree = long
+    got = {r.doc_id: r.text for r in rows(outline.extract(docs, tree.filter("title = 'C1' OR title LIKE 'S3-%' OR title LIKE 'S1-%'"), tree))}
+    # chapter 1 is of level 2, the sections of chapter 3 of level 3: all move up by one
+    want = "# C1\n" + "".join(f"## S1-{s}\n```\n# no\n```\n" for s in range(SECTIONS)) + "\n" + "\n\n".join(f"## S3-{s}\n```\n# no\n```" for s in range(SECTIONS))
+    assert got == {1: want, 2: "# C1"}
