@@ -55,3 +55,19 @@ def test_extract(long):
     # chapter 1 is of level 2, the sections of chapter 3 of level 3: all move up by one
     want = "# C1\n" + "".join(f"## S1-{s}\n```\n# no\n```\n" for s in range(SECTIONS)) + "\n" + "\n\n".join(f"## S3-{s}\n```\n# no\n```" for s in range(SECTIONS))
     assert got == {1: want, 2: "# C1"}
+
+
+def test_split(long):
+    docs, tree = long
+    got = {(r.doc_id, r.node_id, r.title): r.text for r in rows(outline.split_sections(docs, tree.filter("title LIKE 'C%'"), tree))}
+    want = {(1, f"1.{c + 1}", f"C{c}"): f"# C{c}\n" + "\n".join(f"## S{c}-{s}\n```\n# no\n```" for s in range(SECTIONS)) for c in range(CHAPTERS)}
+    assert got == {**want, (2, "1.1", "C1"): "# C1"}
+
+
+def test_split_keeps_columns_and_repeats(spark):
+    docs = spark.createDataFrame([("a", "x\r\n# A\n~~~\n## no\n```\n~~~\n## B \n\n\n\n  ###### C\n###### D"), ("b", None), ("c", "# A")], "doc_id string, markdown string")
+    chosen = spark.createDataFrame([("a", 1, 12, 1, [1]), ("a", 6, 12, 5, None), ("a", 1, 1, None, []), ("b", 0, 1, 0, [2]), ("z", 0, 1, 0, [3])], "doc_id string, start int, end int, up int, more array<int>")
+    got = {(r.doc_id, r.start, r.end, r.up, None if r.more is None else tuple(r.more)): r.text for r in outline.section_texts(docs, chosen, F.col("up")).collect()}
+    assert got == {
+        ("a", 1, 12, 1, (1,)): "# A\n~~~\n## no\n```\n~~~\n# B \n\n  ###### C\n##### D", ("a", 6, 12, 5, None): "# B \n\n  ###### C\n# D", ("a", 1, 1, None, ()): "", ("b", 0, 1, 0, (2,)): ""
+    }
