@@ -201,7 +201,10 @@ def checksum(c: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    return F.when(n > 0, F.format_string("%.1f MB", n / F.lit(1048576.0))).otherwise("?")
+    """A whole number of bytes in megabytes; halves of a tenth go to the even one, where Java's formats go up."""
+    x = n / F.lit(1048576.0)
+    tenths = F.floor(x) * 10 + F.rint((x - F.floor(x)) * 10).cast("bigint")
+    return F.when(n > 0, F.format_string("%d.%d MB", F.floor(tenths / 10), tenths % 10)).otherwise("?")
 
 
 def pick_language(tags: Column) -> Column:
